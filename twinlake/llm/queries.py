@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontamination, token_output
+from . import common, decontamination, quality, token_output
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +24,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
     "op5_decontamination": op5_decontamination,
     "op7_token_output": op7_token_output,
 }
