@@ -11,6 +11,7 @@ keeps a row; an empty table writes no file and returns no row; other columns are
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,28 +27,51 @@ FILES = "part long, path string, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 _coders: dict[tuple, _Coder] = {}
+_MARK = re.compile(rb"(?<=[a-z])([,.])(?=[\x20\n])")
+_TOGETHER = 2000
+_SLICE = 4 << 20
 
 
-class _Coder(dict):
-    """word -> its ids as bytes.  No piece of this kind of tokenizer crosses ASCII white space, so a text's ids are its words' ids."""
+class _Coder:
+    """Encodes texts word by word and remembers the ids of words.
+
+    The tokenizer lower-cases and never joins across white space, nor a letter with the comma or full stop after it, so the ids of
+    a text are those of its words (and of such marks) in turn.  New words are encoded together, a special token between two."""
 
     def __init__(self, path: str, most: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-
-def coder(path: str, most: int = 400_000) -> _Coder:
-    """One for each Python worker; most: words it remembers."""
+        self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.known: dict[bytes, bytes] = {}
+
+    def words(self, text: bytes) -> list[bytes]:
+        if any(t in text.lower() for t in self.special):  # a special token's own spelling is told apart by case
+            return text.split()
+        return _MARK.sub(rb" \1", text.lower()).split()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as bytes."""
+        words = [self.words(t) for t in texts]
+        if len(self.known) > self.most:
+            self.known.clear()
+        new = list(set().union(*words) - self.known.keys())
+        plain = [w for w in new if not any(t in w for t in self.special)] if self.special else []
+        for i in range(0, len(plain), _TOGETHER):
+            part = plain[i : i + _TOGETHER]
+            token, mark = next(iter(self.special.items()))
+            ids = np.array(self.tokenizer.encode(token.join(part).decode(), add_special_tokens=False).ids, self.kind)
+            cut, raw = np.flatnonzero(ids == mark) * self.kind.itemsize, ids.tobytes()
+            first, end = [0, *(cut + self.kind.itemsize).tolist()], [*cut.tolist(), len(raw)]
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(first, end, strict=True)], strict=True))
+        for w in set(new).difference(plain):
+            self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+        return [b"".join(map(self.known.__getitem__, x)) for x in words]
+
+
+def coder(path: str, most: int = 600_000) -> _Coder:
+    """One for each Python worker; most: words it remembers beside those of one slice."""
     if (path, most) not in _coders:
         _coders[path, most] = _Coder(path, most)
     return _coders[path, most]
@@ -110,9 +134,10 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int, l
                 writer = _Writer(sink, words.kind, length, per_batch)
             text, offsets = common.text_bytes(batch.column(1))
             first = np.empty(len(batch), np.int64)
-            for i in range(len(batch)):
-                first[i] = writer.n
-                writer.add(b"".join(map(words.__getitem__, text[offsets[i] : offsets[i + 1]].tobytes().split())) + end)
+            for a, b in common.slices(offsets, _SLICE):
+                for i, ids in enumerate(words.encode([text[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]), a):
+                    first[i] = writer.n
+                    writer.add(ids + end)
             starts.append(pa.record_batch([batch.column(0), pa.array(first), pa.array(np.diff(np.append(first, writer.n)))], names=["doc_id", "first", "n_tokens"]))
         if writer is not None:
             writer.close()
