@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontamination, lm_score, quality, token_output
+from . import common, decontamination, lm_score, quality, suffix_dedup, token_output
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,16 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_to_files(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(common.table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_lm_score": op4_lm_score,
     "op5_decontamination": op5_decontamination,
     "op7_token_output": op7_token_output,
+    "op8_suffix_dedup": op8_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

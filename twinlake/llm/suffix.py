@@ -123,3 +123,28 @@ class FMIndex:
                 rows = self.before[c] + before
             steps += 1
         return out
+
+
+def neighbours(s: np.ndarray, sa: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Common prefix length of each suffix with the one before it in sorted order (0 for the first).
+
+    Kasai's rule in text order: where the predecessor moves on by one, as the text does, over a symbol that both share, the length
+    falls by one; the other places are compared symbol by symbol, all at once.  The array's symbols must tell all suffixes apart before its end."""
+    n = len(s)
+    rank = np.empty(n, np.int64)
+    rank[sa] = np.arange(n)
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    follows = np.append(False, (before[1:] == before[:-1] + 1) & (before[:-1] >= 0) & (s[:-1] == s[before[:-1]]))
+    heads = np.flatnonzero(~follows)
+    size = np.zeros(len(heads), np.int64)
+    live = np.flatnonzero(before[heads] >= 0)
+    while len(live):
+        a, b = heads[live] + size[live], before[heads[live]] + size[live]
+        same = (a < n) & (b < n)
+        same[same] = s[a[same]] == s[b[same]]
+        live = live[same]
+        size[live] += 1
+    at = np.cumsum(~follows) - 1
+    length = np.maximum(size[at] - (np.arange(n) - heads[at]), 0)
+    return length[sa]
