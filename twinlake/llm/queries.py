@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontamination, lm_score, quality, suffix_dedup, token_output
+from . import common, decontamination, jaccard_join, lm_score, quality, suffix_dedup, token_output
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,12 +33,17 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove(common.table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_lm_score": op4_lm_score,
     "op5_decontamination": op5_decontamination,
     "op7_token_output": op7_token_output,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
