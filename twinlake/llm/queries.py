@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontamination, jaccard_join, lm_score, quality, suffix_dedup, token_output
+from . import common, decontamination, jaccard_join, licenses, lm_score, quality, suffix_dedup, token_output
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.table(spark, sf_dir, "documents"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +42,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_lm_score": op4_lm_score,
     "op5_decontamination": op5_decontamination,
