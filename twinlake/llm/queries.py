@@ -5,14 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, decontamination, jaccard_join, licenses, lm_score, pii, quality, suffix_dedup, token_output
+from . import chat, common, decontamination, jaccard_join, licenses, lm_score, mixing, pii, quality, suffix_dedup, token_output
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(common.table(spark, sf_dir, "documents"))
 
 
+def mixing_settings() -> dict:
+    """Production parameters of the mix.  A source's domain is its number modulo 3."""
+    number = F.coalesce(F.try_to_number(F.lpad(F.regexp_extract("source", "([0-9]{1,9})$", 1), 9, "0"), F.lit("000000000")), F.lit(0)).cast("long")
+    domain = F.element_at(F.array(*map(F.lit, ("web", "reference", "forum"))), (number % 3 + 1).cast("int"))
+    return {"domain": domain, "weights": {"domain": {"web": 5, "reference": 4, "forum": 3}, "lang": {"en": 6, "de": 2, "fr": 2}}, "budget_percent": 75, "epochs": 2, "seed": 17}
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(common.table(spark, sf_dir, "documents"), **mixing_settings())
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -45,8 +57,19 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(common.table(spark, sf_dir, "documents"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(common.table(spark, sf_dir, "conversations"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_source_mixing": op2_source_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op4_lm_score": op4_lm_score,
     "op5_decontamination": op5_decontamination,
@@ -54,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_output": op7_token_output,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_chat_format": op10_chat_format,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
