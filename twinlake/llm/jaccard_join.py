@@ -2,16 +2,18 @@
 
 Two sets r and s of Jaccard similarity t or more differ in at most H = (1 - t) / (1 + t) * (|r| + |s|) elements.  Sizes fall into
 bands; within a band all sets cut the universe of hashes into the same segments, more than H of them, so similar sets agree in some
-segment.  A set indexes its segments' signatures under its own band and probes those of the bands that hold sizes down to t times
-its own.  Allocation by cost: a segment whose signature is empty or frequent may be left out of the probe, if another segment is
-probed with its one-deletion neighbourhood instead (sets also meet there if the segments differ in one element); signatures of
-deletions are indexed for a fixed few segments of each band.  What is frequent is estimated from a bounded sample of documents;
-it steers cost only, as every allocation keeps the sum that the pigeonhole needs.
-
-Sets equal to each other are one node.  Signatures meet by a shuffle.  A small bucket gives its pairs, a large one only those with
-its first member.  Each node is verified against its likeliest partner first; pairs within a component are settled by then, those
-left, and the pairs across components of large buckets, are verified in a second round.  Verification is exact on the hashed
-shingles of whole texts, so links are lost nowhere and pairs within a group of copies aren't written out.
+segment.  A set indexes segments under its own band and probes those of the bands that hold sizes down to t times its own.
+Allocation by cost: segments that are empty or whose signature is frequent are passed over, in favour of later ones; a set that runs
+out of cheap segments adds one-deletion neighbourhoods of some (sets also meet there if the segments differ in one element), and
+only if these don't reach the sum that the pigeonhole needs, the costly ones.  What is frequent is estimated from a bounded sample
+of documents; it steers cost only, as every allocation keeps that sum.
+
+Sets equal to each other are one node.  Sets give a tenth more segments than the pigeonhole needs, so similar ones share as many
+signatures more, and pairs that share fewer are dropped.  Signatures meet by a shuffle.  A small bucket gives its pairs, a large one
+those with its hub.  Each node is verified against its likeliest partner first; pairs within a component are settled by then, the
+others are verified in a second round.  Large buckets that still hold several components are compared in blocks, all sets of two
+blocks at once.  Verification is exact on the hashed shingles of whole texts, so links are lost nowhere, and pairs within a group of
+copies aren't written out.
 
 Cases: text without words (or null) has an empty set and its own doc_id as component; null doc_id rows take part, and a component
 of such rows only has a null component_id; rows of one doc_id are each represented; repeated rows share a node; other columns are
@@ -32,8 +34,10 @@ from .components import components
 from .shingles import identity, sets
 
 _SLICE = 1 << 20
-_SMALL = 8  # members of a bucket that gives all its pairs
-_FREQUENT = 8  # documents of the sample that share a frequent signature
+_SMALL = 16  # members of a bucket that gives all its pairs
+_FREQUENT = 3  # documents of the sample that share a frequent signature
+_BLOCK = 256  # nodes
+_NO_NEED = 0x7FFF
 _MOST_FREQUENT = 200_000
 _BROADCAST_ROWS = 2_000_000
 _K1, _K2 = np.uint64(0x94D049BB133111EB), np.uint64(0xBF58476D1CE4E5B9)
@@ -67,7 +71,12 @@ class Bands:
         return self.difference(size + size * self.den // self.num) + 1
 
     def segments(self, band: int) -> int:
-        return self.index_segments(self.last(band))
+        """A quarter more than any set of the band needs, as some will be empty or frequent."""
+        return (self.index_segments(self.last(band)) + self.extra(self.last(band))) * 5 // 4 + 2
+
+    def extra(self, size: int) -> int:
+        """Segments that a set gives beyond the least number, so that similar sets agree in as many more."""
+        return self.difference(2 * size) // 10
 
     def deletions(self, band: int) -> int:
         return max(1, self.segments(band) // 16)
@@ -81,41 +90,47 @@ class Bands:
             yield band, self.difference(size + min(size, self.last(band))) + 1
 
 
-def signatures(x: np.ndarray, bands: Bands, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, roles) rows of one set; hot: sorted frequent signatures."""
+def signatures(x: np.ndarray, bands: Bands, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, roles, need) rows of one set; hot: sorted frequent signatures.
+
+    need: a similar set has so many of them at least (above the lowest 16 bits; a set short of cheap segments leaves it to its partner),
+    and the least that any partner's size can make of it (below).
+
+    Equal segments have equal signatures, so what is costly to one set is so to the other.  For a pair, take the set whose wanted
+    number of cheap segments ends first: more than H of them stand there (by ``extra`` more), so one (and as many more) is equal, and
+    the other set gives it too.  A set
+    short of cheap segments gives all of them and the deletions of a fixed few, which count twice; if that isn't enough either, it
+    gives everything, and then the argument holds by its partner's segments or by their whole number."""
     n = len(x)
-    own, mixed, out, roles = bands.of(n), common.mix(x ^ _K2), [], []
+    own, mixed, out, roles, need = bands.of(n), common.mix(x ^ _K2), [], [], []
+    extra = bands.extra(n)
     with np.errstate(over="ignore"):
         for band, wanted in bands.probes(n):
             m = bands.segments(band)
             segment = ((mixed >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
             total = np.zeros(m, np.uint64)
             np.add.at(total, segment, mixed)
-            filled = np.bincount(segment, minlength=m) > 0
             salt = common.mix(np.arange(m, dtype=np.uint64) * _K1 + np.uint64(band + 1))
             exact = common.mix(total + salt)
-            at = np.searchsorted(hot, exact)
-            costly = ~filled
+            cheap = np.bincount(segment, minlength=m) > 0
             if len(hot):
-                costly |= hot[np.minimum(at, len(hot) - 1)] == exact
-            d = bands.deletions(band)
-            spare = np.flatnonzero(~costly[: min(d, wanted)])
-            left_out = np.flatnonzero(costly[:wanted])[::-1][: len(spare)]  # hot ones that deletions of spare segments make up for
-            doubled = spare[: len(left_out)]
-            probed = np.zeros(m, bool)
-            probed[:wanted] = True
-            probed[left_out] = False
-            indexed = np.zeros(m, bool)
-            if band == own:
-                indexed[: bands.index_segments(n)] = True
-            used = np.flatnonzero(probed | indexed)
-            out.append(exact[used])
-            roles.append(INDEX * indexed[used] + PROBE * probed[used])
-            deleted = np.flatnonzero(segment < d) if band == own else np.flatnonzero(np.isin(segment, doubled))
-            if len(deleted):
+                cheap &= hot[np.minimum(np.searchsorted(hot, exact), len(hot) - 1)] != exact
+            nth = np.cumsum(cheap)
+            most = bands.index_segments(n) if band == own else wanted
+            short = nth[-1] < most + extra
+            role = np.where(cheap & (nth <= wanted + extra), PROBE, 0) + np.where(cheap & (nth <= most + extra) & (band == own), INDEX, 0)
+            if nth[-1] < most:
+                few = np.arange(m) < bands.deletions(band)
+                enough = nth[-1] + (cheap & few).sum() >= most
+                role = np.where(cheap | few | (not enough), PROBE + INDEX, 0)
+                deleted = np.flatnonzero(few[segment])
                 out.append(common.mix(total[segment[deleted]] - mixed[deleted] + salt[segment[deleted]]))
-                roles.append(INDEX * (band == own) + PROBE * np.isin(segment[deleted], doubled))
-    return np.concatenate(out), np.concatenate(roles)
+                roles.append(np.full(len(deleted), PROBE + INDEX))
+            used = np.flatnonzero(role)
+            out.append(exact[used])
+            roles.append(role[used])
+            need.append(np.full(sum(map(len, out)) - sum(map(len, need)), _NO_NEED << 16 | 1 if short else min(1 + extra, _NO_NEED - 1) << 16 | min(1 + bands.extra(-(-n * bands.num // bands.den)), _NO_NEED - 1)))
+    return np.concatenate(out), np.concatenate(roles), np.concatenate(need)
 
 
 def _frequent(path: str) -> np.ndarray:
@@ -156,28 +171,29 @@ def _signature_rows(docs: DataFrame, width: int, bands: Bands, hot: str) -> Data
         frequent, seen = _frequent(hot), set()
         for batch in batches:
             for _, found in _slices(batch, 1, width):
-                keys, roles, nodes, counts = [], [], [], []
+                keys, roles, needs, nodes, counts = [], [], [], [], []
                 for x in found:
                     if not len(x) or (node := identity(x)) in seen:
                         continue  # a copy within this task
                     if len(seen) < 200_000:
                         seen.add(node)
-                    key, role = signatures(x, bands, frequent)
+                    key, role, need = signatures(x, bands, frequent)
                     keys.append(key)
                     roles.append(role)
+                    needs.append(need)
                     nodes.append(node)
                     counts.append(len(key))
                 if nodes:
                     role = np.concatenate(roles)
-                    yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array((role & PROBE == 0).astype(np.int8)), pa.array(np.repeat(np.array(nodes, np.int64), counts))], names=["signature", "mute", "node"])
+                    yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array((role & PROBE == 0).astype(np.int8)), pa.array(np.repeat(np.array(nodes, np.int64), counts)), pa.array(np.concatenate(needs).astype(np.int32))], names=["signature", "mute", "node", "need"])
 
-    return _texts(docs).mapInArrow(run, "signature long, mute byte, node long")
+    return _texts(docs).mapInArrow(run, "signature long, mute byte, node long, need int")
 
 
-def _find_frequent(docs: DataFrame, width: int, bands: Bands, total: int, sample: int = 20_000) -> str:
+def _find_frequent(docs: DataFrame, width: int, bands: Bands, total: int, sample: int = 40_000) -> str:
     """Signatures that many documents of a bounded sample share, in a file of the shared folder."""
     part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < 1_000_003 * min(1, sample / max(1, total)))
-    rows = _signature_rows(part, width, bands, "").distinct().groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") >= _FREQUENT)
+    rows = _signature_rows(part, width, bands, "").select("signature", "node").distinct().groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") >= _FREQUENT)
     found = rows.orderBy(F.desc("n"), "signature").limit(_MOST_FREQUENT).select("signature").toArrow()["signature"].to_numpy().view(np.uint64)
     folder = common.new_folder(docs.sparkSession, "frequent")
     fs, at = common.file_system(folder)
@@ -188,18 +204,19 @@ def _find_frequent(docs: DataFrame, width: int, bands: Bands, total: int, sample
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """Pairs (a < b) of nodes that share a signature which one of them probes; large: from a bucket of which only the pairs with its
-    first node are given; then the signature."""
+    """For a small bucket the pairs (a, b) of nodes that share its signature and of which one probes it; need: signatures that the two
+    must share.  For a large one its signature, each node (a) and that node's need as ``signatures`` gives it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = [None, [], False]  # the open bucket: signature, its first nodes, whether large
+        held: list = [None, [], False]  # the open bucket: signature, its first rows, whether large
 
-        def pairs(signature: np.ndarray, node: np.ndarray, mute: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+        def out(signature: np.ndarray, node: np.ndarray, mute: np.ndarray, need: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
             """All buckets of these rows; the last one stays open unless it is the end."""
-            if held[0] is not None:
-                lead = held[1]
+            lead = held[1] if held[0] is not None else []
+            was = bool(lead) and held[2]
+            if lead:
                 signature = np.concatenate([np.full(len(lead), held[0]), signature])
-                node, mute = np.concatenate([np.array([x[0] for x in lead], np.int64), node]), np.concatenate([np.array([x[1] for x in lead], np.int8), mute])
+                node, mute, need = (np.concatenate([np.array(x, own.dtype), own]) for x, own in zip(zip(*lead, strict=True), (node, mute, need), strict=True))
             if not len(signature):
                 return
             head = np.append(True, signature[1:] != signature[:-1])
@@ -207,44 +224,50 @@ def _buckets(rows: DataFrame) -> DataFrame:
             size = np.diff(np.append(first, len(head)))
             group = np.cumsum(head) - 1
             large = size > _SMALL
-            was = held[0] is not None and held[2]
-            if was:
-                large[0] = True
-            open_ = len(first) - 1
-            done = np.ones(len(first), bool)
+            large[0] |= was
+            open_, done = len(first) - 1, np.ones(len(first), bool)
             if not last and not large[open_]:
                 done[open_] = False  # too early to say
-            a, b, sig = [], [], []
+            a, b = [], []
             rank = np.arange(len(node)) - first[group]
             for gap in range(1, _SMALL):
                 i = np.flatnonzero(rank[gap:] >= gap) if len(rank) > gap else np.zeros(0, np.int64)
                 i = i[done[group[i + gap]] & ~large[group[i + gap]] & (mute[i] == 0)]
-                a.append(node[i])
-                b.append(node[i + gap])
-                sig.append(np.zeros(len(i), np.int64))
-            star = np.flatnonzero(large[group] & (rank > 0) & (mute[first[group]] == 0))
+                a.append(i)
+                b.append(i + gap)
+            member = np.flatnonzero(large[group] & (mute[first[group]] == 0))
             if was:
-                star = star[(group[star] > 0) | (rank[star] >= len(held[1]))]
-            a.append(node[first[group[star]]])
-            b.append(node[star])
-            sig.append(signature[star])
+                member = member[member >= len(lead)]  # those are given already
             if last:
                 held[0] = None
             else:
                 keep = slice(first[open_], first[open_] + (1 if large[open_] else size[open_]))
-                held[:] = [signature[keep.start], list(zip(node[keep].tolist(), mute[keep].tolist(), strict=True)), bool(large[open_])]
-            a, b, sig = np.concatenate(a), np.concatenate(b), np.concatenate(sig)
-            ok = a != b
-            lo, hi = np.minimum(a, b)[ok], np.maximum(a, b)[ok]
-            if len(lo):
-                yield pa.record_batch([pa.array(lo), pa.array(hi), pa.array(sig[ok]), pa.array(sig[ok] != 0)], names=["a", "b", "signature", "large"])
+                held[:] = [signature[keep.start], list(zip(node[keep].tolist(), mute[keep].tolist(), need[keep].tolist(), strict=True)), bool(large[open_])]
+            a, b = np.concatenate(a), np.concatenate(b)
+            least = np.minimum(need[a], need[b]) >> 16
+            least[least == _NO_NEED] = 1
+            a, b = node[a], node[b]
+            two = a != b
+            lo, hi = np.minimum(a, b)[two], np.maximum(a, b)[two]
+            if len(lo) or len(member):
+                columns = [pa.array(np.concatenate([lo, node[member]])), pa.array([*hi, *[None] * len(member)], pa.int64()) if len(member) else pa.array(hi), pa.array([*[None] * len(lo), *signature[member]], pa.int64()), pa.array(np.concatenate([least[two], need[member]]))]
+                yield pa.record_batch(columns, names=["a", "b", "signature", "need"])
 
         for batch in batches:
-            yield from pairs(batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(1).to_numpy(), False)
-        yield from pairs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8), True)
+            yield from out(batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy(), False)
+        yield from out(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int32), True)
 
     dealt = rows.repartition(common.shuffle_partitions(rows.sparkSession), "signature").sortWithinPartitions("signature", "mute", "node")
-    return dealt.mapInArrow(run, "a long, b long, signature long, large boolean")
+    return dealt.mapInArrow(run, "a long, b long, signature long, need int")
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """signature, node, need, hub, hub_need: the hub is the node of the bucket that is in the most large buckets, as the original of
+    many near copies is."""
+    degree = members.groupBy("node").agg(F.count_distinct("signature").alias("degree"))
+    each = members.join(degree, "node")
+    hub = each.groupBy("signature").agg(F.max(F.struct("degree", "node", "need")).alias("h")).select("signature", F.col("h.node").alias("hub"), F.col("h.need").alias("hub_need"))
+    return each.join(hub, "signature").select("signature", "node", "need", "degree", "hub", "hub_need")
 
 
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -297,44 +320,126 @@ def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
         real = F.when(F.col("doc_id") >= (least if least is not None else 1 << 62), F.col("doc_id"))
         return _renamed(ids.withColumn("doc_id", real))
     hot = _find_frequent(docs, width, bands, measured.count())
-    rows = _signature_rows(docs, width, bands, hot)
-    met = common.checkpoint(_buckets(rows).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.when(F.col("large"), F.col("signature"))).alias("bucket")))
+    met = common.checkpoint(_buckets(_signature_rows(docs, width, bands, hot)))
+    stars = common.checkpoint(_stars(met.where("signature IS NOT NULL").select("signature", F.col("a").alias("node"), "need").distinct()))
+    rays = stars.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), _pair_need("need", "hub_need").alias("need"))
+    pairs = met.where("signature IS NULL").select("a", "b", "need").unionByName(rays).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
+    pairs = common.checkpoint(pairs)
+    enough = pairs.where("shared >= need").select("a", "b", "shared")
     # round 1: each node and its likeliest partner
-    best = Window.partitionBy("node").orderBy(F.desc("shared"), "other")
-    halves = met.select(F.col("a").alias("node"), F.col("b").alias("other"), "shared").unionByName(met.select(F.col("b").alias("node"), F.col("a").alias("other"), "shared"))
-    likely = halves.groupBy("node").agg(F.max(F.struct("shared", "other")).alias("m")).select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b")).distinct()
+    halves = enough.select(F.col("a").alias("node"), F.col("b").alias("other"), "shared").unionByName(enough.select(F.col("b").alias("node"), F.col("a").alias("other"), "shared"))
+    likely = common.checkpoint(halves.groupBy("node").agg(F.max(F.struct("shared", "other")).alias("m")).select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b")).distinct())
     links = verify(docs, nodes, likely, width, num, den)
     found = components(links)
-    # round 2: the pairs that components leave open, and those of large buckets across components
-    left = _apart(met.select("a", "b").join(likely, ["a", "b"], "left_anti"), found)
+    # round 2: the other pairs that components leave open, and those that may share more in large buckets
+    large = stars.groupBy("node").agg(F.count_distinct("signature").alias("large"))
+    by = lambda side: large.select(F.col("node").alias(side), F.col("large").alias(f"large_{side}"))
+    may = pairs.where("shared < need").join(by("a"), "a").join(by("b"), "b").where("shared + least(large_a, large_b) >= need")
+    left = _apart(enough.select("a", "b").unionByName(may.select("a", "b")).join(likely, ["a", "b"], "left_anti"), found)
     links = links.unionByName(verify(docs, nodes, left, width, num, den))
     found = components(links)
-    across = _across(rows, met, found)
-    if across is not None:
-        done = met.select("a", "b")
-        links = links.unionByName(verify(docs, nodes, _apart(across.join(done, ["a", "b"], "left_anti"), found), width, num, den))
-        found = components(links)
+    # round 3: large buckets that hold several components, by blocks
+    more = _blocks(docs, nodes, stars, found, width, num, den)
+    if more is not None:
+        found = components(links.unionByName(more))
     return _named(measured, nodes, found)
 
 
+def _pair_need(a: str, b: str):
+    """Signatures that two nodes must share if they are similar."""
+    least = F.least(F.shiftright(a, 16), F.shiftright(b, 16))
+    return F.when(least == _NO_NEED, F.lit(1)).otherwise(least)
+
+
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     label = lambda side: found.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
     joined = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
     return joined.where("label_a IS NULL OR label_b IS NULL OR label_a <> label_b").select("a", "b")
 
 
-def _across(rows: DataFrame, met: DataFrame, found: DataFrame) -> DataFrame | None:
-    """Pairs across components within large buckets that hold several."""
-    large = common.checkpoint(met.where("bucket IS NOT NULL").select(F.col("bucket").alias("signature")).distinct())
-    if not large.limit(1).count():
+def _blocks(docs: DataFrame, nodes: DataFrame, stars: DataFrame, found: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
+    """Links across the components of large buckets, between nodes that share nothing but large buckets (so each is in as many of them
+    as its least need; other pairs are verified before).
+
+    Buckets that hold several components and share nodes form a cluster.  Its nodes, in the order of their components, are cut into
+    blocks, and every two blocks meet in one group, where all sets are compared at once by counting their common elements; no pairs
+    are written out but the links that join components.  Two blocks of one and the same component don't meet."""
+    several = stars.where(F.col("degree") >= F.col("need").bitwiseAND(F.lit(0xFFFF)))
+    labelled = several.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("signature").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("signature")
+    open_ = labelled.join(mixed, "signature", "left_semi").withColumn("lead", F.min("node").over(Window.partitionBy("signature")))
+    open_ = common.checkpoint(open_.select("node", "lead", "label").distinct())
+    if not open_.limit(1).count():
         return None
-    members = rows.join(large, "signature", "left_semi").groupBy("signature", "node").agg(F.min("mute").alias("mute"))
-    members = members.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = members.groupBy("signature").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("signature")
-    members = common.checkpoint(members.join(mixed, "signature", "left_semi"))
-    probing = members.where("mute = 0")
-    pairs = probing.alias("p").join(members.alias("m"), (F.col("p.signature") == F.col("m.signature")) & (F.col("p.label") != F.col("m.label")))
-    return common.checkpoint(pairs.select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct())
+    cluster = components(open_.select(F.col("lead").alias("a"), F.col("node").alias("b"))).withColumnRenamed("label", "cluster")
+    each = open_.select("node", "label").distinct().join(cluster, "node")
+    nth = F.row_number().over(Window.partitionBy("cluster").orderBy("label", "node")) - 1
+    placed = common.checkpoint(each.withColumn("block", F.floor(nth / _BLOCK).cast("int")))
+    ends = placed.groupBy("cluster", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    first, second = (ends.toDF("cluster", side, f"least_{side}", f"most_{side}") for side in ("i", "j"))
+    meet = first.join(second, "cluster").where("i <= j AND NOT (least_i = most_i AND least_j = most_j AND least_i = least_j)").select("cluster", "i", "j")
+    meet = common.checkpoint(meet)
+    sides = meet.select("cluster", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
+    orders = placed.join(sides, ["cluster", "block"]).join(nodes, "node").groupBy("doc_id", "node", "label").agg(F.collect_list(F.struct("cluster", "i", "j", "block")).alias("orders"))
+    orders = common.checkpoint(orders)
+    if placed.count() <= _BROADCAST_ROWS and meet.count() * 2 * _BLOCK <= _BROADCAST_ROWS:
+        orders = F.broadcast(orders)
+    texts = _texts(docs).where("doc_id IS NOT NULL").join(orders, "doc_id").select("node", "label", "text", F.explode("orders").alias("o")).select("o.cluster", "o.i", "o.j", "o.block", "node", "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            cluster, i, j, block, node, label = (batch.column(c).to_numpy() for c in range(6))
+            for at, some in _slices(batch, 6, width):
+                for r, x in enumerate(some, at):
+                    if identity(x) != node[r]:
+                        continue  # another text of the same doc_id
+                    if key != (now := (cluster[r], i[r], j[r])):
+                        yield _compared(held, num, den)
+                        key, held = now, []
+                    held.append((block[r], node[r], label[r], x))
+        yield _compared(held, num, den)
+
+    dealt = texts.repartition(common.shuffle_partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block", "node")
+    return common.checkpoint(dealt.mapInArrow(run, "a long, b long"))
+
+
+def _compared(held: list[tuple], num: int, den: int) -> pa.RecordBatch:
+    """Links between the sets of two blocks (or within one) that join components; a row (block, node, label, set) for each set."""
+    a, b, label = [], [], {int(h[2]): int(h[2]) for h in held}
+
+    def top(x: int) -> int:
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    if len(held) > 1:
+        two = held[0][0] != held[-1][0]
+        cut = next(i for i, h in enumerate(held) if h[0] != held[0][0]) if two else len(held)
+        left, right = held[:cut], held[cut:] if two else held
+        sizes = [np.array([len(h[3]) for h in side]) for side in (left, right)]
+        shared = np.intersect1d(np.concatenate([h[3] for h in left]), np.concatenate([h[3] for h in right]))
+        count = np.zeros((len(left), len(right)), np.float32)
+        for c in range(0, len(shared), 4096):
+            part = shared[c : c + 4096]
+            count += _matrix(left, part) @ _matrix(right, part).T
+        common_ = count.astype(np.int64)
+        similar = den * common_ >= num * (sizes[0][:, None] + sizes[1][None] - common_)
+        for x, y in np.argwhere(similar):
+            p, q = top(int(left[x][2])), top(int(right[y][2]))
+            if p != q:
+                label[max(p, q)] = min(p, q)
+                a.append(int(left[x][1]))
+                b.append(int(right[y][1]))
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _matrix(side: list[tuple], part: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(side), len(part)), np.float32)
+    for i, h in enumerate(side):
+        at = np.minimum(np.searchsorted(part, h[3]), len(part) - 1)
+        out[i, at[part[at] == h[3]]] = 1
+    return out
 
 
 def _named(measured: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
