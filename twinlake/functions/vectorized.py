@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIDE = 32
 
@@ -24,12 +25,12 @@ def frame_hash(gray: bytes) -> int:
     return int(bits.view(np.int64)[0])
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def phash(gray: pd.Series) -> pd.Series:
     return pd.Series([frame_hash(g) if g is not None and len(g) == SIDE * SIDE else None for g in gray], dtype="Int64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def difference(a: pd.Series, b: pd.Series) -> pd.Series:
     """Mean absolute difference of two frames over 256; null if sizes differ."""
     def one(x, y):
@@ -40,7 +41,7 @@ def difference(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def flipped(gray: pd.Series) -> pd.Series:
     def one(g):
         side = int(len(g) ** 0.5) if g is not None else 0
@@ -57,7 +58,7 @@ def content_hash(data: bytes, size: int | None = None) -> str | None:
     return f"{(int(ends) + (len(data) if size is None else size)) % (1 << 64):016x}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def os_hash(content: pd.Series) -> pd.Series:
     return content.map(content_hash)
 
@@ -90,7 +91,7 @@ def fingerprint(pcm: np.ndarray, rate: int = 11025) -> list[int]:
     return out
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def audio_fingerprint(pcm: pd.Series) -> pd.Series:
     """Of 16-bit mono samples; null stays null (not extracted), too little audio is empty."""
     return pcm.map(lambda b: None if b is None else fingerprint(np.frombuffer(b[: len(b) // 2 * 2], "<i2")))
@@ -145,7 +146,7 @@ def difference_regions(a: np.ndarray, b: np.ndarray, sensitivity: float = 0.5, m
     return [(int(max(0, x0 - 2)), int(max(0, y0 - 2)), int(min(w - 1, x1 + 2) - max(0, x0 - 2) + 1), int(min(h - 1, y1 + 2) - max(0, y0 - 2) + 1)) for x0, y0, x1, y1 in boxes[:most]]
 
 
-@F.pandas_udf("timestamp")
+@F.pandas_udf(T.TimestampType())
 def exif_date(content: pd.Series) -> pd.Series:
     """The first date that an image's EXIF block writes as "YYYY:MM:DD HH:MM:SS"."""
     import re
@@ -157,7 +158,7 @@ def exif_date(content: pd.Series) -> pd.Series:
     return pd.to_datetime(content.map(one))
 
 
-@F.pandas_udf("struct<width:int,height:int>")
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
 def image_size(content: pd.Series) -> pd.DataFrame:
     """Width and height from the header of a PNG, GIF, BMP or JPEG."""
     def one(b):

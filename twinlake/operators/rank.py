@@ -9,10 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-GROUP = Window.partitionBy("group_id")
+
+
+def group() -> WindowSpec:
+    """The rows of a group."""
+    return Window.partitionBy("group_id")
+
+
 #: best flag -> (column, smallest is best, also for images)
 BEST = {"is_best_size": ("size", True, True), "is_best_duration": ("duration_s", False, False), "is_best_frame_size": ("frame_size_int", False, True), "is_best_fps": ("fps", False, False), "is_best_bitrate_kbs": ("bitrate_kbs", False, False), "is_best_audio_bitrate_kbs": ("audio_bitrate_kbs", False, False), "is_best_hdr_format": ("hdr_rank", False, False)}
 
@@ -21,7 +27,7 @@ def best_flags(items: DataFrame) -> DataFrame:
     """All rows that tie for the best value are flagged; images only by size and frame size."""
     flags = {}
     for flag, (column, least, images) in BEST.items():
-        best = F.col(column) == (F.min if least else F.max)(column).over(GROUP)
+        best = F.col(column) == (F.min if least else F.max)(column).over(group())
         flags[flag] = best if images else best & ~F.col("is_image")
     return items.withColumns(flags)
 
@@ -70,17 +76,17 @@ def keepers(items: DataFrame, steps: list[Criterion]) -> DataFrame:
 
     Ties with a tolerance aren't transitive, so this is a cascade: each step finds the best of those still alive (the first in order),
     and those tied with it stay.  A video step is skipped while the present keeper is an image."""
-    df = items.withColumns({"_alive": F.lit(True), "_keep": F.min("seq").over(GROUP), "decided_by": F.lit(None).cast("string")})
+    df = items.withColumns({"_alive": F.lit(True), "_keep": F.min("seq").over(group()), "decided_by": F.lit(None).cast("string")})
     for c in steps:
         df = df.withColumn("_value", c.value)
-        n = F.count_if(F.col("_alive")).over(GROUP)
-        keep_image = F.max(F.when(F.col("seq") == F.col("_keep"), F.col("is_image"))).over(GROUP)
+        n = F.count_if(F.col("_alive")).over(group())
+        keep_image = F.max(F.when(F.col("seq") == F.col("_keep"), F.col("is_image"))).over(group())
         df = df.withColumn("_runs", (n > 1) & (~keep_image if c.video_only else F.lit(True)))
         value = -F.col("_value") if c.ascending else F.col("_value")
-        best = F.max(F.when(F.col("_alive"), F.struct(value.alias("v"), (-F.col("seq")).alias("s"), F.col("_value").alias("raw")))).over(GROUP)
+        best = F.max(F.when(F.col("_alive"), F.struct(value.alias("v"), (-F.col("seq")).alias("s"), F.col("_value").alias("raw")))).over(group())
         df = df.withColumn("_best", best)
         df = df.withColumn("_tied", F.col("_alive") & c.ties(F.col("_value"), F.col("_best.raw")))
-        left = F.count_if(F.col("_tied")).over(GROUP)
+        left = F.count_if(F.col("_tied")).over(group())
         df = df.withColumns({"_left": left})
         df = df.withColumns({"_keep": F.when(F.col("_runs"), -F.col("_best.s")).otherwise(F.col("_keep")), "decided_by": F.coalesce("decided_by", F.when(F.col("_runs") & (F.col("_left") <= 1), c.name)), "_alive": F.when(F.col("_runs"), F.col("_tied") | ((F.col("_left") <= 1) & (F.col("seq") == -F.col("_best.s")))).otherwise(F.col("_alive"))})
     return df.withColumn("is_keeper", F.col("seq") == F.col("_keep")).drop("_alive", "_keep", "_value", "_runs", "_best", "_tied", "_left")
@@ -104,11 +110,11 @@ def deletions(items: DataFrame, strategy: str) -> DataFrame:
     df = best_flags(items)
     by = {"smallest-file": [F.desc("size")], "shortest-duration": [F.desc("duration_s")], "worst-resolution": [F.desc("frame_size_int")]}.get(strategy)
     if by is None:
-        some_rate, some_frame = (F.max(F.col(c)).over(GROUP) for c in ("is_best_bitrate_kbs", "is_best_frame_size"))
+        some_rate, some_frame = (F.max(F.col(c)).over(group()) for c in ("is_best_bitrate_kbs", "is_best_frame_size"))
         df = df.withColumns({"_rate": some_rate, "_frame": some_frame})
         chosen = F.when(F.col("_rate"), F.col("is_best_bitrate_kbs")).when(F.col("_frame"), F.col("is_best_frame_size")).otherwise(F.lit(False))
         by = [F.desc(chosen.cast("int")), F.desc(F.when(F.col("_rate") | F.col("_frame"), 0).otherwise(F.col("bitrate_kbs"))), F.desc(F.when(F.col("_rate") | F.col("_frame"), 0).otherwise(F.col("frame_size_int"))), F.desc(F.when(F.col("_rate") | F.col("_frame"), 0).otherwise(F.col("size")))]
-    df = df.withColumns({"_nth": F.row_number().over(GROUP.orderBy(*by, "seq")), "_n": F.count("*").over(GROUP), "_least": F.min("similarity").over(GROUP)})
+    df = df.withColumns({"_nth": F.row_number().over(group().orderBy(*by, "seq")), "_n": F.count("*").over(group()), "_least": F.min("similarity").over(group())})
     gone = (F.col("_n") >= 2) & (F.col("_nth") > 1)
     if strategy == "100-percent-only":
         gone = gone & (F.col("_least") >= 100)
@@ -120,11 +126,11 @@ AUTO = ["LowestQuality", "SmallestFile", "Oldest", "Newest", "HundredPercentEqua
 
 def auto_select(items: DataFrame, mode: str) -> DataFrame:
     """Rows that the mode selects for deletion (Oldest selects all but the newest)."""
-    df = items.withColumns({"_n": F.count("*").over(GROUP), "_least": F.min("similarity").over(GROUP)})
+    df = items.withColumns({"_n": F.count("*").over(group()), "_least": F.min("similarity").over(group())})
     if mode == "LowestQuality":
-        return keepers(items, web_criteria()).withColumn("_n", F.count("*").over(GROUP)).where(~F.col("is_keeper") & (F.col("_n") >= 2)).select(*items.columns)
+        return keepers(items, web_criteria()).withColumn("_n", F.count("*").over(group())).where(~F.col("is_keeper") & (F.col("_n") >= 2)).select(*items.columns)
     order = {"SmallestFile": F.desc("size"), "Oldest": F.desc("date_created"), "Newest": F.asc("date_created"), "HundredPercentEqual": F.asc("seq")}[mode]
-    df = df.withColumn("_nth", F.row_number().over(GROUP.orderBy(order, "seq")))
+    df = df.withColumn("_nth", F.row_number().over(group().orderBy(order, "seq")))
     gone = (F.col("_nth") > 1) & (F.col("_n") >= 2)
     return df.where(gone & (F.col("_least") >= 100) if mode == "HundredPercentEqual" else gone).select(*items.columns)
 
@@ -144,7 +150,7 @@ def selection(items: DataFrame, command: str) -> DataFrame:
 
     A command acts on one cluster of a group, that of its first row; rows outside it keep their mark."""
     kind = "full" if command == "identical" else "but_size"
-    df = equality_class(items, kind).withColumn("_first", F.min("seq").over(GROUP))
+    df = equality_class(items, kind).withColumn("_first", F.min("seq").over(group()))
     inside = (F.col("class_seq") == F.col("_first")) & (F.col("class_size") > 1)
     if command == "lowest-quality":
         chosen = keepers(df.where(inside).select(*items.columns), list(criteria().values())).select("group_id", "seq", "is_keeper")
@@ -160,7 +166,7 @@ def custom_selection(items: DataFrame, criteria_: Column, identity: str = "group
     the first), except that without a date rule a class of which only some do is marked as it is."""
     df = equality_class(items, identity)
     cls = Window.partitionBy("group_id", "class_seq")
-    df = df.withColumns({"_hit": criteria_, "_busy": F.max("checked").over(GROUP) if skip_checked_groups else F.lit(False)})
+    df = df.withColumns({"_hit": criteria_, "_busy": F.max("checked").over(group()) if skip_checked_groups else F.lit(False)})
     df = df.withColumns({"_hits": F.count_if(F.col("_hit")).over(cls)})
     order = F.asc("seq") if keep_newest is None else F.desc("date_created") if keep_newest else F.asc("date_created")
     df = df.withColumn("_nth", F.row_number().over(cls.orderBy(F.desc(F.col("_hit").cast("int")), order, "seq")))
@@ -180,18 +186,18 @@ def deltas(items: DataFrame, columns: dict[str, bool]) -> DataFrame:
     """Adds <column>_delta, the percent by which each value differs from its group's best (0 at the best); columns: name -> less is better."""
     out = {}
     for c, least in columns.items():
-        best = (F.min if least else F.max)(c).over(GROUP)
+        best = (F.min if least else F.max)(c).over(group())
         out[f"{c}_delta"] = F.when(best != 0, (F.col(c) - best) / best.cast("double") * 100)
     return items.withColumns(out)
 
 
 def hdr_upgrades(items: DataFrame) -> DataFrame:
-    return items.withColumn("is_hdr_upgrade", F.col("hdr_rank") > F.min("hdr_rank").over(GROUP))
+    return items.withColumn("is_hdr_upgrade", F.col("hdr_rank") > F.min("hdr_rank").over(group()))
 
 
 def chips(items: DataFrame, columns: dict[str, bool]) -> DataFrame:
     """Each row against the one before it in its group: better, worse or neutral by column."""
-    w = GROUP.orderBy("seq")
+    w = group().orderBy("seq")
     out = {}
     for c, least in columns.items():
         before = F.lag(c).over(w)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text
 
-GROUP = Window.partitionBy("group_id")
+
+
+def group() -> WindowSpec:
+    """The rows of a group."""
+    return Window.partitionBy("group_id")
+
+
 FLIPPED, PARTIAL, AI, GRAY, PHASH = 1, 2, 4, 8, 16
 
 
@@ -64,7 +70,7 @@ def member_order(items: DataFrame, mode: str, descending: bool = True, best_firs
     """Adds nth, each row's place in its group; ties in the rows' own order."""
     key = F.lower("path") if mode == "name" else F.col(MEMBER_SORTS[mode])
     first = [best_first.cast("int").desc()] if best_first is not None else []
-    return items.withColumn("nth", F.row_number().over(GROUP.orderBy(*first, key.desc() if descending else key.asc(), "seq")))
+    return items.withColumn("nth", F.row_number().over(group().orderBy(*first, key.desc() if descending else key.asc(), "seq")))
 
 
 def visible(items: DataFrame, needle: str | None = None, kind: str | None = None, similarity: tuple[float, float] = (0, 100), checked_groups: bool = False, least: int = 2) -> DataFrame:
@@ -76,12 +82,12 @@ def visible(items: DataFrame, needle: str | None = None, kind: str | None = None
     df = items
     if needle:
         hit = F.col("path").rlike(text.glob_regex(needle, whole=False)) if set(needle) & set("*?") else F.lower("path").contains(needle.lower())
-        df = df.withColumn("_hit", F.max(hit).over(GROUP))
+        df = df.withColumn("_hit", F.max(hit).over(group()))
         keep = keep & F.col("_hit")
     if checked_groups:
-        df = df.withColumn("_some", F.max("checked").over(GROUP))
+        df = df.withColumn("_some", F.max("checked").over(group()))
         keep = keep & F.col("_some")
-    return df.where(keep).withColumn("_n", F.count("*").over(GROUP)).where(F.col("_n") >= least).select(*items.columns)
+    return df.where(keep).withColumn("_n", F.count("*").over(group())).where(F.col("_n") >= least).select(*items.columns)
 
 
 def hit_groups(items: DataFrame, needle: str) -> DataFrame:
@@ -118,14 +124,14 @@ def all_equal(items: DataFrame, columns: list[str]) -> DataFrame:
 def redownloads(items: DataFrame) -> DataFrame:
     """Live rows of groups that hold a tombstone (deleted content that is remembered)."""
     tomb = ~F.col("file_exists") & F.col("root_ready")
-    return items.withColumn("_tomb", F.max(tomb).over(GROUP)).where(F.col("_tomb") & F.col("file_exists")).drop("_tomb")
+    return items.withColumn("_tomb", F.max(tomb).over(group())).where(F.col("_tomb") & F.col("file_exists")).drop("_tomb")
 
 
 def drop_hard_links(items: DataFrame) -> DataFrame:
     """Keeps the first of rows that are one file on disk; groups left with one row go."""
     w = Window.partitionBy("group_id", "size", "st_dev", "st_ino").orderBy("seq")
     kept = items.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
-    return kept.withColumn("_n", F.count("*").over(GROUP)).where("_n >= 2").drop("_n")
+    return kept.withColumn("_n", F.count("*").over(group())).where("_n >= 2").drop("_n")
 
 
 def drop_blacklisted(items: DataFrame, blacklist: DataFrame) -> DataFrame:
@@ -159,7 +165,7 @@ def action_plan(items: DataFrame, action: str, target_folder: str = "") -> DataF
     without one isn't linked."""
     if action not in ACTIONS:
         raise ValueError(f"unknown action {action!r}")
-    keeper = F.max(F.when(~F.col("checked"), F.struct("size", (-F.col("seq")).alias("s"), "path"))).over(GROUP)["path"]
+    keeper = F.max(F.when(~F.col("checked"), F.struct("size", (-F.col("seq")).alias("s"), "path"))).over(group())["path"]
     target = {"move": F.concat(F.lit(target_folder.rstrip("/") + "/"), text.file_name(F.col("path"))), "symlink": F.col("_keeper"), "hardlink": F.col("_keeper")}.get(action, F.lit(None).cast("string"))
     plan = items.withColumn("_keeper", keeper).where("checked").select("group_id", "path", F.lit(action).alias("action"), target.alias("target"))
     return plan.where("target IS NOT NULL") if action in ("symlink", "hardlink") else plan

@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: duplicate items: an order is a group, its lines are the items.
 ITEMS = {
     "group_id": "l_orderkey",
-    "seq": "l_partkey * 100000 + l_suppkey",
+    "seq": "((l_partkey * 100000 + l_suppkey) * 8 + l_linenumber) * 64 + CAST(floor(l_quantity) AS BIGINT)",
     "path": "concat('/lib', l_suppkey % 7, '/o', l_orderkey, '/p', l_partkey, '_', l_suppkey, '.mp4')",
     "folder": "concat('/lib', l_suppkey % 7, '/o', l_orderkey)",
     "size": "CAST(floor(l_extendedprice * 100) AS BIGINT)",

@@ -126,8 +126,8 @@ def quarantine(spark, sf):
 _MISSING = "m AS (SELECT o_orderkey AS path, CAST(floor(o_totalprice / 20) AS BIGINT) AS size, o_orderdate AS date_modified FROM orders WHERE o_orderkey % 3 = 0), f AS (SELECT o_orderkey AS path, CAST(floor(o_totalprice / 20) AS BIGINT) AS size, o_orderdate AS date_modified FROM orders WHERE o_orderkey % 3 <> 0)"
 
 
-@query("j17_relocate", f"""WITH {_MISSING}, s AS (SELECT size, count(*) AS n, min(path) AS only FROM f GROUP BY size), l AS (SELECT m.path, count(*) AS k, min(f.path) AS found FROM m JOIN f USING (size) JOIN s USING (size) WHERE s.n > 1 AND abs(epoch_us(m.date_modified) - epoch_us(f.date_modified)) <= 2000000 GROUP BY m.path)
-SELECT m.path, CASE WHEN n = 1 THEN only WHEN n > 1 AND coalesce(k, 0) = 1 THEN found END AS new_path, CASE WHEN n IS NULL THEN 'NotFound' WHEN n = 1 THEN 'SizeOnly' WHEN coalesce(k, 0) = 1 THEN 'SizeAndModified' WHEN coalesce(k, 0) > 1 THEN 'Ambiguous' ELSE 'NotFound' END AS confidence, CASE WHEN n = 1 THEN 1 ELSE coalesce(k, 0) END AS candidates FROM m LEFT JOIN s USING (size) LEFT JOIN l USING (path)""")
+@query("j17_relocate", f"""WITH {_MISSING}, s AS (SELECT size, count(*) AS n, min(path) AS lone FROM f GROUP BY size), l AS (SELECT m.path, count(*) AS k, min(f.path) AS found FROM m JOIN f USING (size) JOIN s USING (size) WHERE s.n > 1 AND abs(epoch_us(m.date_modified) - epoch_us(f.date_modified)) <= 2000000 GROUP BY m.path)
+SELECT m.path, CASE WHEN n = 1 THEN lone WHEN n > 1 AND coalesce(k, 0) = 1 THEN found END AS new_path, CASE WHEN n IS NULL THEN 'NotFound' WHEN n = 1 THEN 'SizeOnly' WHEN coalesce(k, 0) = 1 THEN 'SizeAndModified' WHEN coalesce(k, 0) > 1 THEN 'Ambiguous' ELSE 'NotFound' END AS confidence, CASE WHEN n = 1 THEN 1 ELSE coalesce(k, 0) END AS candidates FROM m LEFT JOIN s USING (size) LEFT JOIN l USING (path)""")
 def relocate(spark, sf):
     o = table(spark, sf, "orders").selectExpr("o_orderkey AS path", "CAST(floor(o_totalprice / 20) AS BIGINT) AS size", "o_orderdate AS date_modified")
     return catalog.relocate(o.where("path % 3 = 0"), o.where("path % 3 <> 0"))

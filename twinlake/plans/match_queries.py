@@ -211,7 +211,7 @@ def flagship(spark, sf):
     groups = grouping.components(pairs.select(F.col("idx_a").alias("a"), F.col("idx_b").alias("b")))
     best = pairs.select(F.col("idx_a").alias("node"), "cosine").union(pairs.select("idx_b", "cosine")).groupBy("node").agg(F.max("cosine").alias("similarity"), F.count("*").alias("partners"))
     df = groups.join(best, "node").select(F.col("component").alias("group_id"), F.col("node").alias("idx"), "similarity", "partners")
-    return df.withColumn("is_best", F.row_number().over(rank.GROUP.orderBy(F.desc("partners"), F.desc("similarity"), "idx")) == 1)
+    return df.withColumn("is_best", F.row_number().over(rank.group().orderBy(F.desc("partners"), F.desc("similarity"), "idx")) == 1)
 
 
 def _edges(spark, sf):

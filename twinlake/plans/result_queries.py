@@ -243,13 +243,13 @@ def cleanup_report(spark, sf):
     return results.cleanup_report(items(spark, sf))
 
 
-@query("k11_link_plan", f"""{ITEMS_SQL}, k AS (SELECT group_id, arg_max(path, size * 100000000000 - seq) AS target FROM (SELECT group_id, path, CAST(size AS HUGEINT) AS size, seq FROM items WHERE NOT checked) GROUP BY group_id)
+@query("k11_link_plan", f"""{ITEMS_SQL}, k AS (SELECT group_id, arg_max(path, {{'a': size, 'b': -seq}}) AS target FROM (SELECT * FROM items WHERE NOT checked) GROUP BY group_id)
 SELECT i.group_id, i.path, 'hardlink' AS action, k.target FROM items i JOIN k USING (group_id) WHERE checked""")
 def link_plan(spark, sf):
     return results.action_plan(items(spark, sf), "hardlink")
 
 
-@query("k11_move_plan", f"{ITEMS_SQL} SELECT group_id, path, 'move' AS action, concat('/out/p', seq // 100000, '_', seq % 100000, '.mp4') AS target FROM items WHERE checked")
+@query("k11_move_plan", f"{ITEMS_SQL} SELECT group_id, path, 'move' AS action, concat('/out/', regexp_extract(path, '[^/]*$')) AS target FROM items WHERE checked")
 def move_plan(spark, sf):
     return results.action_plan(items(spark, sf), "move", "/out/")
 
@@ -260,7 +260,7 @@ def result_rows(spark, sf):
     return sinks.result_rows(items(spark, sf))
 
 
-@query("k04_result_groups", f"{ITEMS_SQL} SELECT group_id, count(*) AS n, arg_min(path, (100 - similarity) * 1000000000000 + seq) AS first_path FROM items GROUP BY group_id")
+@query("k04_result_groups", f"{ITEMS_SQL} SELECT group_id, count(*) AS n, arg_min(path, {{'a': 100 - similarity, 'b': seq}}) AS first_path FROM items GROUP BY group_id")
 def result_groups(spark, sf):
     return sinks.result_groups(items(spark, sf)).select("group_id", F.size("items").cast("long").alias("n"), F.col("items")[0]["path"].alias("first_path"))
 

@@ -28,8 +28,10 @@ def list_files(spark: SparkSession, folder: str, images: bool = True, recursive:
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """The newest whole version: a version counts once its commit marker is written."""
-    done = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", "true").load(path).select("path")
-    newest = done.select(F.regexp_extract("path", r"v=(\d+)/_SUCCESS$", 1).cast("long").alias("v")).agg(F.max("v")).first()[0]
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
+    found = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marker) or []
+    newest = max((int(f.getPath().getParent().getName().removeprefix("v=")) for f in found), default=None)
     if newest is None:
         return spark.createDataFrame([], schema.MEDIA_ENTRY)
     return spark.read.schema(schema.MEDIA_ENTRY).option("ignoreCorruptFiles", "true").parquet(f"{path}/v={newest}")

@@ -8,8 +8,34 @@ STREAM = "struct<index:string,codec_name:string,codec_long_name:string,codec_typ
 FRAME = "struct<pos_idx:int,t_sec:double,gray:binary,phash:bigint>"
 
 
+_SIMPLE = {"string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "float": T.FloatType(), "binary": T.BinaryType(), "timestamp": T.TimestampType()}
+
+
+def _parts(text: str) -> list[str]:
+    """The text cut at the commas outside of brackets."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [p.strip() for p in out]
+
+
+def _type(text: str) -> T.DataType:
+    if text.startswith("array<"):
+        return T.ArrayType(_type(text[6:-1]))
+    if text.startswith("struct<"):
+        return T.StructType([T.StructField(n, _type(t)) for n, t in (p.split(":", 1) for p in _parts(text[7:-1]))])
+    if text.startswith("decimal("):
+        return T.DecimalType(*map(int, text[8:-1].split(",")))
+    return _SIMPLE[text]
+
+
 def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+    """Without a session, which Spark's own parser needs."""
+    return T.StructType([T.StructField(n, _type(t)) for n, t in (p.split(" ", 1) for p in _parts(ddl))])
 
 
 MEDIA_ENTRY = _schema(f"path string, folder string, is_image boolean, flags int, date_created timestamp, date_modified timestamp, size bigint, duration_s double, streams array<{STREAM}>, frames array<{FRAME}>, audio_fp array<bigint>, os_hash string, file_exists boolean, root_ready boolean, st_dev bigint, st_ino bigint")
