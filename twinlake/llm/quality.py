@@ -5,8 +5,9 @@ into a design half and a holdout.  For each stratum (language) and ratio, thresh
 strictest; a threshold holds while the exact (Clopper-Pearson) upper bound of the holdout's false rejections stays within
 ``alpha`` over the number of ratios.  The sequence stops at the first that fails, so the tests within it need no correction;
 over strata and ratios ``delta`` is divided (Bonferroni).  So with probability 1 - delta no stratum loses more than alpha of its
-good documents.  Of the thresholds that hold, the design half picks the one that rejects the most bad documents, the most lenient
-on ties; one that rejects none is not used.
+good documents.  Ratios take their turns; of the thresholds that hold, the design half picks the one that rejects the most bad
+documents of those that no ratio before rejects, less ``cost`` times the good ones, the most lenient on ties.  One without a gain is
+not used, so good documents aren't spent on what another ratio or the base rule has caught.
 
 Cases: null or empty text has no words and fails the base rule; a null language is the stratum ""; a stratum without enough labels
 rejects by the base rule only; label rows with a null are ignored, and of several rows for a document the worst counts; repeated
@@ -138,46 +139,49 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return hi
 
 
-def fit(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> dict[str, dict[str, int]]:
-    """stratum -> ratio -> the highest bin that is kept.
+def fit(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, cost: int = 5) -> dict[str, dict[str, int]]:
+    """stratum -> ratio -> the highest bin that is kept; cost: bad documents that one good document outweighs.
 
-    All labelled rows enter histograms; the driver gets one row for each stratum, ratio and bin, of those strata only that have
-    the good holdout documents without which no bound can hold."""
+    All labelled rows enter histograms; the driver gets one row for each stratum and bin, of those strata only that have the good
+    holdout documents without which no bound can hold."""
     judged = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = measured.where(~F.col("base_failed")).join(judged, "doc_id").select("stratum", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("holdout"), (F.col("quality") > 0).alias("good"), F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), F.col(r).alias("bin")) for r in RATIOS))).alias("x"))
+    holdout = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    rows = measured.where(~F.col("base_failed")).join(judged, "doc_id").select("stratum", holdout.alias("holdout"), (F.col("quality") > 0).alias("good"), *RATIOS)
+    rows = common.checkpoint(rows)
     needed = math.ceil(math.log(delta / len(RATIOS)) / math.log1p(-alpha / len(RATIOS)))
-    counted = rows.groupBy("stratum", "holdout", "good", "x.ratio", "x.bin").agg(F.count("*").alias("n"))
-    enough = counted.where("holdout AND good").groupBy("stratum").agg(F.sum("n").alias("m")).where(F.col("m") >= needed * len(RATIOS)).select("stratum")
-    histograms: dict[tuple, np.ndarray] = {}
-    for r in counted.join(enough, "stratum").collect():
-        histograms.setdefault((r.stratum, r.ratio, r.holdout, r.good), np.zeros(BINS + 1, np.int64))[r.bin] += r.n
-    strata = sorted({k[0] for k in histograms})
+    enough = common.checkpoint(rows.where("holdout AND good").groupBy("stratum").agg(F.count("*").alias("m")).where(F.col("m") >= needed).select("stratum"))
+    strata = sorted(r.stratum for r in enough.collect())
     out: dict[str, dict[str, int]] = {}
-    for s in strata:
-        for ratio in RATIOS:
-            good, bad = histograms.get((s, ratio, True, True)), histograms.get((s, ratio, False, False))
-            if good is None or bad is None:
-                continue
-            n, best = int(good.sum()), (0, BINS)
+    for ratio in RATIOS:
+        # the bound sees all holdout documents, the choice only those of the design half that no ratio before rejects
+        left = judge(rows, out).where("holdout OR size(rejected_by) = 0")
+        counts: dict[tuple, np.ndarray] = {}
+        for r in left.join(enough, "stratum").groupBy("stratum", "holdout", "good", F.col(ratio).alias("bin")).agg(F.count("*").alias("n")).collect():
+            counts.setdefault((r.stratum, r.holdout, r.good), np.zeros(BINS + 1, np.int64))[r.bin] += r.n
+        for s in strata:
+            none = np.zeros(BINS + 1, np.int64)
+            held, good, bad = counts.get((s, True, True), none), counts.get((s, False, True), none), counts.get((s, False, False), none)
+            best = (0, BINS)
             for t in range(BINS - 1, -1, -1):
-                if upper_bound(int(good[t + 1 :].sum()), n, delta / (len(strata) * len(RATIOS))) > alpha / len(RATIOS):
+                if upper_bound(int(held[t + 1 :].sum()), int(held.sum()), delta / (len(strata) * len(RATIOS))) > alpha / len(RATIOS):
                     break
-                best = max(best, (int(bad[t + 1 :].sum()), t))
-            if best[0]:
+                best = max(best, (int(bad[t + 1 :].sum()) - cost * int(good[t + 1 :].sum()), t))
+            if best[0] > 0:
                 out.setdefault(s, {})[ratio] = best[1]
     return out
 
 
 def judge(measured: DataFrame, thresholds: dict[str, dict[str, int]]) -> DataFrame:
-    """Adds rejected_by (the ratios over their thresholds) and kept."""
+    """Adds rejected_by, the ratios over their thresholds."""
     over = [F.when(F.coalesce(*(F.when(F.col("stratum") == s, F.lit(t[r])) for s, t in thresholds.items() if r in t), F.lit(BINS)) < F.col(r), F.lit(r)) for r in RATIOS]
-    return measured.withColumn("rejected_by", F.array_compact(F.array(*over))).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+    return measured.withColumn("rejected_by", F.array_compact(F.array(*over)))
 
 
 def report(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Counts and verdict of each document; the texts are read once, the counts kept in the shared folder."""
     measured = common.checkpoint(measure(docs))
-    return judge(measured, fit(measured, labels, alpha, delta)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
+    kept = ~F.col("base_failed") & (F.size("rejected_by") == 0)
+    return judge(measured, fit(measured, labels, alpha, delta)).withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
