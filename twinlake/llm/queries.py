@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontamination, jaccard_join, licenses, lm_score, mixing, pii, quality, suffix_dedup, token_output
+from . import chat, common, decontamination, jaccard_join, licenses, lm_score, mixing, oracle, pii, quality, suffix_dedup, token_output
+from .mixing_settings import BUDGET_PERCENT, DOMAINS, EPOCHS, SEED, WEIGHTS
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,10 +16,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_settings() -> dict:
-    """Production parameters of the mix.  A source's domain is its number modulo 3."""
+    """Production parameters, with the domain as a column."""
     number = F.coalesce(F.try_to_number(F.lpad(F.regexp_extract("source", "([0-9]{1,9})$", 1), 9, "0"), F.lit("000000000")), F.lit(0)).cast("long")
-    domain = F.element_at(F.array(*map(F.lit, ("web", "reference", "forum"))), (number % 3 + 1).cast("int"))
-    return {"domain": domain, "weights": {"domain": {"web": 5, "reference": 4, "forum": 3}, "lang": {"en": 6, "de": 2, "fr": 2}}, "budget_percent": 75, "epochs": 2, "seed": 17}
+    domain = F.element_at(F.array(*map(F.lit, DOMAINS)), (number % 3 + 1).cast("int"))
+    return {"domain": domain, "weights": WEIGHTS, "budget_percent": BUDGET_PERCENT, "epochs": EPOCHS, "seed": SEED}
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,16 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op5_decontamination": r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-windows AS (SELECT item_id, least(13, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) AS phrase FROM b WHERE len(w) > 0),
-kinds AS (SELECT DISTINCT n FROM windows),
-places AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS phrase FROM d, kinds WHERE len(w) >= n),
-hits AS (SELECT p.doc_id, p.n, p.i, x.item_id FROM places p JOIN windows x ON p.n = x.n AND p.phrase = x.phrase),
-covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT doc_id, n, i FROM hits)) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
-""",
+    "op2_source_mixing": oracle.OP2,
+    "op5_decontamination": oracle.OP5,
+    "op8_suffix_dedup": oracle.OP8,
+    "op9_jaccard_join": oracle.OP9,
 }
