@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import numbering
 
 
 
@@ -52,15 +53,9 @@ def sorted_headers(head: DataFrame, mode: str, descending: bool = True) -> DataF
 
 
 def numbered(head: DataFrame, mode: str, descending: bool = True) -> DataFrame:
-    """Adds group_no, from 1 in sort order.  A global number needs all groups in order: sizes of the sorted ranges are summed first, so
-    no task reads more than its own range."""
+    """Adds group_no, from 1 in sort order."""
     key = F.lower("first_path") if mode == "FolderPath" else F.col(SORTS[mode])
-    order = [key.desc() if descending else key.asc(), F.col("group_id").asc()]
-    ranged = head.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id())
-    local = ranged.withColumn("_local", F.col("_nth") - F.col("_part").cast("long") * F.lit(1 << 33))
-    sizes = local.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    return local.join(F.broadcast(before), "_part").withColumn("group_no", F.col("_before") + F.col("_local") + 1).drop("_part", "_nth", "_local", "_size", "_before")
+    return numbering.numbered(head, [key.desc() if descending else key.asc(), F.col("group_id").asc()], "group_no", first=1)
 
 
 MEMBER_SORTS = {"similarity": "similarity", "size": "size", "duration": "duration_s", "bitrate": "bitrate_kbs", "resolution": "frame_size_int", "date": "date_created", "name": "path"}

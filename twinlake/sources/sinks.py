@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import numbering
 
 
 def write_catalog(entries: DataFrame, path: str, version: int) -> None:
@@ -18,14 +19,9 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def diagnostic(entries: DataFrame) -> DataFrame:
-    """Entries without their paths: a running id by path, facts, flags, and frames in order of position as base64.
-
-    The id is a rank over a range-partitioned order: sizes of the ranges are summed, so no task sees all rows."""
-    ordered = entries.repartitionByRange("path").sortWithinPartitions("path").withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id() - F.spark_partition_id().cast("long") * F.lit(1 << 33))
-    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.alias("x").join(sizes.alias("y"), F.col("y._part") < F.col("x._part"), "left").groupBy(F.col("x._part").alias("_part")).agg(F.coalesce(F.sum("y._n"), F.lit(0).cast("long")).alias("_before"))
+    """Entries without their paths: a running id by path, facts, flags, and frames in order of position as base64."""
     frames = F.transform(F.array_sort(F.transform("frames", lambda f: F.struct(f["pos_idx"].alias("pos"), f["gray"].alias("gray")))), lambda f: F.base64(f["gray"]))
-    return ordered.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_nth")).alias("id"), "is_image", "flags", "size", "duration_s", frames.alias("frames"), F.transform("frames", lambda f: f["phash"]).alias("hashes"))
+    return numbering.numbered(entries, [F.col("path")], "id").select("id", "is_image", "flags", "size", "duration_s", frames.alias("frames"), F.transform("frames", lambda f: f["phash"]).alias("hashes"))
 
 
 def result_groups(items: DataFrame) -> DataFrame:
