@@ -87,4 +87,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": oracle.OP5,
     "op8_suffix_dedup": oracle.OP8,
     "op9_jaccard_join": oracle.OP9,
+    "op10_chat_format": oracle.OP10,
 }
