@@ -71,8 +71,11 @@ def partial_ratio(entries: DataFrame, least: float = 0.10, most: float = 0.95, k
 
 def hash_pairs(entries: DataFrame, bits: int, hash_column: str = "phash", order: str = "idx") -> DataFrame:
     """Pairs of hashes that differ in at most so many bits, by multi-index hashing: 64 bits fall into ``bits + 1`` pieces, of which
-    similar hashes share one (pigeonhole), so this is exact and no other pair is made.  A pair is kept at its first shared piece."""
+    similar hashes share one (pigeonhole), so this is exact and no other pair is made.  A pair is kept at its first shared piece.
+    Pieces of so few bits that they would make more pairs than there are give way to blocks."""
     pieces = min(64, bits + 1)
+    if pieces / 2 ** (64 / pieces) > 0.5:
+        return block_pairs(entries, order=order).where(kernels.hamming(F.col(f"{hash_column}_a"), F.col(f"{hash_column}_b")) <= bits)
     bounds = [i * 64 // pieces for i in range(pieces + 1)]
     masks = [(((1 << (b - a)) - 1) << a) for a, b in zip(bounds, bounds[1:], strict=False)]
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
