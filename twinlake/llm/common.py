@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts are held in the JVM's and in Python's memory; unless the session says otherwise, they get this
+    many rows instead of 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a URI or a local path."""
     from pyarrow import fs
@@ -64,6 +73,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 62, size: int = 1 << 62) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together until they have so many rows or bytes, for work that is cheaper on many at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows or sum(b.nbytes for b in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def slices(offsets: np.ndarray, most: int):
     """(first, end) row ranges that hold at most so many bytes, or a single row."""
     n, i = len(offsets) - 1, 0

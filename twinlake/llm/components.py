@@ -46,7 +46,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
             label, node = contracted(*(np.concatenate([h[i] for h in held]) for i in range(2)))
             return pa.record_batch([pa.array(label), pa.array(node)], names=["a", "b"])
 
-        for batch in batches:
+        for batch in common.gathered(batches, rows=20_000):
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
             if sum(len(h[0]) for h in held) >= 2 * _CHUNK:
                 yield out()

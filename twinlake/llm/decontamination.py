@@ -112,6 +112,7 @@ def merged(owner: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.nd
 def write_blocks(benchmark: DataFrame, window: int, block_bytes: int = 16 << 20) -> list[str]:
     """Benchmark items in files of bounded size; the driver holds one block at a time."""
     spark = benchmark.sparkSession
+    common.small_batches(spark)
     folder = common.new_folder(spark, "benchmark")
     fs, at = common.file_system(folder)
     fs.create_dir(at, recursive=True)
@@ -144,18 +145,24 @@ def _block(path: str) -> _Block:
 
 
 def _shard(texts: list[bytes], paths: list[str]) -> tuple[np.ndarray, tuple, list[list[str]]]:
-    """Words, merged spans and sorted item ids of each of a shard's documents."""
-    words = [words_of(t) for t in texts]
+    """Words, merged spans and sorted item ids of each of a shard's documents.  Words live as numbers; a text's own go at once."""
+    n = np.zeros(len(texts), np.int64)
     spans, items = [], [set() for _ in texts]
-    for path in paths:
-        block = _block(path)
-        get = block.vocabulary.get
-        owner, first, end, who, which = block.occurrences([np.fromiter(map(get, w, repeat(0)), np.int32, len(w)) for w in words])
-        spans.append((owner, first, end))
-        for d, i in zip(who.tolist(), which.tolist(), strict=True):
-            items[d].add(block.ids[i])
+    for path in paths or [None]:
+        block = _block(path) if path else None
+        symbols = []
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            n[i] = len(words)
+            if block:
+                symbols.append(np.fromiter(map(block.vocabulary.get, words, repeat(0)), np.int32, len(words)))
+        if block:
+            owner, first, end, who, which = block.occurrences(symbols)
+            spans.append((owner, first, end))
+            for d, i in zip(who.tolist(), which.tolist(), strict=True):
+                items[d].add(block.ids[i])
     whole = merged(*(np.concatenate([x[i] for x in spans]) for i in range(3))) if spans else (np.zeros(0, np.int64),) * 3
-    return np.fromiter(map(len, words), np.int64, len(words)), whole, [sorted(x) for x in items]
+    return n, whole, [sorted(x) for x in items]
 
 
 def _shards(batch: pa.RecordBatch, column: int, paths: list[str], shard_bytes: int) -> Iterator[tuple]:
@@ -164,13 +171,13 @@ def _shards(batch: pa.RecordBatch, column: int, paths: list[str], shard_bytes: i
         yield (a, b, *_shard([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)], paths))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 12 << 20) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 8 << 20) -> DataFrame:
     """A row for each document: its words, the merged spans of words that lie in a window, and the items with occurring windows."""
     paths = write_blocks(benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("first", pa.int64()), ("last", pa.int64())])
-        for batch in batches:
+        for batch in common.gathered(batches, size=shard_bytes):
             for a, b, n, (owner, first, end), items in _shards(batch, 1, paths, shard_bytes):
                 offsets = pa.array(np.searchsorted(owner, np.arange(b - a + 1)), pa.int32())
                 spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(first), pa.array(end - 1)], fields=list(span)))
@@ -189,12 +196,12 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, shard_bytes: int = 12 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
     paths, column = write_blocks(benchmark, window), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.gathered(batches, size=shard_bytes):
             for a, b, n, (owner, first, end), _ in _shards(batch, column, paths, shard_bytes):
                 hit = np.bincount(owner, end - first, b - a).astype(np.int64)
                 yield batch.slice(a, b - a).filter(pa.array(~((hit > 0) & (one_in * hit >= n))))

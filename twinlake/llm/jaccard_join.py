@@ -33,7 +33,7 @@ from . import common
 from .components import components
 from .shingles import identity, sets
 
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 _SMALL = 16  # members of a bucket that gives all its pairs
 _FREQUENT = 3  # documents of the sample that share a frequent signature
 _BLOCK = 256  # nodes
@@ -253,7 +253,7 @@ def _buckets(rows: DataFrame) -> DataFrame:
                 columns = [pa.array(np.concatenate([lo, node[member]])), pa.array([*hi, *[None] * len(member)], pa.int64()) if len(member) else pa.array(hi), pa.array([*[None] * len(lo), *signature[member]], pa.int64()), pa.array(np.concatenate([least[two], need[member]]))]
                 yield pa.record_batch(columns, names=["a", "b", "signature", "need"])
 
-        for batch in batches:
+        for batch in common.gathered(batches, rows=20_000):
             yield from out(batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy(), False)
         yield from out(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int32), True)
 
@@ -275,8 +275,8 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, num:
 
     Every pair is settled where its first node's text meets the other's; a node with many partners is spread over several groups,
     each with a copy of its text."""
-    members = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.floor(F.count("*").over(Window.partitionBy("a")) / 1000) + 1).alias("salt"))
-    members = common.checkpoint(members)
+    partners = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    members = common.checkpoint(pairs.join(partners, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.floor(F.col("n") / 1000) + 1).alias("salt")))
     orders = members.select(F.col("b").alias("node"), "a", "salt", F.lit(1).alias("second")).unionByName(members.select(F.col("a").alias("node"), "a", "salt", F.lit(0).alias("second")).distinct())
     orders = common.checkpoint(orders.join(nodes, "node").groupBy("doc_id", "node").agg(F.collect_list(F.struct("a", "salt", "second")).alias("orders")))
     if orders.count() <= _BROADCAST_ROWS and members.count() <= _BROADCAST_ROWS:
@@ -308,6 +308,7 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, num:
 
 def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links of similarity num / den or more) of each document."""
+    common.small_batches(docs.sparkSession)
     bands = Bands(num, den)
     measured = common.checkpoint(measure(docs, width))
     nodes = common.checkpoint(measured.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")))

@@ -209,7 +209,7 @@ def learn(counted: DataFrame, path: str, rounds: int = 2, prior: float = 0.1) ->
         def run(batches: Iterator[pa.RecordBatch], logp=logp) -> Iterator[pa.RecordBatch]:
             model = lattice(path)
             total = np.zeros(model.size)
-            for batch in batches:
+            for batch in common.gathered(batches, rows=10_000):
                 for words, n, _ in _batched(batch):
                     total += model.expected(words, n, logp)
             at = np.flatnonzero(total)
@@ -231,7 +231,7 @@ def _word_scores(counted: DataFrame, path: str, logp: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path)
-        for batch in batches:
+        for batch in common.gathered(batches, rows=10_000):
             score = np.full(len(batch), logp[model.end])
             for words, _, part in _batched(batch):
                 score[part] = model.marginals(words, logp)
@@ -253,6 +253,7 @@ def _load(path: str) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarr
 
 def score(docs: DataFrame, path: str, rounds: int = 2, share: float = 1e-6) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10) of each document."""
+    common.small_batches(docs.sparkSession)
     counted = common.checkpoint(count_words(docs))
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     scored = common.checkpoint(_word_scores(counted, path, learn(counted, path, rounds)))
@@ -270,7 +271,7 @@ def score(docs: DataFrame, path: str, rounds: int = 2, share: float = 1e-6) -> D
         for batch in batches:
             text, offsets = common.text_bytes(batch.column(2))
             ids, held = batch.column(0), batch.column(1)
-            for a, b in common.slices(offsets, 2 << 20):
+            for a, b in common.slices(offsets, 1 << 20):
                 own, rest, times, lengths, sums = [], [], [], [], np.zeros((b - a, 3))
                 for i in range(a, b):
                     words = text[offsets[i] : offsets[i + 1]].tobytes().translate(FOLD).split()

@@ -35,7 +35,7 @@ _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(0x41, 0x5B))
 _NOT_IN_WORDS = bytes([0x20, *range(9, 14), *range(0x80, 0xC0)])  # white space and all but the first byte of a character
 _WINDOW = 5
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -93,6 +93,7 @@ def base_failed(found: np.ndarray, least_words: int = 10, repeat_percent: int =
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, stratum, the counts and the bin of each ratio."""
 
+    common.small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = common.text_bytes(batch.column(2))

@@ -16,7 +16,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 19)
         for i, p in enumerate((_P, pow(_P, -1, 1 << 64))):
             x = np.full(size, p, np.uint64)
             x[0] = 1

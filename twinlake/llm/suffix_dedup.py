@@ -131,7 +131,7 @@ def _meet(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = pending = None  # the row before; the first row of an open key whose runs so far are all alike
-        for batch in batches:
+        for batch in common.gathered(batches, rows=20_000):
             if not len(batch):
                 continue
             repeat, key, digest, doc, version, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
@@ -257,6 +257,7 @@ def find(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20) -> Data
     """doc, version, text, and ranges: the byte ranges that repeat, in any order and perhaps overlapping; a row for each document."""
     if length < _GRAM:
         raise ValueError(f"strings of {_GRAM} bytes at least")
+    common.small_batches(docs.sparkSession)
     sources = _sources(docs)
     met = common.checkpoint(_meet(_find_runs(sources, length)))
     partitions = common.shuffle_partitions(docs.sparkSession)

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _coders: dict[tuple, _Coder] = {}
 _MARK = re.compile(rb"(?<=[a-z])([,.])(?=[\x20\n])")
 _TOGETHER = 2000
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 
 class _Coder:
@@ -55,7 +56,7 @@ class _Coder:
         """The ids of each text as bytes."""
         words = [self.words(t) for t in texts]
         if len(self.known) > self.most:
-            self.known.clear()
+            self.trim(self.most // 2)
         new = list(set().union(*words) - self.known.keys())
         plain = [w for w in new if not any(t in w for t in self.special)] if self.special else []
         for i in range(0, len(plain), _TOGETHER):
@@ -69,8 +70,13 @@ class _Coder:
             self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, self.kind).tobytes()
         return [b"".join(map(self.known.__getitem__, x)) for x in words]
 
+    def trim(self, most: int = 50_000) -> None:
+        """Between tasks only the words that came first stay, the frequent ones among them: a worker lives on with other work."""
+        if len(self.known) > most:
+            self.known = dict(islice(self.known.items(), most))
 
-def coder(path: str, most: int = 600_000) -> _Coder:
+
+def coder(path: str, most: int = 200_000) -> _Coder:
     """One for each Python worker; most: words it remembers beside those of one slice."""
     if (path, most) not in _coders:
         _coders[path, most] = _Coder(path, most)
@@ -115,6 +121,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int, l
 
     A task writes under a name of its own attempt and renames at its end, so a repeated task leaves one whole file."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     fs, at = common.file_system(folder)
     fs.create_dir(at, recursive=True)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(partitions or common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -139,6 +146,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int, l
                     first[i] = writer.n
                     writer.add(ids + end)
             starts.append(pa.record_batch([batch.column(0), pa.array(first), pa.array(np.diff(np.append(first, writer.n)))], names=["doc_id", "first", "n_tokens"]))
+        words.trim()
         if writer is not None:
             writer.close()
             sink.close()
