@@ -193,6 +193,19 @@ def test_groups_against_replay(spark):
     assert sum(map(len, got.values())) == len(set().union(*got.values()))  # every node once
 
 
+@pytest.mark.parametrize("chunk", [3, 1000])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(grouping, "_CHUNK", chunk)
+    rng = random.Random(3)
+    pairs = [(rng.randrange(50), rng.randrange(50)) for _ in range(35)] + [(200 + i, 201 + i) for i in range(25)]
+    want = {x: x for e in pairs for x in e}
+    for _ in want:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r.node: r.component for r in grouping.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == want
+
+
 def test_over_budget_components_stay(spark):
     edges = spark.createDataFrame([(i, i + 1, 0.0, 0, True, False) for i in range(10)], "a long, b long, difference double, flags int, emitted boolean, plain boolean")
     assert {(r.group_id, r.skipped) for r in grouping.groups(edges, budget=5).collect()} == {(0, True)}

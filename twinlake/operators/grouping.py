@@ -11,6 +11,7 @@ import tempfile
 from collections import defaultdict
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,46 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+_CHUNK = 500_000  # edges that a task joins at once
+
+
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Edges -> (least node, node) of each of their components among themselves, by labels on both ends until none moves."""
+    nodes, at = np.unique(np.concatenate([pdf.a.to_numpy(), pdf.b.to_numpy()]), return_inverse=True)
+    x, y = np.split(at, 2)
+    label = np.arange(len(nodes))
+    while True:
+        low, after = np.minimum(label[x], label[y]), label.copy()
+        for end in (x, y):
+            np.minimum.at(after, label[end], low)
+        after = after[after]
+        if np.array_equal(after, label):
+            return pd.DataFrame({"a": nodes[label], "b": nodes})
+        label = after
+
+
+def _chunks(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    held: list[pd.DataFrame] = []
+    for pdf in frames:
+        held.append(pdf)
+        if sum(map(len, held)) >= 2 * _CHUNK:
+            yield _joined(pd.concat(held))
+            held = []
+    if held:
+        yield _joined(pd.concat(held))
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, component): the least node reachable over the (a, b) edges."""
-    both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("node", "other"))
+    """(node, component): the least node reachable over the (a, b) edges.
+
+    Tasks join chunks of bounded size to stars first, which ends it for an edge table of one chunk; beyond that, labels spread over the
+    stars and jump to their own label until none moves."""
+    edges = checkpoint(edges.select("a", "b"))
+    n = -(-edges.count() // _CHUNK)
+    stars = checkpoint(edges.repartition(max(1, n)).mapInPandas(_chunks, "a long, b long"))
+    if n <= 1:
+        return stars.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    both = checkpoint(stars.union(stars.select("b", "a")).distinct().toDF("node", "other"))
     labels = checkpoint(both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")))
     for _ in range(rounds):
         near = both.join(labels.toDF("other", "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
