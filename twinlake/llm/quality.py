@@ -150,14 +150,16 @@ def fit(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: floa
     rows = measured.where(~F.col("base_failed")).join(judged, "doc_id").select("stratum", holdout.alias("holdout"), (F.col("quality") > 0).alias("good"), *RATIOS)
     rows = common.checkpoint(rows)
     needed = math.ceil(math.log(delta / len(RATIOS)) / math.log1p(-alpha / len(RATIOS)))
-    enough = common.checkpoint(rows.where("holdout AND good").groupBy("stratum").agg(F.count("*").alias("m")).where(F.col("m") >= needed).select("stratum"))
+    enough = rows.where("holdout AND good").groupBy("stratum").agg(F.count("*").alias("m")).where(F.col("m") >= needed)
     strata = sorted(r.stratum for r in enough.collect())
+    if not strata:
+        return {}
     out: dict[str, dict[str, int]] = {}
     for ratio in RATIOS:
         # the bound sees all holdout documents, the choice only those of the design half that no ratio before rejects
         left = judge(rows, out).where("holdout OR size(rejected_by) = 0")
         counts: dict[tuple, np.ndarray] = {}
-        for r in left.join(enough, "stratum").groupBy("stratum", "holdout", "good", F.col(ratio).alias("bin")).agg(F.count("*").alias("n")).collect():
+        for r in left.where(F.col("stratum").isin(strata)).groupBy("stratum", "holdout", "good", F.col(ratio).alias("bin")).agg(F.count("*").alias("n")).collect():
             counts.setdefault((r.stratum, r.holdout, r.good), np.zeros(BINS + 1, np.int64))[r.bin] += r.n
         for s in strata:
             none = np.zeros(BINS + 1, np.int64)
