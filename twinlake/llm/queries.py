@@ -47,7 +47,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_output.encode_to_files(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_output.encode_to_files(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, words_held=600_000, words_kept=600_000)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

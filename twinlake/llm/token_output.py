@@ -11,7 +11,6 @@ keeps a row; an empty table writes no file and returns no row; other columns are
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -28,16 +27,16 @@ FILES = "part long, path string, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 _coders: dict[tuple, _Coder] = {}
-_MARK = re.compile(rb"(?<=[a-z])([,.])(?=[\x20\n])")
+_MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 _TOGETHER = 2000
-_SLICE = 1 << 20
+_SLICE = 2 << 20
 
 
 class _Coder:
     """Encodes texts word by word and remembers the ids of words.
 
-    The tokenizer lower-cases and never joins across white space, nor a letter with the comma or full stop after it, so the ids of
-    a text are those of its words (and of such marks) in turn.  New words are encoded together, a special token between two."""
+    The tokenizer lower-cases and never joins across white space, so the ids of a text are those of its words in turn.  New words are
+    encoded together, a special token between two."""
 
     def __init__(self, path: str, most: int) -> None:
         from tokenizers import Tokenizer
@@ -48,35 +47,41 @@ class _Coder:
         self.known: dict[bytes, bytes] = {}
 
     def words(self, text: bytes) -> list[bytes]:
-        if any(t in text.lower() for t in self.special):  # a special token's own spelling is told apart by case
+        low = text.lower()
+        if any(t in low for t in self.special):  # a special token's own spelling is told apart by case
             return text.split()
-        return _MARK.sub(rb" \1", text.lower()).split()
+        return low.split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes."""
         words = [self.words(t) for t in texts]
         if len(self.known) > self.most:
             self.trim(self.most // 2)
-        new = list(set().union(*words) - self.known.keys())
-        plain = [w for w in new if not any(t in w for t in self.special)] if self.special else []
+        new = set().union(*words) - self.known.keys()
+        # a run of marks after a letter a-z is a piece of its own: its word needs no other encoding than that of the two parts
+        cut = {w: stem for w in new if w[-1] in _MARKS and (stem := w.rstrip(_MARKS)) and 0x61 <= stem[-1] <= 0x7A}
+        needed = new.difference(cut).union(cut.values(), (w[len(stem) :] for w, stem in cut.items())) - self.known.keys()
+        plain = [w for w in needed if not any(t in w for t in self.special)] if self.special else []
         for i in range(0, len(plain), _TOGETHER):
             part = plain[i : i + _TOGETHER]
             token, mark = next(iter(self.special.items()))
             ids = np.array(self.tokenizer.encode(token.join(part).decode(), add_special_tokens=False).ids, self.kind)
-            cut, raw = np.flatnonzero(ids == mark) * self.kind.itemsize, ids.tobytes()
-            first, end = [0, *(cut + self.kind.itemsize).tolist()], [*cut.tolist(), len(raw)]
+            at, raw = np.flatnonzero(ids == mark) * self.kind.itemsize, ids.tobytes()
+            first, end = [0, *(at + self.kind.itemsize).tolist()], [*at.tolist(), len(raw)]
             self.known.update(zip(part, [raw[a:b] for a, b in zip(first, end, strict=True)], strict=True))
-        for w in set(new).difference(plain):
+        for w in needed.difference(plain):
             self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+        for w, stem in cut.items():
+            self.known[w] = self.known[stem] + self.known[w[len(stem) :]]
         return [b"".join(map(self.known.__getitem__, x)) for x in words]
 
-    def trim(self, most: int = 50_000) -> None:
+    def trim(self, most: int) -> None:
         """Between tasks only the words that came first stay, the frequent ones among them: a worker lives on with other work."""
         if len(self.known) > most:
             self.known = dict(islice(self.known.items(), most))
 
 
-def coder(path: str, most: int = 200_000) -> _Coder:
+def coder(path: str, most: int = 400_000) -> _Coder:
     """One for each Python worker; most: words it remembers beside those of one slice."""
     if (path, most) not in _coders:
         _coders[path, most] = _Coder(path, most)
@@ -116,9 +121,11 @@ class _Writer:
         self.out.close()
 
 
-def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int, length: int = 1024, per_batch: int = 256, partitions: int | None = None) -> list:
+def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int, length: int = 1024, per_batch: int = 256, partitions: int | None = None, words_held: int = 400_000, words_kept: int = 50_000) -> list:
     """Writes the files; returns a row (part, path, n_docs, n_tokens) for each, in stream order.
 
+    words_held, words_kept: words whose ids a worker remembers during a task and from one to the next, some 170 bytes each.
+
     A task writes under a name of its own attempt and renames at its end, so a repeated task leaves one whole file."""
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -131,7 +138,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int, l
         context = TaskContext.get()
         part = context.partitionId()
         name, own = f"{at}/part-{part:06d}", f".{context.taskAttemptId()}.tmp"
-        words, writer, sink, starts = coder(tokenizer), None, None, []
+        words, writer, sink, starts = coder(tokenizer, words_held), None, None, []
         end = np.array([end_id], words.kind).tobytes()
         for batch in batches:
             if not len(batch):
@@ -146,7 +153,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int, l
                     first[i] = writer.n
                     writer.add(ids + end)
             starts.append(pa.record_batch([batch.column(0), pa.array(first), pa.array(np.diff(np.append(first, writer.n)))], names=["doc_id", "first", "n_tokens"]))
-        words.trim()
+        words.trim(words_kept)
         if writer is not None:
             writer.close()
             sink.close()
