@@ -50,6 +50,14 @@ def test_compare_finds_planted_copies(spark):
     assert any("/m/9/mirror" in g and "/m/0/1-0" in g for g in mirrored)
 
 
+def test_components_over_the_budget_keep_similarity(spark):
+    df, _ = corpus(spark)
+    m = verdict.Matching(percent=96, positions=2, side=8)
+    of = lambda budget: {(r.path, r.group_id, r.similarity, r.flags, r.skipped) for r in engine.compare(df, engine.Settings(matching=m, budget=budget)).collect()}
+    whole, small = of(131_000), of(2)
+    assert {r[:4] for r in small} == {r[:4] for r in whole} and any(r[4] for r in small) and not any(r[4] for r in whole)
+
+
 def test_folders_and_scope(spark):
     df, _ = corpus(spark)
     m = verdict.Matching(percent=96, positions=2, side=8)

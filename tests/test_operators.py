@@ -211,6 +211,39 @@ def test_over_budget_components_stay(spark):
     assert {(r.group_id, r.skipped) for r in grouping.groups(edges, budget=5).collect()} == {(0, True)}
 
 
+@pytest.mark.parametrize("daisy", [False, True])
+def test_large_components_are_merged(spark, daisy):
+    """A chain of unlike items beyond 131,000 nodes is cut into pairs by the greedy merge."""
+    n = 131_010
+    edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(0.25).alias("difference"), F.lit(8).alias("flags"), F.lit(True).alias("emitted"), F.lit(False).alias("plain"))
+    got = grouping.groups(edges, daisy=daisy).toPandas()
+    assert len(got) == n and got.groupby("group_id").size().eq(2).all() and not got.skipped.any()
+    assert (got.difference == 0.25).all() and (got["flags"] == np.where(got.node % 2, 8, 0)).all() and (got.blocked == n // 2 - 1).all()
+
+
+def test_groups_over_the_split_budget_keep_their_facts(spark):
+    star = [(0, i, i / 100, 8, True, True) for i in range(1, 8)] + [(20, 21, 0.5, 8, True, True), (20, 22, 0.5, 8, True, True), (21, 22, 0.5, 8, True, True)]
+    edges = spark.createDataFrame(star, "a long, b long, difference double, flags int, emitted boolean, plain boolean")
+    got = {(r.group_id, r.node, r.difference, r.flags, r.skipped) for r in grouping.groups(edges, split_budget=5).collect()}
+    assert got == {(0, 0, 0.01, 0, True), *((0, i, i / 100, 8, True) for i in range(1, 8)), (20, 20, 0.5, 0, False), (20, 21, 0.5, 8, False), (20, 22, 0.5, 8, False)}
+
+
+@pytest.mark.parametrize("daisy", [False, True])
+def test_streamed_merge_against_replay(spark, daisy):
+    rng = random.Random(5)
+    n = 300
+    emitted = {(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.02}
+    plain = {(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.4}
+    rows = [(a, b, (a * n + b) / 1e6, (a + b) % 8, (a, b) in emitted, (a, b) in plain) for a, b in sorted(emitted | plain)]
+    edges = spark.createDataFrame(rows, "a long, b long, difference double, flags int, emitted boolean, plain boolean").repartition(5)
+    group, rep, how, blocked = grouping.merge_greedily([r[:4] for r in rows if r[4]], plain)
+    members: dict = {}
+    for x in sorted(group, key=lambda x: how[x][2]):
+        members.setdefault(group[x], []).append(x)
+    want = {(min(part), x, rep[g] if rep[g] in part else part[0], *how[x], blocked, False) for g, order in members.items() for part in (grouping.split(order, plain) if daisy and len(order) >= 3 else [order]) for x in part}
+    assert {tuple(r) for r in grouping.groups(edges, daisy=daisy).collect()} == want
+
+
 @pytest.mark.parametrize(("percent", "least", "most"), [(20, 0, 0), (5, 10, 0), (20, 2, 30), (0, 5, 0)])
 def test_duration_band_against_loop(spark, percent, least, most):
     rng = random.Random(2)

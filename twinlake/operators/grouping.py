@@ -2,14 +2,17 @@
 
 The greedy merge depends on order and needs the plain verdict between a group's representative and a newcomer, so it runs on one
 component at a time; components come from label propagation on the edge table, and an edge table of verdicts serves as the lookup.
-Components beyond ``budget`` members stay as found and are flagged, so no task holds more than the budget allows.
+The edges of a component stream through the merge in (a, b) order whatever its size: a representative is the lesser end of every pair
+that is looked up and stands no later than the edge at hand, so only the verdicts of representatives are held.  A greedy group of more
+than ``split_budget`` members isn't split; it stays as merged and is flagged.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Container, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -80,11 +83,11 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def merge_greedily(edges: Iterable[tuple[int, int, float, int]], plain: set[tuple[int, int]]) -> tuple[dict[int, int], dict[int, int], dict[int, tuple], int]:
+def merge_greedily(edges: Iterable[tuple[int, int, float, int]], plain: Container[tuple[int, int]], rep: dict[int, int] | None = None) -> tuple[dict[int, int], dict[int, int], dict[int, tuple], int]:
     """(node -> group, group -> representative, node -> (difference, flags, place), blocked) of edges in (a, b) order."""
     similar = lambda x, y: (min(x, y), max(x, y)) in plain
     group: dict[int, int] = {}
-    rep: dict[int, int] = {}
+    rep = {} if rep is None else rep
     members: dict[int, list[int]] = {}
     how: dict[int, tuple] = {}
     blocked = 0
@@ -152,31 +155,90 @@ def split(order: list[int], plain: set[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def _replay(edges: pd.DataFrame, daisy: bool) -> pd.DataFrame:
-    """One component: its emitted edges in order, and plain verdicts as the lookup."""
-    plain = {(int(a), int(b)) for a, b, p in zip(edges.a, edges.b, edges.plain, strict=True) if p}
-    emitted = edges[edges.emitted].sort_values(["a", "b"])
-    group, rep, how, blocked = merge_greedily(zip(emitted.a.astype(int), emitted.b.astype(int), emitted.difference.astype(float), emitted["flags"].astype(int), strict=True), plain)
-    members = defaultdict(list)
-    for x in sorted(group, key=lambda x: how[x][2]):
-        members[group[x]].append(x)
-    rows = []
-    for g, order in members.items():
-        for part in split(order, plain) if daisy and len(order) >= 3 else [order]:
-            rows += [(min(part), x, rep[g] if rep[g] in part else part[0], *how[x], blocked, False) for x in part]
-    return pd.DataFrame(rows, columns=["group_id", "node", "rep", "difference", "flags", "joined", "blocked", "skipped"])
+class _Seen:
+    """Plain verdicts of the representatives so far and of the node at hand, filled while the edges stream by."""
 
+    def __init__(self) -> None:
+        self.near: dict[int, np.ndarray] = {}
+        self.rep: dict[int, int] = {}
 
-def groups(edges: DataFrame, daisy: bool = True, budget: int = 131_000) -> DataFrame:
+    def __contains__(self, pair: tuple[int, int]) -> bool:
+        near = self.near[pair[0]]
+        i = np.searchsorted(near, pair[1])
+        return bool(i < len(near) and near[i] == pair[1])
+
+    def emitted(self, rows: Iterable[tuple]) -> Iterator[tuple[int, int, float, int]]:
+        for a, some in groupby(rows, itemgetter(1)):
+            block = list(some)
+            self.near[a] = np.array([r[2] for r in block if r[6]], np.int64)
+            yield from (r[1:5] for r in block if r[5])
+            if a not in self.rep:
+                del self.near[a]
+
+
+_MERGED = "merged long, size long, group_id long, node long, rep long, difference double, flags int, joined long, blocked long"
+
+
+def _merge(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Greedy groups of whole components, from rows in the order of (component, a, b)."""
+    rows = (row for pdf in frames for row in zip(*(pdf[c].tolist() for c in ("component", "a", "b", "difference", "flags", "emitted", "plain")), strict=True))
+    held: list[pd.DataFrame] = []
+    for _, some in groupby(rows, itemgetter(0)):
+        seen = _Seen()
+        group, rep, how, blocked = merge_greedily(seen.emitted(some), seen, seen.rep)
+        out = pd.DataFrame([(group[x], x, rep[group[x]], *how[x], blocked) for x in how], columns=["merged", "node", "rep", "difference", "flags", "joined", "blocked"])
+        nodes = out.groupby("merged")["node"]
+        held.append(out.assign(size=nodes.transform("size"), group_id=nodes.transform("min")))
+        if sum(map(len, held)) >= 10_000 or len(held) >= 1_000:
+            yield pd.concat(held)
+            held = []
+    if held:
+        yield pd.concat(held)
+
+
+def _parts(members: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """One greedy group, split by the plain verdicts among its members."""
+    members = members.sort_values("joined").set_index("node", drop=False)
+    plain = set(zip(pairs.a.tolist(), pairs.b.tolist(), strict=True))
+    out = []
+    for part in split(members.node.tolist(), plain):
+        rows = members.loc[part]
+        rep = int(rows.rep.iloc[0])
+        out.append(rows.assign(group_id=min(part), rep=rep if rep in part else part[0]))
+    return pd.concat([members.iloc[:0], *out]).assign(skipped=False)[["group_id", "node", "rep", "difference", "flags", "joined", "blocked", "skipped"]]
+
+
+def greedy(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of greedy groups before any split, with the group's size."""
+    used = edges.where("emitted OR plain").select("a", "b", F.col("difference").cast("double").alias("difference"), F.col("flags").cast("int").alias("flags"), "emitted", "plain")
+    inside = used.join(label.toDF("a", "component"), "a").join(label.toDF("b", "component_b"), "b").where("component = component_b").drop("component_b")
+    return inside.repartition("component").sortWithinPartitions("component", "a", "b").mapInPandas(_merge, _MERGED)
+
+
+def groups(edges: DataFrame, daisy: bool = True, budget: int | None = None, split_budget: int = 131_000) -> DataFrame:
     """Members of groups.  edges: a < b, difference, flags, emitted (passed all gates), plain (the plain verdict, also for pairs that
-    weren't emitted); budget: members of a component that are replayed together."""
+    weren't emitted); split_budget: members of a greedy group beyond which it isn't split but flagged; budget: only where a caller
+    gives one, components of more members aren't merged at all but stay as found and are flagged."""
+    edges = checkpoint(edges)
     label = components(edges.where("emitted"))
-    inside = edges.join(label.toDF("a", "component"), "a").join(label.toDF("b", "component_b"), "b").where("component = component_b").drop("component_b")
-    sizes = label.groupBy("component").agg(F.count("*").alias("size"))
-    sized = inside.join(sizes, "component")
-    fine = sized.where(F.col("size") <= budget).groupBy("component").applyInPandas(lambda pdf: _replay(pdf, daisy), MEMBERS)
-    large = label.join(sizes, "component").where(F.col("size") > budget)
-    return fine.unionByName(large.select(F.col("component").alias("group_id"), "node", F.col("component").alias("rep"), F.lit(0.0).alias("difference"), F.lit(0).alias("flags"), F.lit(0).cast("long").alias("joined"), F.lit(0).cast("long").alias("blocked"), F.lit(True).alias("skipped")))
+    large = None
+    if budget is not None:
+        sized = label.join(label.groupBy("component").agg(F.count("*").alias("size")), "component")
+        large = sized.where(F.col("size") > budget).select(F.col("component").alias("group_id"), "node", F.col("component").alias("rep"), F.lit(0.0).alias("difference"), F.lit(0).alias("flags"), F.lit(0).cast("long").alias("joined"), F.lit(0).cast("long").alias("blocked"), F.lit(True).alias("skipped"))
+        label = sized.where(F.col("size") <= budget).select("node", "component")
+    merged = greedy(edges, label)
+    out = ["group_id", "node", "rep", "difference", "flags", "joined", "blocked"]
+    if not daisy:
+        done = merged.select(*out, F.lit(False).alias("skipped"))
+        return done if large is None else done.unionByName(large)
+    merged = checkpoint(merged)
+    kept = merged.where((F.col("size") < 3) | (F.col("size") > split_budget)).select(*out, (F.col("size") > split_budget).alias("skipped"))
+    several = merged.where(F.col("size").between(3, split_budget))
+    of = several.select("node", "merged")
+    pairs = edges.where("plain").select("a", "b").join(of.toDF("a", "merged"), "a").join(of.toDF("b", "merged_b"), "b").where("merged = merged_b").select("merged", "a", "b")
+    parts = several.groupBy("merged").cogroup(pairs.groupBy("merged")).applyInPandas(_parts, MEMBERS)
+    done = kept.unionByName(parts)
+    return done if large is None else done.unionByName(large)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

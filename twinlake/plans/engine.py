@@ -57,14 +57,12 @@ def pairs(snapshot: DataFrame, s: Settings) -> DataFrame:
 
 
 def edges(snapshot: DataFrame, s: Settings) -> DataFrame:
-    """Verdicts of all pairs that groups need: those emitted, and within each component the plain verdict of all pairs (without gates),
-    as far as a component keeps to the budget."""
+    """Verdicts of all pairs that groups need: those emitted, and within each component the plain verdict of all pairs (without gates)."""
     m, image = s.matching, F.col("is_image_a")
     found = verdict.judged(pairs(snapshot, s), m, image).where("similar").select(F.col("idx_a").alias("a"), F.col("idx_b").alias("b"), "difference", "flags")
     found = grouping.checkpoint(found)
     label = grouping.components(found)
-    sizes = label.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n").between(2, s.budget))
-    inside = label.join(sizes, "component").select("component", F.col("node").alias("idx")).join(snapshot, "idx")
+    inside = label.withColumnRenamed("node", "idx").join(snapshot, "idx")
     all_ = candidates.renamed(inside, "a").join(candidates.renamed(inside, "b"), (F.col("component_a") == F.col("component_b")) & (F.col("idx_a") < F.col("idx_b")))
     plain = all_.withColumn("_p", verdict.plain(m, image)).select(F.col("idx_a").alias("a"), F.col("idx_b").alias("b"), F.col("_p.similar").alias("plain"))
     joined = plain.join(found.withColumn("emitted", F.lit(True)), ["a", "b"], "full_outer")
@@ -74,7 +72,7 @@ def edges(snapshot: DataFrame, s: Settings) -> DataFrame:
 def compare(entries: DataFrame, s: Settings) -> DataFrame:
     """Duplicate items: group_id, seq, path, similarity, flags and the entry's facts, with best flags."""
     snap = grouping.checkpoint(eligible(entries, s))
-    members = grouping.groups(edges(snap, s), budget=s.budget)
+    members = grouping.groups(edges(snap, s), split_budget=s.budget)
     facts = snap.drop("frames", "frames_flip", "hashes", "hashes_flip", "vectors", "flags")
     items = members.select("group_id", F.col("node").alias("idx"), F.col("joined").alias("seq"), ((1 - F.col("difference")) * 100).alias("similarity"), "flags", "skipped").join(facts, "idx")
     defaults = {"frame_size_int": F.lit(0), "fps": F.lit(0.0), "bitrate_kbs": F.lit(0), "audio_bitrate_kbs": F.lit(0), "hdr_rank": F.lit(0)}
