@@ -38,6 +38,12 @@ def test_runs(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() >= 0
 
 
+def test_text_functions_take_all_items(spark, sf):
+    got = registry.QUERIES["sc_text_functions_all"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert got.where("moved LIKE '/new/%'").count() == registry.QUERIES["sc_text_functions"](spark, sf).count() < got.where("moved LIKE '/lib%'").count()
+
+
 def test_driver_contract(spark):
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

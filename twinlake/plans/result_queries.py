@@ -281,11 +281,20 @@ def except_checked(spark, sf):
 @query("sc_text_functions", f"""{ITEMS_SQL} SELECT group_id, seq, CASE WHEN size >= 1073741824 THEN printf('%.1f GB', round(size / 1073741824.0, 1)) WHEN size >= 1048576 THEN printf('%.1f MB', round(size / 1048576.0, 1)) WHEN size >= 1024 THEN printf('%.1f KB', round(size / 1024.0, 1)) ELSE printf('%.1f B', CAST(size AS DOUBLE)) END AS size_text,
 size // 1048576 AS mb, length(path) - length(replace(path, '/', '')) AS depth, '.mp4' AS extension, concat('o', group_id) AS last_segment, CASE WHEN similarity >= 99 THEN 'high' WHEN similarity >= 90 THEN 'mid' ELSE 'low' END AS band, concat('/new', substr(path, 6)) AS moved FROM items WHERE folder LIKE '/lib4/%'""")
 def text_functions(spark, sf):
-    df = items(spark, sf).where("folder LIKE '/lib4/%'")
+    return _text_functions(items(spark, sf).where("folder LIKE '/lib4/%'"))
+
+
+def _text_functions(df):
     path = F.col("path")
     return df.select("group_id", "seq", text.size_text(F.col("size")).alias("size_text"), text.megabytes(F.col("size")).alias("mb"), text.depth(path).alias("depth"), text.extension(path).alias("extension"), text.last_segments(F.col("folder"), 1).alias("last_segment"), text.similarity_band(F.col("similarity")).alias("band"), text.moved(path, "/lib4", "/new").alias("moved"))
 
 
+@query("sc_text_functions_all", f"""{ITEMS_SQL} SELECT group_id, seq, CASE WHEN size >= 1073741824 THEN printf('%.1f GB', round(size / 1073741824.0, 1)) WHEN size >= 1048576 THEN printf('%.1f MB', round(size / 1048576.0, 1)) WHEN size >= 1024 THEN printf('%.1f KB', round(size / 1024.0, 1)) ELSE printf('%.1f B', CAST(size AS DOUBLE)) END AS size_text,
+size // 1048576 AS mb, length(path) - length(replace(path, '/', '')) AS depth, '.mp4' AS extension, concat('o', group_id) AS last_segment, CASE WHEN similarity >= 99 THEN 'high' WHEN similarity >= 90 THEN 'mid' ELSE 'low' END AS band, CASE WHEN starts_with(path, '/lib4/') THEN concat('/new', substr(path, 6)) ELSE path END AS moved FROM items""")
+def text_functions_all(spark, sf):
+    return _text_functions(items(spark, sf))
+
+
 @query("a19_log_sessions", """WITH e AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity, concat('user ', user_id, ' did "', event_type, '" ', CAST(floor(value) AS BIGINT)) AS message, event_type = 'signup' AS s FROM events),
 n AS (SELECT *, sum(CAST(s AS INT)) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS session FROM e)
 SELECT CAST(session AS BIGINT) AS session, severity, regexp_replace(regexp_replace(message, '"[^"]*"', '"*"', 'g'), '[0-9]+', '#', 'g') AS key, count(*) AS n, min(seq) AS first_seq, arg_min(message, seq) AS message FROM n GROUP BY 1, 2, 3""")
