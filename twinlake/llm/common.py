@@ -63,6 +63,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(df: DataFrame, bytes_each: int = 256 << 20) -> int:
+    """Partitions for a shuffle of whole texts: the session's number, or more where by its plan's statistics the input is larger."""
+    stated = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    usual = shuffle_partitions(df.sparkSession)
+    return min(max(usual, -(-stated // bytes_each)), 1 << 17) if stated < 1 << 60 else usual
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without copying, and the n + 1 offsets into them; null reads as empty."""
     if column.null_count:

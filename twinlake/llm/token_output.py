@@ -5,14 +5,17 @@ partition writes a file in the Arrow file format: record batches with two fixed-
 the vocabulary allows) and ``mask`` (false on the padding of a file's last sequence), so a memory map reaches any sequence
 without a copy.  A second file beside it holds where each document starts.
 
-Cases: null text is empty text (only the end id); null doc_id comes first; rows of equal doc_id are ordered by text and each
-keeps a row; an empty table writes no file and returns no row; other columns are not read.
+Cases: null text is empty text (only the end id); null doc_id comes first; rows of equal doc_id are ordered by their texts' bytes,
+hash and value, may fall into several files, and each keeps a row; an empty table writes no file and returns no row; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -27,58 +30,87 @@ FILES = "part long, path string, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 _coders: dict[tuple, _Coder] = {}
-_MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
-_TOGETHER = 2000
+#: Fixed values.  How a tokenizer normalises and cuts whose words of Latin-1 characters are cut by _PIECES.
+_CUTS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: Words of printable ASCII and the letters of Latin-1 (U+00C0 to U+00FF but for U+00D7 and U+00F7).
+_LATIN = re.compile(rb"(?:[!-~]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+").fullmatch
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^a-z\xDF-\xF6\xF8-\xFF0-9]+").findall
+#: A letter of Latin-1 as the byte-level alphabet writes its two bytes: bytes up to 0xA0 as the characters from U+0100 + 0x22 on, 0xAD
+#: as the one after them, others as themselves.
+_BYTES = {c: "".join(chr(b) if b > 0xA0 and b != 0xAD else chr(0x143) if b == 0xAD else chr(b + 0xA2) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 _SLICE = 2 << 20
 
 
+class _Known(dict):
+    """Word -> its ids as bytes; a word that isn't there is encoded."""
+
+    def __init__(self, add: Callable[[bytes], bytes], *items) -> None:
+        super().__init__(*items)
+        self.add = add
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = self[word] = self.add(word)
+        return out
+
+
 class _Coder:
     """Encodes texts word by word and remembers the ids of words.
 
-    The tokenizer lower-cases and never joins across white space, so the ids of a text are those of its words in turn.  New words are
-    encoded together, a special token between two."""
+    The tokenizer lower-cases and never joins across white space, so the ids of a text are those of its words in turn.  It cuts a word
+    into pieces and encodes each by itself: a word of Latin-1 letters, digits and marks is cut here by the same pattern and only its new
+    pieces go to the tokenizer's model.  All other words go through the whole tokenizer, and so does every word of a tokenizer that
+    normalises or cuts in another way."""
 
     def __init__(self, path: str, most: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.known: dict[bytes, bytes] = {}
-
-    def words(self, text: bytes) -> list[bytes]:
-        low = text.lower()
-        if any(t in low for t in self.special):  # a special token's own spelling is told apart by case
-            return text.split()
-        return low.split()
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        special = [re.escape(t.content.lower().encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(special) or b"(?!)").search
+        self.known = _Known(self.add)
+        said = json.loads(self.tokenizer.to_str())
+        self.cuts = (said["normalizer"], said["pre_tokenizer"]) == _CUTS and said["model"]["type"] == "BPE" and not said["model"]["dropout"]
+        self.pieces = self.tokenizer.model.tokenize
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes."""
-        words = [self.words(t) for t in texts]
         if len(self.known) > self.most:
             self.trim(self.most // 2)
-        new = set().union(*words) - self.known.keys()
-        # a run of marks after a letter a-z is a piece of its own: its word needs no other encoding than that of the two parts
-        cut = {w: stem for w in new if w[-1] in _MARKS and (stem := w.rstrip(_MARKS)) and 0x61 <= stem[-1] <= 0x7A}
-        needed = new.difference(cut).union(cut.values(), (w[len(stem) :] for w, stem in cut.items())) - self.known.keys()
-        plain = [w for w in needed if not any(t in w for t in self.special)] if self.special else []
-        for i in range(0, len(plain), _TOGETHER):
-            part = plain[i : i + _TOGETHER]
-            token, mark = next(iter(self.special.items()))
-            ids = np.array(self.tokenizer.encode(token.join(part).decode(), add_special_tokens=False).ids, self.kind)
-            at, raw = np.flatnonzero(ids == mark) * self.kind.itemsize, ids.tobytes()
-            first, end = [0, *(at + self.kind.itemsize).tolist()], [*at.tolist(), len(raw)]
-            self.known.update(zip(part, [raw[a:b] for a, b in zip(first, end, strict=True)], strict=True))
-        for w in needed.difference(plain):
-            self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-        for w, stem in cut.items():
-            self.known[w] = self.known[stem] + self.known[w[len(stem) :]]
-        return [b"".join(map(self.known.__getitem__, x)) for x in words]
+        out = []
+        for text in texts:
+            low = text.lower()  # but a special token's own spelling is told apart by case
+            out.append(b"".join(map(self.known.__getitem__, (text if self.special(low) else low).split())))
+        return out
+
+    def add(self, word: bytes) -> bytes:
+        if not self.cuts or not _LATIN(word) or self.special(word.lower()):
+            return array(self.code, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        if word.isalpha() and word.islower():
+            return array(self.code, [t.id for t in self.pieces(word.decode())]).tobytes()
+        return b"".join(map(self.piece, _PIECES(word.decode().lower())))
+
+    def piece(self, text: str) -> bytes:
+        key = text.encode()
+        ids = self.known.get(key)
+        if ids is None:
+            ids = self.known[key] = array(self.code, [t.id for t in self.pieces(text if text.isascii() else text.translate(_BYTES))]).tobytes()
+        return ids
 
     def trim(self, most: int) -> None:
         """Between tasks only the words that came first stay, the frequent ones among them: a worker lives on with other work."""
         if len(self.known) > most:
-            self.known = dict(islice(self.known.items(), most))
+            self.known = _Known(self.add, islice(self.known.items(), most))
 
 
 def coder(path: str, most: int = 400_000) -> _Coder:
@@ -131,7 +163,9 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int, l
     common.small_batches(spark)
     fs, at = common.file_system(folder)
     fs.create_dir(at, recursive=True)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(partitions or common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ties = [F.coalesce(F.octet_length("text"), F.lit(0)), F.xxhash64("text")]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ordered = ordered.repartitionByRange(partitions or common.partitions_for(docs), "doc_id", *ties).sortWithinPartitions("doc_id", *ties, "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = common.file_system(folder)
