@@ -48,12 +48,26 @@ def _licenses(text: str) -> tuple:
                 base.add(label)
     padded = " " + " ".join(w) + " "
     found = [(m.start(), m.end(), r.priority, r.number, r.label, r.confidence) for r in licenses.rules() for m in re.finditer(r.pattern, padded)]
-    kept = [a for a in found if not any((b[0] <= a[0] and b[1] >= a[1] and (b[1] - b[0] > a[1] - a[0] or b[2:4] < a[2:4])) or (b[2] < a[2] and b[0] < a[1] and b[1] > a[0]) for b in found if b is not a)]
+    kept: list = []
+    for x in sorted(found, key=lambda x: (x[2], x[0] - x[1], x[3], x[0])):  # a kept detection suppresses, a suppressed one doesn't
+        if not any(k[0] <= x[0] and x[1] <= k[1] if k[2] == x[2] else k[0] < x[1] and x[0] < k[1] for k in kept):
+            kept.append(x)
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | {k[4] for k in kept})), max([k[5] for k in kept] + [0.5 if places else 0.0])
 
 
+SUPPRESSED = {"GNU Lesser General Public License. Licensing terms follow": "lgpl", "Unlicense license": "unlicense", "Mozilla Public License. Licence text": "mpl"}
+NOT_LICENSES = ["Code for Python 2.7 and Eclipse 2 users", "Boost 1.0 volts", "Elastic 2 band", "Copyright 2019 nobody", "apache 2.4 server, Mozilla/5.0"]
+
+
+def test_license_labels(spark):
+    said = {**SUPPRESSED, **dict.fromkeys(NOT_LICENSES, ""), "GPLv3": "gpl-3.0", "gpl v3": "gpl-3.0", "python 2 license": "python-2.0", "Apache 2.0 licence": "apache-2.0"}
+    got = {r.doc_id: r.labels for r in licenses.scan(table(spark, [*enumerate(said)])).collect()}
+    assert [got[i] for i in range(len(said))] == [*said.values()]
+    assert sum(r.confidence == licenses.KINDS["text"] for r in licenses.rules()) >= 200
+
+
 def test_licenses(spark, texts):
-    said = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0. apache license", "GNU General Public License v3 or CC BY-NC-SA 4.0; SPDX-License-Identifier: BSD-3-Clause", "mit license mit license mit license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "https://creativecommons.org/licenses/by/4.0/ cc by", "mit freundlichen grüßen", "the MIT  license" + " cc by" * 300]
+    said = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0. apache license", "GNU General Public License v3 or CC BY-NC-SA 4.0; SPDX-License-Identifier: BSD-3-Clause", "mit license mit license mit license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "https://creativecommons.org/licenses/by/4.0/ cc by", "mit freundlichen grüßen", "the MIT  license" + " cc by" * 300, *SUPPRESSED, *NOT_LICENSES, "licensed under gpl " * 400, "a" * 300_000, "gpl 2 licensed under the gnu lesser gpl 3 license or mpl 2 0 license " * 30]
     rows = [*texts.items(), *enumerate(said, 100), (None, said[0]), (101, said[1])]
     got = sorted(map(tuple, licenses.scan(table(spark, rows)).collect()), key=str)
     assert got == sorted(((d, *_licenses(t)) for d, t in rows), key=str)

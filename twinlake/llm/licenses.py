@@ -1,12 +1,15 @@
 """License scan with ordered signature rules, in DataFrame operations only.
 
 Texts are read as words (A-Z as a-z; what isn't a letter, a digit or outside ASCII separates).  Several hundred regular expressions,
-made from a table of licenses and a few templates and hand-written body phrases, run over a text's words joined by single spaces.
-A rule only runs where one of its keywords stands in the text, which one pass of hash lookups over the words tells.
+hand-written ones for the licenses' own texts (``license_rules``) and, from a table of licenses, those for their identifiers, grants,
+addresses, titles and mentions, run over a text's words joined by single spaces.  A rule only runs where one of its keywords stands in
+the text, which one pass of hash lookups over the words tells.  A name that is also an ordinary word (python, boost, apache) is a
+mention only beside a word such as "license"; an abbreviation (gpl) is one with a version as well.
 
-Detections overlap.  One is suppressed if another contains it and is longer, or equally long and earlier in the order of rules; or
-if another of a better priority overlaps it.  Both are decided by running maxima and minima over a text's detections in order of
-place, so a text with very many detections costs no more than sorting them.
+Detections overlap.  They are settled by priority, then length, then the order of rules, and only one that stays suppresses others:
+those of a worse priority that overlap it, and those of its own that it contains.  So of detections in conflict one always stays.
+Priorities are settled one after the other by running maxima and minima over a text's detections in order of place; containment is
+transitive, so within a priority it needs no order.  A text with very many detections costs no more than sorting them.
 
 Cases: null text is empty and has no words; null doc_id and repeated rows each keep their row; very long texts and any number of
 detections are handled; an empty table gives no rows; other columns are not read.
@@ -19,6 +22,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .license_rules import TEXTS
+
 #: Fixed values.  Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -66,41 +71,6 @@ cc-by-nc-sa | creative commons attribution non ?commercial share ?alike | 1.0 2.
 cc-by-nc-nd | creative commons attribution non ?commercial no ?deriv(?:ative)?s | 1.0 2.0 2.5 3.0 4.0 | cc by nc nd | creativecommons org licenses by nc nd
 """
 
-#: Fixed values.  label | words of the license's own text
-PHRASES = """
-mit | permission is hereby granted free of charge to any person obtaining a copy of this software
-mit | the above copyright notice and this permission notice shall be included in all copies
-mit | the software is provided as is without warranty of any kind express or implied
-bsd-2-clause | redistributions of source code must retain the above copyright notice
-bsd-2-clause | redistributions in binary form must reproduce the above copyright notice
-bsd-3-clause | neither the name of (?:the )?[^ ]+(?: [^ ]+){0,6} nor the names of its contributors may be used
-bsd-4-clause | all advertising materials mentioning features or use of this software must display
-isc | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
-apache-2.0 | you may not use this file except in compliance with the license
-apache-2.0 | unless required by applicable law or agreed to in writing software distributed under the license
-gpl | this program is free software you can redistribute it and or modify
-gpl | either version [0-9] of the license or at your option any later version
-lgpl | this library is free software you can redistribute it and or modify
-agpl | offering? users? interacting with it remotely through a computer network
-mpl-2.0 | this source code form is subject to the terms of the mozilla public license
-epl | this program and the accompanying materials are made available under the terms of the eclipse public license
-zlib | altered source versions must be plainly marked as such
-zlib | this software is provided as is without any express or implied warranty in no event will the authors be held liable
-unlicense | this is free and unencumbered software released into the public domain
-bsl-1.0 | permission is hereby granted free of charge to any person or organization obtaining a copy of the software
-ofl | this font software is licensed under the sil open font license
-public-domain | (?:released|dedicated|placed) (?:in|into|to) the public domain
-public-domain | has waived all copyright and related or neighboring rights
-cc-by | you are free to share copy and redistribute the material in any medium or format
-cc-by-sa | you must distribute your contributions under the same license as the original
-cc-by-nc | you may not use the material for commercial purposes
-cc-by-nd | you may not distribute the modified material
-proprietary | all rights reserved
-proprietary | this (?:software|document|work) is (?:confidential and )?proprietary
-proprietary | may not be reproduced in whole or in part without (?:the )?(?:prior )?written permission
-copyright | copyright (?:c )?(?:19|20)[0-9]{2}
-"""
-
 #: Fixed values.  Kinds of rules, best first, and how sure each is.
 KINDS = {"identifier": 1.0, "grant": 0.95, "text": 0.9, "address": 0.85, "title": 0.8, "mention": 0.5}
 
@@ -114,6 +84,10 @@ _GRANTS = "licensed licenced released distributed available published redistribu
 _SAYS = "license licence licensed licenced licensing".split()
 
 
+#: Fixed values.  Abbreviations that name a license and nothing else; other short names are ordinary words as well.
+_CLEAR = set("gpl lgpl agpl fdl gfdl mpl epl cddl cpl bsl wtfpl ofl eupl osl afl odbl odc pddl sspl busl cc0 cc".split())
+
+
 class Rule(NamedTuple):
     number: int
     label: str
@@ -160,10 +134,12 @@ def rules() -> list[Rule]:
             found.append(("address", own, [_key(address)], [], f"{address}" + (f"(?: v)? ?{major}(?: {minor})?" if version else "")))
             found.append(("title", own, [_key(title)], [], f"{title}{number}"))
             if version:
-                found.append(("mention", own, keys, [], f"(?:{either})(?: licen[cs]e)?{number}"))
+                found.append(("mention", own, keys, _SAYS, f"(?:{either})(?: licen[cs]ed?{number}|{number} licen[cs]e)"))
+                if clear := [n for n in names[1:] if _CLEAR & set(n.split())]:
+                    found.append(("mention", own, sorted({*map(_key, clear), *(f"{n}{v}{major}" for n in clear for v in ("", "v"))}), [], f"(?:{'|'.join(sorted(clear, key=len, reverse=True))}){number}"))
             else:
                 found.append(("mention", own, keys, _SAYS, f"(?:{either}) (?:licen[cs]ed?|licensing)"))
-    for line in PHRASES.strip().splitlines():
+    for line in TEXTS.strip().splitlines():
         label, phrase = (x.strip() for x in line.split("|", 1))
         found.append(("text", label, [_key(phrase)], [], phrase))
     order = {k: i for i, k in enumerate(KINDS)}
@@ -235,16 +211,19 @@ def _kept(found: DataFrame) -> DataFrame:
     """Adds kept: a detection that none suppresses (null where the row has none)."""
     every = rules()
     priority = F.element_at(F.array(*(F.lit(r.priority) for r in every)), F.col("rule") + 1)
-    found = found.withColumn("priority", F.when(F.col("start").isNotNull(), priority))
-    order = Window.partitionBy("row").orderBy("start", F.desc("end"), "priority", "rule")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    lost = F.coalesce(F.max("end").over(before) >= F.col("end"), F.lit(False))
-    for p in range(len(KINDS) - 1):
-        better = F.col("priority") > p
-        of = F.col("priority") == p
-        lost = lost | (better & F.coalesce(F.max(F.when(of, F.col("end"))).over(before) > F.col("start"), F.lit(False)))
-        lost = lost | (better & F.coalesce(F.min(F.when(of, F.col("start"))).over(after) < F.col("end"), F.lit(False)))
-    return found.withColumn("kept", F.when(F.col("start").isNotNull(), ~lost))
+    found = found.withColumns({"priority": F.when(F.col("start").isNotNull(), priority), "kept": F.lit(None).cast("boolean")})
+    forward = Window.partitionBy("row").orderBy("start", F.desc("end"), "rule")
+    backward = Window.partitionBy("row").orderBy(F.desc("start"), "end", F.desc("rule"))
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (forward, backward))
+    for p in range(len(KINDS)):
+        mine, free = F.col("priority") == p, F.lit(True)
+        if p:
+            found = found.withColumn("next", F.min(F.when(F.col("kept"), F.col("start"))).over(after))
+            free = ~(F.coalesce(F.max(F.when(F.col("kept"), F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False)))
+        found = found.withColumn("free", mine & free)
+        inside = F.coalesce(F.max(F.when(F.col("free"), F.col("end"))).over(before) >= F.col("end"), F.lit(False))
+        found = found.withColumn("kept", F.when(mine, F.col("free") & ~inside).otherwise(F.col("kept")))
+    return found.drop("next", "free")
 
 
 def detections(docs: DataFrame) -> DataFrame:
