@@ -128,7 +128,9 @@ def mix(rows: list[tuple], weights: dict, percent: int, epochs: int, seed: int)
     for _, *key, n in rows:
         leaf[tuple(key)] += n
     weight = lambda level, name: weights.get(level, {}).get(name, 1)
-    cap = lambda prefix: epochs * sum(n for k, n in leaf.items() if k[: len(prefix)] == prefix)
+    levels = ("domain", "lang", "source")
+    wanted = lambda k: all(weight(level, name) > 0 for level, name in zip(levels, k, strict=True))
+    cap = lambda prefix: epochs * sum(n for k, n in leaf.items() if k[: len(prefix)] == prefix and wanted(k))
     got = {(): sum(leaf.values()) * percent // 100}
     for depth, level in enumerate(("domain", "lang", "source")):
         after = {}

@@ -3,7 +3,8 @@
 Leaves are (domain, language, source).  A leaf can give its tokens ``epochs`` times, an inner node what its children can.  The budget
 goes down the tree: each node shares its own among its children by weight, as far as each can give; what one can't, its siblings get
 by weight.  A node's whole shortage shows in what it can give, so it reaches the siblings of its ancestors only after its own
-children are exhausted.  Shares are whole tokens, rounded down.
+children are exhausted.  What lies under a weight of 0 counts nowhere, so the whole budget is placed while any leaf under positive
+weights has room, but for rounding: shares are whole tokens, rounded down.
 
 A leaf that gets more than its tokens is read whole for as many epochs as fit; the rest is a prefix of one further epoch, whose order
 is the MD5 of seed, epoch and doc_id.  A document belongs to it if the tokens of those before it are fewer than the rest, so a leaf
@@ -12,8 +13,8 @@ leaf is sorted: only its bucket with the cut is.  Applied to documents, a decisi
 
 Cases: null domain, language or source is the name ""; null text has no tokens; documents without tokens go along with their leaf's
 whole epochs and cut; rows of equal doc_id in a leaf go together; unknown names have weight 1 and weight 0 gives nothing; a leaf
-without tokens gets nothing; an empty table gives no rows; other columns pass through ``select`` untouched, and names starting with
-``_mix`` are reserved.
+without tokens gets nothing; an empty table gives no rows; other columns pass through ``select`` untouched; names starting with
+``_mix`` are reserved and raise a ValueError.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ def n_tokens(text: Column) -> Column:
 
 def named(docs: DataFrame, domain: Column) -> DataFrame:
     """Adds the names of each document's leaf."""
+    if taken := [c for c in docs.columns if c.lower().startswith("_mix")]:
+        raise ValueError(f"column names starting with _mix are reserved: {taken}")
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     return docs.withColumns(dict(zip(_TREE, (name(domain), name(F.col("lang")), name(F.col("source"))), strict=True)))
 
@@ -50,11 +53,11 @@ def _weight(name: str, weights: dict[str, int]) -> Column:
 
 
 def _share(nodes: DataFrame, parents: list[str], name: str, weights: dict[str, int]) -> DataFrame:
-    """Splits each parent's budget among its children (cap: what a child can give) and adds got."""
+    """Splits each parent's budget among its children (cap: what a child can give, 0 if its weight is 0) and adds got."""
     order = Window.partitionBy(*parents, "budget").orderBy("ratio", name)
     before, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.partitionBy(*parents, "budget")
-    df = nodes.withColumn("weight", _weight(name, weights)).withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(F.lit(0).cast("long")))
+    df = nodes.withColumn("weight", _weight(name, weights))
     df = df.withColumn("ratio", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(F.lit(0.0)))
     zero = F.lit(0).cast("long")
     df = df.withColumns({"caps": F.coalesce(F.sum("cap").over(before), zero), "rest": F.sum("weight").over(on)})
@@ -68,12 +71,16 @@ def leaves(counted: DataFrame, weights: dict[str, dict[str, int]], budget_percen
     """One row for each leaf: tokens, got, whole epochs, rest, and the cut: documents up to this hash are in the prefix."""
     caps = common.checkpoint(counted.groupBy(*_TREE).agg(F.sum("n_tokens").alias("tokens")))
     available = caps.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    can = lambda names: caps.groupBy(*names).agg(F.sum(F.col("tokens") * epochs).alias("cap"))
-    budget = F.least(F.lit(available * budget_percent // 100).cast("long"), F.lit(available * epochs).cast("long"))
-    at = can(_TREE[:1]).withColumn("budget", budget)
-    at = _share(at, [], _TREE[0], weights.get("domain", {})).select(_TREE[0], F.col("got").alias("budget"))
-    at = _share(can(_TREE[:2]).join(at, _TREE[:1]), _TREE[:1], _TREE[1], weights.get("lang", {})).select(*_TREE[:2], F.col("got").alias("budget"))
-    at = _share(can(_TREE).join(at, _TREE[:2]), _TREE[:2], _TREE[2], weights.get("source", {})).select(*_TREE, "got")
+    by = [weights.get(level, {}) for level in ("domain", "lang", "source")]
+    # what each node can give, from the leaves up: children of weight 0 give nothing
+    giving = lambda nodes, name, of: nodes.withColumn("cap", F.when(_weight(name, of) > 0, F.col("cap")).otherwise(F.lit(0).cast("long")))
+    can = [giving(caps.select(*_TREE, (F.col("tokens") * epochs).alias("cap")), _TREE[2], by[2])]
+    for depth in (1, 0):
+        can.insert(0, giving(can[0].groupBy(*_TREE[: depth + 1]).agg(F.sum("cap").alias("cap")), _TREE[depth], by[depth]))
+    at = can[0].withColumn("budget", F.lit(min(available * budget_percent // 100, available * epochs)).cast("long"))
+    at = _share(at, [], _TREE[0], by[0]).select(_TREE[0], F.col("got").alias("budget"))
+    at = _share(can[1].join(at, _TREE[:1]), _TREE[:1], _TREE[1], by[1]).select(*_TREE[:2], F.col("got").alias("budget"))
+    at = _share(can[2].join(at, _TREE[:2]), _TREE[:2], _TREE[2], by[2]).select(*_TREE, "got")
     split = common.checkpoint(caps.join(at, _TREE).where("tokens > 0").select(*_TREE, "tokens", "got", F.expr("got div tokens").alias("whole"), F.expr("got % tokens").alias("rest")))
     hashed = _with_leaf(counted, split).where("rest > 0").withColumn("_mix_hash", _hash(F.col("whole"), seed)).withColumn("_mix_bucket", F.left("_mix_hash", F.lit(_BUCKET)))
     sums = hashed.groupBy(*_TREE, "_mix_bucket").agg(F.sum("n_tokens").alias("n"), F.max("rest").alias("rest"))

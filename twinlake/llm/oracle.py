@@ -20,7 +20,7 @@ def _level(parents: list[str], name: str, from_: str) -> str:
     return f"""(SELECT {keys}, CASE WHEN whole OR open_w = 0 THEN cap ELSE w * (budget - given) // open_w END AS budget FROM (
 SELECT *, coalesce(sum(CASE WHEN whole THEN cap END) OVER ({by}), 0) AS given, coalesce(sum(CASE WHEN NOT whole THEN w END) OVER ({by}), 0) AS open_w FROM (
 SELECT *, cap * rest_w <= w * (budget - caps) AS whole FROM (
-SELECT *, coalesce(sum(cap) OVER ({by}ORDER BY cap / w::DOUBLE, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps, sum(w) OVER ({by}ORDER BY cap / w::DOUBLE, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w FROM (
+SELECT *, coalesce(sum(cap) OVER ({by}ORDER BY CASE WHEN w > 0 THEN cap / w::DOUBLE ELSE 0 END, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps, sum(w) OVER ({by}ORDER BY CASE WHEN w > 0 THEN cap / w::DOUBLE ELSE 0 END, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w FROM (
 SELECT *, {_weight(name, name)} AS w FROM {from_})))))"""
 
 
@@ -28,11 +28,14 @@ _NUMBER = "coalesce(try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) AS BIGIN
 OP2 = f"""
 WITH d AS (SELECT doc_id, CASE {_NUMBER} WHEN 0 THEN '{DOMAINS[0]}' WHEN 1 THEN '{DOMAINS[1]}' ELSE '{DOMAINS[2]}' END AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '{_SPACED}')) AS n_tokens FROM documents),
 leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL),
-one AS (SELECT domain, CAST(sum(tokens) * {EPOCHS} AS BIGINT) AS cap, (SELECT least(CAST(sum(tokens) AS BIGINT) * {BUDGET_PERCENT} // 100, CAST(sum(tokens) AS BIGINT) * {EPOCHS}) FROM leaf) AS budget FROM leaf GROUP BY domain),
+c3 AS (SELECT domain, lang, source, CASE WHEN {_weight("source", "source")} > 0 THEN tokens * {EPOCHS} ELSE 0 END AS cap FROM leaf),
+c2 AS (SELECT domain, lang, CASE WHEN {_weight("lang", "lang")} > 0 THEN CAST(sum(cap) AS BIGINT) ELSE 0 END AS cap FROM c3 GROUP BY domain, lang),
+c1 AS (SELECT domain, CASE WHEN {_weight("domain", "domain")} > 0 THEN CAST(sum(cap) AS BIGINT) ELSE 0 END AS cap FROM c2 GROUP BY domain),
+one AS (SELECT domain, cap, (SELECT least(CAST(sum(tokens) AS BIGINT) * {BUDGET_PERCENT} // 100, CAST(sum(tokens) AS BIGINT) * {EPOCHS}) FROM leaf) AS budget FROM c1),
 b1 AS {_level([], "domain", "one")},
-two AS (SELECT domain, lang, CAST(sum(tokens) * {EPOCHS} AS BIGINT) AS cap, any_value(b1.budget) AS budget FROM leaf JOIN b1 USING (domain) GROUP BY domain, lang),
+two AS (SELECT domain, lang, cap, b1.budget FROM c2 JOIN b1 USING (domain)),
 b2 AS {_level(["domain"], "lang", "two")},
-three AS (SELECT domain, lang, source, tokens * {EPOCHS} AS cap, b2.budget FROM leaf JOIN b2 USING (domain, lang)),
+three AS (SELECT domain, lang, source, cap, b2.budget FROM c3 JOIN b2 USING (domain, lang)),
 b3 AS {_level(["domain", "lang"], "source", "three")},
 split AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM leaf JOIN b3 USING (domain, lang, source)),
 p AS (SELECT d.*, whole, rest, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat('{SEED}:', CAST(whole AS BIGINT), ':', doc_id)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < rest AS in_prefix FROM d JOIN split USING (domain, lang, source))
