@@ -87,7 +87,7 @@ def test_mixing(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice(["web", "book"]), rng.choice(["en", "de"]), f"s{rng.choice([0, 0, 0, 1, 2])}", " ".join("w" * rng.randint(0, 60))) for i in range(300)]
     df = spark.createDataFrame([(i, t, lang, s, d) for i, d, lang, s, t in rows], "doc_id long, text string, lang string, source string, d string")
-    for weights, percent, epochs in (({"domain": {"web": 5}, "lang": {"de": 9}, "source": {"s2": 0}}, 75, 2), ({}, 100, 1), ({"domain": {"book": 50}}, 90, 1), ({"source": {"s0": 1, "s1": 30}}, 60, 3)):
+    for weights, percent, epochs in (({"domain": {"web": 5}, "lang": {"de": 9}, "source": {"s2": 0}}, 75, 2), ({}, 100, 1), ({"domain": {"book": 50}}, 90, 1), ({"lang": {"de": 0}}, 50, 1), ({"domain": {"web": 0}, "source": {"s0": 0}}, 40, 2), ({"source": {"s0": 1, "s1": 30}}, 60, 3)):
         want = brute.mix([(i, d, lang, s, len(brute.WORD.findall(t))) for i, d, lang, s, t in rows], weights, percent, epochs, 17)
         got = {r.doc_id: r.copies for r in mixing.report(df, F.col("d"), weights, percent, epochs).collect()}
         assert got == want
@@ -97,6 +97,22 @@ def test_mixing(spark):
         assert taken == {d: n for d, n in want.items() if n}
 
 
+def test_mixing_places_the_budget(spark):
+    """Room under a weight of 0 is no room: its share goes where there is some."""
+    rows = [(i, "a", "en", 1) for i in range(50)] + [(100 + i, "a", "de", 1) for i in range(450)] + [(1000 + i, "b", "en", 1) for i in range(500)]
+    df = spark.createDataFrame([(i, d, lang, "s", "w") for i, d, lang, _ in rows], "doc_id long, d string, lang string, source string, text string")
+    for weights, percent, placed in (({"lang": {"de": 0}}, 50, 500), ({"lang": {"de": 0}}, 100, 550), ({"domain": {"b": 0}, "lang": {"de": 0}}, 50, 50), ({"domain": {"a": 3}}, 80, 800)):
+        got = mixing.report(df, F.col("d"), weights, percent, 1).agg(F.sum(F.col("copies") * F.col("n_tokens"))).first()[0]
+        assert got == placed, weights
+
+
+def test_mixing_long_texts_and_reserved_names(spark):
+    df = spark.createDataFrame([(1, "w " * 400_000, "en", "s"), (2, "w", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert [r.n_tokens for r in mixing.report(df, F.lit("d"), {}, 100, 1).orderBy("doc_id").collect()] == [400_000, 1]
+    with pytest.raises(ValueError, match="reserved"):
+        mixing.select(df.withColumn("_mix_x", F.lit(1)), F.lit("d"), {})
+
+
 def test_mixing_nulls_and_ties(spark, none):
     df = spark.createDataFrame([(None, "a b", None, None), (1, None, "en", "s"), (1, "c d e", "en", "s"), (1, "c d e", "en", "s")], "doc_id long, text string, lang string, source string")
     r = mixing.report(df, F.lit(None), {}, 100, 1).collect()
@@ -130,6 +146,72 @@ def test_quality_holds_its_promise(spark):
     assert {x.doc_id for x in quality.clean(df, labels, alpha=0.05).collect()} == {d for d, k in r.items() if k}
 
 
+def _plain_thresholds(rows: list[tuple], alpha: float, delta: float, cost: int = 5) -> dict:
+    """rows: (doc_id, text, stratum, quality).  The choice from its definition, with the halves as the operator deals them."""
+    import hashlib
+
+    import xxhash  # noqa: F401  the halves come from Spark's xxhash64 with seed 42
+    trials: dict = {}
+    for d, text, s, q in rows:
+        b = text.encode()
+        data, ends = np.frombuffer(b, np.uint8), np.array([0, len(b)])
+        found = quality.counts(data, ends)
+        if quality.base_failed(found)[0]:
+            continue
+        same = int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
+        old = trials.get((s, same))
+        trials[s, same] = (min(q, old[0]) if old else q, quality.bins(found)[0])
+    half = lambda same: xxhash.xxh64_intdigest(same.to_bytes(8, "little", signed=True), seed=42) % 2 == 0
+    strata = sorted({s for s, _ in trials})
+    held = {s: sum(half(h) and q > 0 for (t, h), (q, _) in trials.items() if t == s) for s in strata}
+    need = lambda m: math.log(delta / (m * 5)) / math.log(1 - alpha / 5)
+    while strata and min(held[s] for s in strata) < need(len(strata)):
+        strata.remove(min(strata, key=lambda s: (held[s], s)))
+    out: dict = {}
+    for i, ratio in enumerate(quality.RATIOS):
+        for s in strata:
+            mine = [(half(h), q > 0, b) for (t, h), (q, b) in trials.items() if t == s]
+            free = [x for x in mine if not any(x[2][list(quality.RATIOS).index(r)] > t for r, t in out.get(s, {}).items())]
+            best = (0, quality.BINS)
+            for t in range(quality.BINS - 1, -1, -1):
+                good = [b[i] > t for h, g, b in mine if h and g]
+                k, n = sum(good), len(good)
+                tail = sum(math.comb(n, j) * (alpha / 5) ** j * (1 - alpha / 5) ** (n - j) for j in range(k + 1))
+                if tail > delta / (len(strata) * 5):  # the exact bound is over alpha / 5
+                    break
+                best = max(best, (sum(b[i] > t for h, g, b in free if not h and not g) - cost * sum(b[i] > t for h, g, b in free if not h and g), t))
+            if best[0] > 0:
+                out.setdefault(s, {})[ratio] = best[1]
+    return out
+
+
+def _labelled(rng, n_good: int, n_bad: int, stratum: str, first: int) -> list[tuple]:
+    word = lambda: "w%d" % rng.randrange(900)
+    good = [(first + i, " ".join(word() for _ in range(60)) + (" #" if i % 40 == 0 else "") + (" NOTE" if i % 9 == 0 else ""), stratum, 1) for i in range(n_good)]
+    return good + [(first + n_good + i, " ".join(word() + rng.choice(["", "##", "X"]) for _ in range(60)), stratum, 0) for i in range(n_bad)]
+
+
+def test_quality_choice_against_plain_version(spark):
+    rng = random.Random(21)
+    rows = _labelled(rng, 2600, 300, "en", 0) + _labelled(rng, 1500, 200, "de", 10_000) + _labelled(rng, 60, 50, "fr", 20_000)
+    rows += [(d, t, s, q) for d, t, s, q in rows[:200] for _ in range(3)] + [(50_000 + i, rows[5][1], "en", 1) for i in range(400)]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
+    for alpha, delta in ((0.05, 0.05), (0.1, 0.2)):
+        got = quality.fit(quality.measure(df), labels, alpha, delta)
+        assert got and got == _plain_thresholds(rows, alpha, delta)
+
+
+def test_quality_counts_copies_once(spark):
+    """Ten good documents are ten trials, however often their rows, their labels or their texts stand there."""
+    rng = random.Random(4)
+    few, bad = _labelled(rng, 10, 0, "en", 0), [(900 + i, " ".join("w%d##" % rng.randrange(900) for _ in range(60)), "en", 0) for i in range(100)]
+    for rows in ([r for r in few for _ in range(120)] + bad, [(1000 + 120 * i + k, *r[1:]) for i, r in enumerate(few) for k in range(120)] + bad):
+        df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+        labels = spark.createDataFrame([(r[0], r[3]) for r in rows] * 2, "doc_id long, quality int")
+        assert quality.fit(quality.measure(df), labels) == {}
+
+
 def test_quality_edges(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.report(odd, labels).count() == 6 and quality.clean(odd, labels).columns == odd.columns

@@ -3,7 +3,8 @@
 Every document gets counts over its whole text and, from them, five ratios.  Labelled documents are split by a hash of their id
 into a design half and a holdout.  For each stratum (language) and ratio, thresholds are tried from the most lenient to the
 strictest; a threshold holds while the exact (Clopper-Pearson) upper bound of the holdout's false rejections stays within
-``alpha`` over the number of ratios.  The sequence stops at the first that fails, so the tests within it need no correction;
+``alpha`` over the number of ratios.  Trials are distinct documents: rows alike in doc_id or in text count once, as copies say nothing
+new about the false rejections.  The sequence stops at the first that fails, so the tests within it need no correction;
 over strata and ratios ``delta`` is divided (Bonferroni).  So with probability 1 - delta no stratum loses more than alpha of its
 good documents.  Ratios take their turns; of the thresholds that hold, the design half picks the one that rejects the most bad
 documents of those that no ratio before rejects, less ``cost`` times the good ones, the most lenient on ties.  One without a gain is
@@ -11,11 +12,12 @@ not used, so good documents aren't spent on what another ratio or the base rule
 
 Cases: null or empty text has no words and fails the base rule; a null language is the stratum ""; a stratum without enough labels
 rejects by the base rule only; label rows with a null are ignored, and of several rows for a document the worst counts; repeated
-documents are judged alike; empty tables give no rows; ``clean`` passes other columns through untouched.
+documents are judged alike and count as one label, the worst, held in or out together; empty tables give no rows; ``clean`` passes other columns through untouched.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -91,7 +93,7 @@ def base_failed(found: np.ndarray, least_words: int = 10, repeat_percent: int =
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum, the counts and the bin of each ratio."""
+    """doc_id, stratum, same (a hash of the text), the counts and the bin of each ratio."""
 
     common.small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,11 +101,12 @@ def measure(docs: DataFrame) -> DataFrame:
             data, offsets = common.text_bytes(batch.column(2))
             for a, b in common.slices(offsets, _SLICE):
                 found = counts(data, offsets[a : b + 1])
-                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(np.ascontiguousarray(x)) for x in (*found.T, *bins(found).T)), pa.array(base_failed(found))]
-                yield pa.record_batch(columns, names=["doc_id", "stratum", *COUNTS, *RATIOS, "base_failed"])
+                same = [int.from_bytes(hashlib.blake2b(data[offsets[i] : offsets[i + 1]], digest_size=8).digest(), "little", signed=True) for i in range(a, b)]
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(same, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in (*found.T, *bins(found).T)), pa.array(base_failed(found))]
+                yield pa.record_batch(columns, names=["doc_id", "stratum", "same", *COUNTS, *RATIOS, "base_failed"])
 
     kinds = ", ".join(f"{c} long" for c in (*COUNTS, *RATIOS))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, stratum string, {kinds}, base_failed boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, stratum string, same long, {kinds}, base_failed boolean")
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -140,18 +143,32 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return hi
 
 
+def trials_needed(alpha: float, delta: float, strata: int) -> int:
+    """Good holdout documents without which no bound can hold, even if none of them is rejected."""
+    return math.ceil(math.log(delta / (strata * len(RATIOS))) / math.log1p(-alpha / len(RATIOS)))
+
+
+def with_enough(held: dict[str, int], alpha: float, delta: float) -> list[str]:
+    """The strata whose bounds can hold while delta is divided by their number; the one with the fewest documents goes first."""
+    left = sorted(held, key=lambda s: (held[s], s))
+    while left and held[left[0]] < trials_needed(alpha, delta, len(left)):
+        left.pop(0)
+    return sorted(left)
+
+
 def fit(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, cost: int = 5) -> dict[str, dict[str, int]]:
     """stratum -> ratio -> the highest bin that is kept; cost: bad documents that one good document outweighs.
 
     All labelled rows enter histograms; the driver gets one row for each stratum and bin, of those strata only that have the good
     holdout documents without which no bound can hold."""
     judged = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    holdout = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    rows = measured.where(~F.col("base_failed")).join(judged, "doc_id").select("stratum", holdout.alias("holdout"), (F.col("quality") > 0).alias("good"), *RATIOS)
-    rows = common.checkpoint(rows)
-    needed = math.ceil(math.log(delta / len(RATIOS)) / math.log1p(-alpha / len(RATIOS)))
-    enough = rows.where("holdout AND good").groupBy("stratum").agg(F.count("*").alias("m")).where(F.col("m") >= needed)
-    strata = sorted(r.stratum for r in enough.collect())
+    # a trial is a text of a stratum: its bins follow from the text, its label is the worst of its rows', and its half from its hash
+    trial = measured.where(~F.col("base_failed")).join(judged, "doc_id").groupBy("stratum", "same").agg(F.min("quality").alias("quality"), F.min("doc_id").alias("doc_id"), *(F.max(r).alias(r) for r in RATIOS))
+    # rows of one doc_id with several texts are one document still: its worst text in each respect
+    one = trial.groupBy("stratum", "doc_id").agg(F.min("quality").alias("quality"), F.min("same").alias("same"), *(F.max(r).alias(r) for r in RATIOS))
+    rows = common.checkpoint(one.select("stratum", (F.pmod(F.xxhash64("same"), F.lit(2)) == 0).alias("holdout"), (F.col("quality") > 0).alias("good"), *RATIOS))
+    held = {r.stratum: r.m for r in rows.where("holdout AND good").groupBy("stratum").agg(F.count("*").alias("m")).where(F.col("m") >= trials_needed(alpha, delta, 1)).collect()}
+    strata = with_enough(held, alpha, delta)
     if not strata:
         return {}
     out: dict[str, dict[str, int]] = {}
