@@ -262,6 +262,29 @@ def test_duration_band_against_loop(spark, percent, least, most):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_blocks_make_each_pair_once(spark):
+    """Every two rows meet once, in blocks of bounded size; null vectors and an empty table have no pairs."""
+    df = spark.createDataFrame([(i * 3, [i % 5, 1, -i % 7]) for i in range(200)], "idx long, q array<int>")
+    met = candidates.block_pairs(df, most=30).select("idx_a", "idx_b")
+    assert met.count() == met.distinct().count() == 200 * 199 // 2
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    rows = {r.idx: r.q for r in df.collect()}
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True))
+    want = {(a, b, dot(x, y)) for a, x in rows.items() for b, y in rows.items() if a < b and dot(x, y) / 16129 >= 10 / 16129}
+    assert {tuple(r) for r in candidates.vector_pairs(df.union(spark.createDataFrame([(7, None)], df.schema)), 10 / 16129).collect()} == want
+    assert candidates.vector_pairs(df.limit(0), 0.5).count() == candidates.block_pairs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [0, 2, 9, 14, 20, 64])
+def test_hash_pairs_of_all_widths(spark, bits):
+    rng = random.Random(bits)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    rows = [(i, (v - (1 << 64) if v >= 1 << 63 else v)) for i, v in enumerate(h ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 12))) for h in base for _ in range(15))]
+    got = {(r.idx_a, r.idx_b) for r in candidates.hash_pairs(spark.createDataFrame(rows, "idx long, phash long"), bits).collect()}
+    assert got == {(i, j) for i, x in rows for j, y in rows if i < j and bin((x ^ y) & ((1 << 64) - 1)).count("1") <= bits}
+
+
 def test_hash_pairs_against_loop(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(20)]

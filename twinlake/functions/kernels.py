@@ -46,9 +46,9 @@ def hamming_similarity(a: Column, b: Column) -> Column:
 
 def median_hash(values: Column) -> Column:
     """64 numbers -> the bits of those above their median (the mean of the 32nd and 33rd)."""
-    ordered = F.array_sort(values)
-    median = (F.element_at(ordered, 32) + F.element_at(ordered, 33)) / 2
-    return F.aggregate(F.transform(values, lambda x, i: F.when(x > median, F.expr("1L")).otherwise(F.expr("0L")) * 1), F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("i")), lambda s, x: F.struct(s["h"].bitwiseOR(F.call_function("shiftleft", x, s["i"])).alias("h"), (s["i"] + 1).alias("i")))["h"]
+    start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("i"), F.slice(F.array_sort(values), 32, 2).alias("m"))  # sorted once
+    above = lambda s, x: F.when(x * 2 > F.get(s["m"], F.lit(0)) + F.get(s["m"], F.lit(1)), F.expr("1L")).otherwise(F.expr("0L"))
+    return F.aggregate(values, start, lambda s, x: F.struct(s["h"].bitwiseOR(F.call_function("shiftleft", above(s, x), s["i"])).alias("h"), (s["i"] + 1).alias("i"), s["m"].alias("m")))["h"]
 
 
 def sign_bits(values: Column) -> Column:

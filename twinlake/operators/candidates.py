@@ -1,17 +1,22 @@
 """Candidate pairs: range joins as equi-joins on buckets, so no pair of far apart rows is ever made.
 
 Spark plans a band predicate as a nested loop; here each row is given the logarithmic buckets that its band can reach, and rows meet by
-bucket (and by any equal keys).  Buckets are shuffled, so adaptive execution splits a dense one.
+bucket (and by any equal keys).  Buckets are shuffled, so adaptive execution splits a dense one.  Where truly all pairs are compared,
+rows fall into blocks of bounded size and every two blocks meet once; vectors and hashes are then compared as matrices.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from . import numbering
 
 
 def _bucket(value: Column, ratio: float) -> Column:
@@ -69,33 +74,122 @@ def partial_ratio(entries: DataFrame, least: float = 0.10, most: float = 0.95, k
     return src.join(clip, cond).drop("_own_src", "_own_clip", "_bucket_clip")
 
 
+def _pieces(bits: int) -> tuple[int, int, float]:
+    """(pieces, bits by which a shared piece may differ, expected share of random pairs that meet) with the least share."""
+    found = []
+    for near in (0, 1):
+        pieces = bits // (near + 1) + 1
+        if pieces <= 64:
+            wide = 64 / pieces
+            found.append((pieces * (1 + near * wide) / 2**wide, pieces, near))
+    share, pieces, near = min(found, default=(1.0, 64, 0))
+    return pieces, near, share
+
+
 def hash_pairs(entries: DataFrame, bits: int, hash_column: str = "phash", order: str = "idx") -> DataFrame:
-    """Pairs of hashes that differ in at most so many bits, by multi-index hashing: 64 bits fall into ``bits + 1`` pieces, of which
-    similar hashes share one (pigeonhole), so this is exact and no other pair is made.  A pair is kept at its first shared piece.
-    Pieces of so few bits that they would make more pairs than there are give way to blocks."""
-    pieces = min(64, bits + 1)
-    if pieces / 2 ** (64 / pieces) > 0.5:
-        return block_pairs(entries, order=order).where(kernels.hamming(F.col(f"{hash_column}_a"), F.col(f"{hash_column}_b")) <= bits)
+    """Pairs (columns with _a and _b, a before b) of hashes that differ in at most so many bits, by multi-index hashing.
+
+    64 bits fall into pieces; similar hashes have one in which they differ in at most ``near`` bits (pigeonhole), so one side looks up
+    the values of its pieces and the other gives all values that near.  That is exact, and a pair is kept at its first such piece.
+    Where pieces would be so short that they bring more than a twentieth of all pairs together, blocks of rows are compared instead."""
+    pieces, near, share = _pieces(bits)
+    if share > 0.05:
+        found = compared(entries, order, {hash_column: "long"}, _near_hashes(hash_column, bits), "distance int")
+        return found.join(renamed(entries, "a"), f"{order}_a").join(renamed(entries, "b"), f"{order}_b").drop("distance")
     bounds = [i * 64 // pieces for i in range(pieces + 1)]
-    masks = [(((1 << (b - a)) - 1) << a) for a, b in zip(bounds, bounds[1:], strict=False)]
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    spans = [range(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
+    masks = [signed(sum(1 << k for k in span)) for span in spans]
+    long = lambda m: F.lit(m).cast("long")
     h = F.col(hash_column)
-    keyed = entries.withColumn("_k", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), h.bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(masks)))))
-    left, right = renamed(keyed, "a"), renamed(keyed, "b")
+    values = lambda of: F.explode(F.array(*(F.struct(F.lit(i).alias("i"), h.bitwiseAND(long(masks[i])).bitwiseXOR(long(d)).alias("v")) for i, d in of)))
+    left = renamed(entries.withColumn("_k", values([(i, 0) for i in range(pieces)])), "a")
+    right = renamed(entries.withColumn("_k", values([(i, d) for i, span in enumerate(spans) for d in (0, *(signed(1 << k) for k in span if near))])), "b")
     x = F.col(f"{hash_column}_a").bitwiseXOR(F.col(f"{hash_column}_b"))
-    first = F.coalesce(*(F.when(x.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)) for i, m in enumerate(masks)))
+    first = F.coalesce(*(F.when(F.bit_count(x.bitwiseAND(long(m))) <= near, F.lit(i)) for i, m in enumerate(masks)))
     cond = (F.col("_k_a") == F.col("_k_b")) & (F.col(f"{order}_a") < F.col(f"{order}_b")) & (F.bit_count(x) <= bits) & (first == F.col("_k_a.i"))
     return left.join(right, cond).drop("_k_a", "_k_b")
 
 
-def block_pairs(entries: DataFrame, blocks: int = 8, order: str = "idx") -> DataFrame:
-    """All pairs of a table that has no usable key (exact image comparison): rows fall into blocks, and a row is sent to the groups of
-    its block with every other, so the work spreads over blocks * (blocks + 1) / 2 groups instead of one nested loop."""
-    df = entries.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int"))
-    left = renamed(df.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "a")
-    right = renamed(df, "b")
-    pairs = left.join(right, F.col("_g_a") == F.col("_b_b"))
-    return pairs.where(F.col(f"{order}_a") < F.col(f"{order}_b")).drop("_b_a", "_g_a", "_b_b")
+def _in_blocks(entries: DataFrame, order: str, most: int) -> tuple[DataFrame, int]:
+    """Adds _block, the row's place in the order divided by the rows of a block, and says how many blocks there are."""
+    df = numbering.numbered(entries, [F.col(order)], "_nth")
+    n = entries.count()
+    rows = min(most, max(512, -(-n // 16)))
+    return df.withColumn("_block", F.floor(F.col("_nth") / rows).cast("int")).drop("_nth"), max(1, -(-n // rows))
+
+
+def block_pairs(entries: DataFrame, order: str = "idx", most: int = 4096) -> DataFrame:
+    """All pairs (columns with _a and _b, a before b) of a table that has no usable key, for verdicts that are Columns.
+
+    Rows fall into blocks of at most ``most`` in their order, and every two blocks meet once under a key of their own, so n rows are
+    n / most * (n / most + 1) / 2 groups of bounded size, and no pair is made twice."""
+    df, blocks = _in_blocks(entries, order, most)
+    first = df.withColumn("_j", F.explode(F.sequence(F.col("_block"), F.lit(blocks - 1)))).withColumnRenamed("_block", "_i")
+    second = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_block")))).withColumnRenamed("_block", "_j")
+    pairs = renamed(first, "a").join(renamed(second, "b").hint("shuffle_hash"), (F.col("_i_a") == F.col("_i_b")) & (F.col("_j_a") == F.col("_j_b")) & (F.col(f"{order}_a") < F.col(f"{order}_b")))
+    return pairs.drop("_i_a", "_i_b", "_j_a", "_j_b")
+
+
+def compared(entries: DataFrame, order: str, columns: dict[str, str], similar: Callable[[pa.Table, pa.Table], tuple[np.ndarray, ...]], adds: str, most: int = 4096) -> DataFrame:
+    """(order_a, order_b, added columns) of the pairs of which ``similar`` says so, two blocks of rows at a time.
+
+    columns: those that it needs, with their types.  similar: of two blocks, the places in the first and in the second and the columns it
+    adds.  Blocks are as in ``block_pairs``; no pair is a row unless it is similar."""
+    df, blocks = _in_blocks(entries.select(F.col(order).cast("long").alias(order), *(F.col(c).cast(t).alias(c) for c, t in columns.items())), order, most)
+    names = [x.split()[0] for x in adds.split(",")]
+
+    def run(key: tuple, both: pa.Table) -> pa.Table:
+        block = both.column("_block").to_numpy()
+        left, right = (both.filter(pa.array(block == k.as_py())) for k in key)
+        x, y, *more = similar(left, right)
+        a, b = (t.column(order).to_numpy()[at] for t, at in ((left, x), (right, y)))
+        keep = a < b
+        return pa.table([pa.array(a[keep]), pa.array(b[keep]), *(pa.array(m[keep]) for m in more)], names=[f"{order}_a", f"{order}_b", *names])
+
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_other")
+    met = df.select("*", other).withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")}).drop("_other")
+    return met.groupBy("_i", "_j").applyInArrow(run, f"{order}_a long, {order}_b long, {adds}")
+
+
+def _near_hashes(column: str, bits: int) -> Callable[[pa.Table, pa.Table], tuple[np.ndarray, ...]]:
+    def similar(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, ...]:
+        (x, at_x), (y, at_y) = ((t.column(column).drop_null().to_numpy().view(np.uint64), np.flatnonzero(t.column(column).is_valid().to_numpy())) for t in (left, right))
+        out = []
+        for a in range(0, len(x), 512):
+            distance = np.bitwise_count(x[a : a + 512, None] ^ y[None])
+            i, j = np.nonzero(distance <= bits)
+            out.append((at_x[i + a], at_y[j], distance[i, j].astype(np.int32)))
+        return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    return similar
+
+
+def _matrix(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, and their places; null ones are left out."""
+    whole = column.drop_null().combine_chunks()
+    whole = whole if isinstance(whole, pa.Array) else pa.concat_arrays(whole.chunks)
+    at = np.flatnonzero(column.is_valid().to_numpy())
+    return (whole.flatten().to_numpy().reshape(len(at), -1).astype(kind), at) if len(at) else (np.zeros((0, 0), kind), at)
+
+
+def vector_pairs(entries: DataFrame, least: float, vector: str = "q", order: str = "idx", scale: int = 127) -> DataFrame:
+    """(order_a, order_b, dot) of all pairs of integer vectors whose cosine (dot / scale^2) is at least so much.
+
+    Blocks are multiplied as matrices; up to a thousand dimensions a product of 8-bit vectors is exact in single precision."""
+
+    def similar(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, ...]:
+        (x, at_x), (y, at_y) = (_matrix(t.column(vector), np.float64) for t in (left, right))
+        if x.shape[1] * scale**2 < 1 << 24:
+            x, y = x.astype(np.float32), y.astype(np.float32)
+        out = [(np.zeros(0, np.int64),) * 3]
+        for a in range(0, len(x) if len(y) else 0, 512):
+            dot = x[a : a + 512] @ y.T
+            i, j = np.nonzero(dot.astype(np.float64) / float(scale**2) >= least)
+            out.append((at_x[i + a], at_y[j], dot[i, j].astype(np.int64)))
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+    return compared(entries, order, {vector: "array<int>"}, similar, "dot long")
 
 
 def not_hard_linked(with_duration: bool = True) -> Column:

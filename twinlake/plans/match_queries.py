@@ -32,8 +32,7 @@ def quantize(spark, sf):
 
 @query("p13_int8_cosine_pairs", f"WITH v AS ({_Q}) SELECT a.idx AS idx_a, b.idx AS idx_b, CAST(list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[]) AS BIGINT) AS dot FROM v a JOIN v b ON a.idx < b.idx AND CAST(list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[]) AS BIGINT) / 16129::DOUBLE >= 0.3::DOUBLE")
 def cosine_pairs(spark, sf):
-    pairs = candidates.block_pairs(vectors(spark, sf).select("idx", "q"))
-    return pairs.where(kernels.int8_cosine(F.col("q_a"), F.col("q_b")) >= 0.3).select("idx_a", "idx_b", kernels.int_dot(F.col("q_a"), F.col("q_b")).alias("dot"))
+    return candidates.vector_pairs(vectors(spark, sf), 0.3)
 
 
 _SAD = f"WITH v AS (SELECT idx, list_transform(q, lambda x: x + 128) AS g FROM ({_Q})) SELECT a.idx, "
@@ -76,6 +75,13 @@ def hash_pairs(spark, sf):
     return candidates.hash_pairs(h, 18).select("idx_a", "idx_b", kernels.hamming(F.col("phash_a"), F.col("phash_b")).cast("long").alias("distance"))
 
 
+@query("p05_hash_pairs_near", f"WITH h AS ({_HASH}) SELECT a.idx AS idx_a, b.idx AS idx_b FROM h a JOIN h b ON a.idx < b.idx AND list_sum(list_transform(range(1, 65), lambda i: CASE WHEN i <= 40 THEN abs(a.bits[i] - b.bits[i]) ELSE 0 END)) <= 9")
+def hash_pairs_near(spark, sf):
+    """The pigeonhole join, on the first 40 bits of the hashes so that some are near."""
+    h = vectors(spark, sf).select("idx", kernels.median_hash(F.col("q")).bitwiseAND(F.lit((1 << 40) - 1).cast("long")).alias("phash"))
+    return candidates.hash_pairs(h, 9).select("idx_a", "idx_b")
+
+
 @query("p15_sign_distance", f"WITH v AS ({_Q}) SELECT a.idx, CAST(len(list_filter(range(1, 65), lambda i: (a.q[i] < 0) <> (b.q[i] < 0))) AS BIGINT) AS distance FROM v a JOIN v b ON b.idx = a.idx + 1")
 def sign_distance(spark, sf):
     df = _next(vectors(spark, sf).select("idx", kernels.sign_bits(F.col("q")).alias("s")))
@@ -206,8 +212,7 @@ def timeline_matches(spark, sf):
 @query("flagship_embedding_groups")
 def flagship(spark, sf):
     """Quantise, compare, group, and flag the best of each group."""
-    v = vectors(spark, sf)
-    pairs = candidates.block_pairs(v.select("idx", "q")).withColumn("cosine", kernels.int8_cosine(F.col("q_a"), F.col("q_b"))).where(F.col("cosine") >= 0.3)
+    pairs = grouping.checkpoint(candidates.vector_pairs(vectors(spark, sf), 0.3).withColumn("cosine", F.col("dot") / F.lit(16129.0)))
     groups = grouping.components(pairs.select(F.col("idx_a").alias("a"), F.col("idx_b").alias("b")))
     best = pairs.select(F.col("idx_a").alias("node"), "cosine").union(pairs.select("idx_b", "cosine")).groupBy("node").agg(F.max("cosine").alias("similarity"), F.count("*").alias("partners"))
     df = groups.join(best, "node").select(F.col("component").alias("group_id"), F.col("node").alias("idx"), "similarity", "partners")
@@ -215,8 +220,8 @@ def flagship(spark, sf):
 
 
 def _edges(spark, sf):
-    pairs = candidates.block_pairs(vectors(spark, sf).select("idx", "q")).withColumn("cosine", kernels.int8_cosine(F.col("q_a"), F.col("q_b"))).where(F.col("cosine") >= 0.32)
-    return pairs.select(F.col("idx_a").alias("a"), F.col("idx_b").alias("b"), (1 - F.col("cosine")).alias("difference"), F.lit(verdict.AI).alias("flags"), F.lit(True).alias("emitted"), F.lit(True).alias("plain"))
+    pairs = candidates.vector_pairs(vectors(spark, sf), 0.32)
+    return pairs.select(F.col("idx_a").alias("a"), F.col("idx_b").alias("b"), (1 - F.col("dot") / F.lit(16129.0)).alias("difference"), F.lit(verdict.AI).alias("flags"), F.lit(True).alias("emitted"), F.lit(True).alias("plain"))
 
 
 @query("a01_greedy_groups")
