@@ -401,13 +401,19 @@ def test_suffix_dedup_repeated_rows(spark, odd, none):
     assert nulls[0].n_removed == 0 and [r for r in got if r.doc_id == 6][0].n_removed == nulls[0].n_bytes
 
 
-@pytest.mark.parametrize("shard_bytes", [1, 300, 1 << 20])
-def test_shards_merge(shard_bytes):
+@pytest.mark.parametrize("per_shard", [1, 7, 100])
+def test_shards_merge(per_shard):
     rng = random.Random(6)
-    pool = bytes(rng.choice(b"abc") for _ in range(300))
+    pool = bytes(rng.choice(b"abc\0") for _ in range(300))
     segments = [pool[a : a + 40] + bytes(rng.choice(b"ab") for _ in range(10)) for a in (rng.randrange(250) for _ in range(40))]
     n = np.array([len(s) - 19 for s in segments])
-    got = {(i, int(p)) for i, where in suffix_dedup.repeats(segments, n, 20, shard_bytes) for p in where}
+    got, shards = set(), []
+    for a in range(0, len(segments), per_shard):
+        segment, where, again, strings, first = suffix_dedup.repeats(segments[a : a + per_shard], n[a : a + per_shard], 20)
+        got |= {(a + int(i), int(p)) for i, p in zip(segment[again], where[again], strict=True)}
+        shards.append((strings, np.stack([a + segment[first], 0 * first, where[first]], 1)))
+    rng.shuffle(shards)  # whatever the order, the earliest stays
+    got |= {(int(d), int(p)) for d, _, p in suffix_dedup.merge(shards)}
     seen, want = set(), set()
     for i, s in enumerate(segments):
         for p in range(len(s) - 19):
@@ -417,6 +423,16 @@ def test_shards_merge(shard_bytes):
     assert got == want
 
 
+@pytest.mark.parametrize(("shard_bytes", "key_bytes"), [(1500, 400), (1 << 20, 3000)])
+def test_hot_passage_is_dealt_to_shards(spark, shard_bytes, key_bytes):
+    """One passage in every document, each time in another context: its keys have more bytes than a shard."""
+    rng = random.Random(15)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(160))
+    texts = {i: "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 130))) + passage[rng.randint(0, 40) :] + "".join(rng.choice("uvw\0") for _ in range(rng.randint(0, 130))) for i in range(150)}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove(table(spark, [*texts.items()]).repartition(3), shard_bytes=shard_bytes, key_bytes=key_bytes).collect()}
+    assert got == dict(zip(texts, brute.removal([*texts.items()]), strict=True))
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(4)
     for n in (1, 2, 50, 400):

@@ -63,11 +63,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def partitions_for(df: DataFrame, bytes_each: int = 256 << 20) -> int:
-    """Partitions for a shuffle of whole texts: the session's number, or more where by its plan's statistics the input is larger."""
-    stated = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    usual = shuffle_partitions(df.sparkSession)
-    return min(max(usual, -(-stated // bytes_each)), 1 << 17) if stated < 1 << 60 else usual
+def partitions_for(docs: DataFrame, bytes_each: int = 256 << 20, most: int = 64) -> int:
+    """Partitions for a shuffle of whole texts: the session's number, or more (up to ``most`` times) where by its plan's statistics the
+    input is larger.  Of a scan these are its files' sizes; of a join they are a product, hence the limit."""
+    usual = shuffle_partitions(docs.sparkSession)
+    stated = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(usual, -(-stated // bytes_each)), most * usual) if stated < 1 << 60 else usual
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

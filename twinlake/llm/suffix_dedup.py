@@ -9,8 +9,9 @@ one.  Three steps find all such strings without sorting all suffixes:
    Runs meet by key; a key that stands alone holds no repeat, and a run of equal digest repeats the first one whole.
 2. Runs of one key but different bytes (the edges of repeats) are cut from their texts and gathered by key into shards.  Each shard
    gets a suffix array (Larsson-Sadakane) and common prefixes (Kasai's, by predecessor in text order); suffixes that agree in
-   ``length`` bytes form classes whose earliest member stays.  A key with more bytes than a shard holds is cut into several, merged
-   by binary search of each one's distinct strings in those of the earlier ones.
+   ``length`` bytes form classes whose earliest member stays.  A key of many bytes is dealt to several tasks by document; their
+   shards' distinct strings, sorted, then meet in buckets by hash, where each shard's are looked up in those of the others before it by
+   binary search.  So no task holds more than a shard, or a bucket of one, whatever the key.
 3. The repeats' byte ranges go back to their documents.
 
 Texts move once, the runs once, and only edges are sorted.  A task drops repeats it knows before they move, so a hot passage sends
@@ -23,10 +24,12 @@ both the first stays; texts shorter than ``length`` stay whole; other columns ar
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,7 @@ _GRAM = 32
 _SLICE = 1 << 19
 _PIECE = 4 << 20
 _FIRST = -(1 << 63)
+_BROADCAST_KEYS = 100_000
 _RUNS = "repeat boolean, key long, digest long, doc long, version long, start long, n long"
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
@@ -126,7 +130,7 @@ def _find_runs(sources: DataFrame, length: int) -> DataFrame:
     return sources.select("doc", "version", "text").mapInArrow(run, _RUNS)
 
 
-def _meet(found: DataFrame) -> DataFrame:
+def _meet(found: DataFrame, partitions: int) -> DataFrame:
     """Rows with repeat: every string of the run starts earlier elsewhere; the others: runs whose key has other bytes too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +169,7 @@ def _meet(found: DataFrame) -> DataFrame:
                 kept = batch.filter(pa.array(out))
                 yield pa.record_batch([pa.array((repeat | same)[out]), *kept.columns[1:]], names=batch.schema.names)
 
-    return found.repartition(common.shuffle_partitions(found.sparkSession), "key").sortWithinPartitions("repeat", "key", "digest", "doc", "version", "start").mapInArrow(run, _RUNS)
+    return found.repartition(partitions, "key").sortWithinPartitions("repeat", "key", "digest", "doc", "version", "start").mapInArrow(run, _RUNS)
 
 
 def _shard(segments: list[bytes], n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,104 +192,166 @@ def _shard(segments: list[bytes], n: np.ndarray, length: int) -> tuple[np.ndarra
     return data, begins, class_, at
 
 
-def repeats(segments: list[bytes], n: np.ndarray, length: int, shard_bytes: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(segment, its positions whose string starts earlier) of segments in order; beyond shard_bytes over several shards."""
-    before = np.zeros(0, f"S{length}")
-    a = 0
-    while a < len(segments):
-        b, size = a, 0
-        while b < len(segments) and (b == a or size + len(segments[b]) <= shard_bytes):
-            size += len(segments[b])
-            b += 1
-        data, begins, class_, at = _shard(segments[a:b], n[a:b], length)
-        kinds, first, of = np.unique(class_[at], return_index=True, return_inverse=True)
-        again = np.arange(len(at)) != first[of]
-        if a or b < len(segments):
-            windows = np.lib.stride_tricks.sliding_window_view(data, length)
-            strings = np.ascontiguousarray(windows[at[first]]).view(f"S{length}").ravel()  # sorted, as classes are
-            if len(before):
-                place = np.minimum(np.searchsorted(before, strings), len(before) - 1)
-                known = before[place] == strings
-                again |= known[of]
-                strings = strings[~known]
-            if b < len(segments):
-                before = np.insert(before, np.searchsorted(before, strings), strings)
-        segment = np.searchsorted(begins, at[again], "right") - 1
-        where = at[again] - begins[segment]
-        for part in np.split(np.arange(len(segment)), np.flatnonzero(segment[1:] != segment[:-1]) + 1):
-            if len(part):
-                yield a + int(segment[part[0]]), where[part]
-        a = b
-
-
-def _resolve(segments: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """doc, version, first, end of byte ranges that repeat, from (key, doc, version, start, n, bytes) gathered by key."""
+def repeats(segments: list[bytes], n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The strings of one shard's segments, in their order: segment, place in it, whether the string starts earlier in the shard; then
+    the distinct strings in sorted order and which string of the list is the first of each."""
+    data, begins, class_, at = _shard(segments, n, length)
+    _, first = np.unique(class_[at], return_index=True)
+    again = np.ones(len(at), bool)
+    again[first] = False
+    segment = np.repeat(np.arange(len(segments)), n)
+    strings = np.lib.stride_tricks.sliding_window_view(data, length)[at[first]] if len(data) >= length else np.zeros((0, length), np.uint8)
+    return segment, at - begins[segment], again, np.ascontiguousarray(strings).view(f"S{length}").ravel(), first
+
+
+def merge(shards: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Places (rows of the shards' second arrays) whose string starts earlier in another shard; a shard has its sorted distinct strings
+    and a row (doc, version, start) for each.  Every shard is looked up in the strings of those before it by binary search."""
+    before, at, late = shards[0][0][:0], shards[0][1][:0], []
+    for strings, places in shards:
+        if not len(before):
+            before, at = strings, places
+            continue
+        place = np.minimum(np.searchsorted(before, strings), len(before) - 1)
+        known = before[place] == strings
+        old, new = at[place[known]], places[known]
+        sooner = np.lexsort(np.stack([np.concatenate([old, new])[:, c] for c in (2, 1, 0)]))
+        rank = np.empty(len(sooner), np.int64)
+        rank[sooner] = np.arange(len(sooner))
+        first = rank[len(old) :] < rank[: len(old)]
+        late.append(np.where(first[:, None], old, new))
+        at = at.copy()
+        at[place[known]] = np.where(first[:, None], new, old)
+        into = np.searchsorted(before, strings[~known])
+        before, at = np.insert(before, into, strings[~known]), np.insert(at, into, places[~known], axis=0)
+    return np.concatenate([np.zeros((0, 3), np.int64), *late])
+
+
+_FOUND = "doc long, version long, first long, end long, key long, bucket long, shard long, string binary"
+
+
+def _resolve(segments: DataFrame, length: int, shard_bytes: int, partitions: int) -> DataFrame:
+    """Byte ranges that repeat within a shard (doc, version, first, end), from (key, salt, doc, version, start, n, shards, bytes); and
+    for keys of several shards each shard's distinct strings, with the place where each is first, for ``_merged``.
+
+    A task holds a shard's bytes at a time, whatever the key: only keys of one shard are sure to be held whole."""
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc", "version", "first", "end", "key", "bucket", "shard")), ("string", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            found: list[list] = [[], [], [], []]
-            groups = [0, *(i for i in range(1, len(held)) if held[i][0] != held[i - 1][0]), len(held)]
-            parts = [(0, len(held))] if size <= shard_bytes else list(zip(groups, groups[1:], strict=False))
-            for a, b in parts:
-                for i, where in repeats([x[5] for x in held[a:b]], np.array([x[4] for x in held[a:b]]), length, shard_bytes):
-                    _, doc, version, start, _, _ = held[a + i]
-                    edge = np.flatnonzero(np.append(True, np.diff(where) > length))
-                    first, end = where[edge], where[np.append(edge[1:], len(where)) - 1] + length
-                    for to, x in zip(found, (np.full(len(edge), doc), np.full(len(edge), version), first + start, end + start), strict=True):
-                        to.append(x)
-            return pa.record_batch([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in found], names=["doc", "version", "first", "end"])
+        size, task, nth = 0, TaskContext.get().partitionId() << 32, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            held.sort(key=lambda x: x[2:5])  # strings of several keys never meet, so all can be in the documents' order
+            number = np.array([x[:7] for x in held], np.int64)
+            segment, where, again, strings, first = repeats([x[7] for x in held], number[:, 5], length)
+            s, w = segment[again], where[again]
+            head = np.append(True, (s[1:] != s[:-1]) | (np.diff(w) > length)) if len(s) else np.zeros(0, bool)
+            last = np.append(head[1:], True) if len(s) else head
+            begin = number[s, 4]
+            ranges = [number[s[head], 2], number[s[head], 3], (w + begin)[head], (w + begin)[last] + length]
+            none = pa.nulls(int(head.sum()), pa.int64())
+            yield pa.record_batch([*map(pa.array, ranges), none, none, none, pa.nulls(len(none), pa.binary())], schema=schema)
+            shared = number[segment[first], 6] > 1
+            of, place = segment[first[shared]], where[first[shared]]
+            for i in range(0, len(of), 10_000):
+                part, at = of[i : i + 10_000], place[i : i + 10_000] + number[of[i : i + 10_000], 4]
+                text = [x.ljust(length, b"\0") for x in strings[shared][i : i + 10_000].tolist()]  # numpy drops zeros at the end
+                bucket = [zlib.crc32(x) % (64 * int(k)) for x, k in zip(text, number[part, 6], strict=True)]
+                columns = [number[part, 2], number[part, 3], at, at + length, number[part, 0], np.array(bucket, np.int64), np.full(len(part), task + nth)]
+                yield pa.record_batch([*map(pa.array, columns), pa.array(text, pa.binary())], schema=schema)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:4] == held[-1][:4]:
+                if held and row[:5] == held[-1][:5]:
                     continue  # a row alike in doc_id and text
-                if held and row[0] != held[-1][0] and size >= shard_bytes // 2:
-                    yield out()
-                    held, size = [], 0
+                if size >= shard_bytes and (row[:2] != held[-1][:2] or row[6] > 1):
+                    yield from out()
+                    held, size, nth = [], 0, nth + 1
                 held.append(row)
-                size += len(row[5])
+                size += len(row[7])
         if held:
-            yield out()
+            yield from out()
+
+    return segments.repartition(partitions, "key", "salt").sortWithinPartitions("key", "salt", "doc", "version", "start").mapInArrow(run, _FOUND)
 
-    return segments.repartition(common.shuffle_partitions(segments.sparkSession), "key").sortWithinPartitions("key", "doc", "version", "start").mapInArrow(run, "doc long, version long, first long, end long")
 
+def _merged(found: DataFrame, length: int, partitions: int) -> DataFrame:
+    """Ranges of the strings that start earlier in another shard of their key.  Strings are dealt to buckets by a hash, so a bucket has
+    a fraction of a shard's strings from each of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shards = None, []
+
+        def out() -> pa.RecordBatch:
+            late = merge([(np.array([x for part in texts for x in part], f"S{length}"), np.concatenate(places)) for _, texts, places in shards]) if shards else np.zeros((0, 3), np.int64)
+            return pa.record_batch([pa.array(late[:, 0]), pa.array(late[:, 1]), pa.array(late[:, 2]), pa.array(late[:, 2] + length)], names=["doc", "version", "first", "end"])
 
-def find(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20) -> DataFrame:
-    """doc, version, text, and ranges: the byte ranges that repeat, in any order and perhaps overlapping; a row for each document."""
+        for batch in batches:
+            keys, buckets, numbers = (batch.column(i).to_numpy() for i in range(3))
+            places = np.stack([batch.column(i).to_numpy() for i in (3, 4, 5)], 1)
+            head = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (buckets[1:] != buckets[:-1]) | (numbers[1:] != numbers[:-1])))
+            for a, b in zip(head, np.append(head[1:], len(keys)), strict=True):
+                if key != (now := (keys[a], buckets[a])):
+                    yield out()
+                    key, shards = now, []
+                if not shards or shards[-1][0] != numbers[a]:
+                    shards.append((numbers[a], [], []))
+                shards[-1][1].append(batch.column(6).slice(a, b - a).to_pylist())
+                shards[-1][2].append(places[a:b])
+        yield out()
+
+    rows = found.where("string IS NOT NULL").select("key", "bucket", "shard", "doc", "version", "first", "string")
+    return rows.repartition(partitions, "key", "bucket").sortWithinPartitions("key", "bucket", "shard", "string").mapInArrow(run, "doc long, version long, first long, end long")
+
+
+def find(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20, key_bytes: int = 128 << 10) -> DataFrame:
+    """doc, version, text, and ranges: the byte ranges that repeat, in any order and perhaps overlapping; a row for each document.
+
+    shard_bytes: what a suffix array is built over; key_bytes: what one key may bring to a task, beyond which it is dealt to several."""
     if length < _GRAM:
         raise ValueError(f"strings of {_GRAM} bytes at least")
     common.small_batches(docs.sparkSession)
     sources = _sources(docs)
-    met = common.checkpoint(_meet(_find_runs(sources, length)))
-    partitions = common.shuffle_partitions(docs.sparkSession)
+    partitions = common.partitions_for(docs)
+    met = common.checkpoint(_meet(_find_runs(sources, length), partitions))
     texts = sources.repartition(partitions, "doc", "version")
-    wanted = met.where("NOT repeat").groupBy("doc", "version").agg(F.collect_list(F.struct("key", "start", "n")).alias("cuts"))
+    edges = met.where("NOT repeat").select("doc", "version", "key", "start", "n")
+    hot = edges.groupBy("key").agg(F.sum(F.col("n") + (length - 1)).alias("bytes")).where(F.col("bytes") > key_bytes)
+    hot = common.checkpoint(hot.select("key", F.ceil(F.col("bytes") / key_bytes).cast("long").alias("shards")))
+    shared = hot.count()
+    edges = edges.join(F.broadcast(hot) if shared <= _BROADCAST_KEYS else hot, "key", "left").withColumn("shards", F.coalesce("shards", F.lit(1).cast("long")))
+    salt = F.pmod(F.xxhash64("doc", "version", F.col("start").bitwiseAND(F.lit(-4096).cast("long"))), F.col("shards"))
+    wanted = edges.withColumn("salt", salt).groupBy("doc", "version").agg(F.collect_list(F.struct("key", "start", "n", "salt", "shards")).alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, version, cuts = (batch.column(i) for i in (0, 1, 3))
             data, offsets = common.text_bytes(batch.column(2))
             of = np.repeat(np.arange(len(batch)), np.diff(cuts.offsets.to_numpy()))
-            key, start, n = (x.to_numpy() for x in cuts.flatten().flatten())
+            key, start, n, salt, shards = (x.to_numpy() for x in cuts.flatten().flatten())
             a = offsets[of] + start
             for i in range(0, len(of), 5000):
                 part = slice(i, i + 5000)
-                yield pa.record_batch([pa.array(key[part]), doc.take(pa.array(of[part])), version.take(pa.array(of[part])), pa.array(start[part]), pa.array(n[part]), pa.array([data[x:y].tobytes() for x, y in zip(a[part], (a + n + length - 1)[part], strict=True)], pa.binary())], names=["key", "doc", "version", "start", "n", "bytes"])
-
-    segments = texts.select("doc", "version", "text").join(wanted, ["doc", "version"]).mapInArrow(cut, "key long, doc long, version long, start long, n long, bytes binary")
-    ranges = met.where("repeat").select("doc", "version", F.col("start").alias("first"), (F.col("start") + F.col("n") + (length - 1)).alias("end")).unionByName(_resolve(segments, length, shard_bytes))
+                yield pa.record_batch([pa.array(key[part]), pa.array(salt[part]), doc.take(pa.array(of[part])), version.take(pa.array(of[part])), pa.array(start[part]), pa.array(n[part]), pa.array(shards[part]), pa.array([data[x:y].tobytes() for x, y in zip(a[part], (a + n + length - 1)[part], strict=True)], pa.binary())], names=["key", "salt", "doc", "version", "start", "n", "shards", "bytes"])
+
+    segments = texts.select("doc", "version", "text").join(wanted, ["doc", "version"]).mapInArrow(cut, "key long, salt long, doc long, version long, start long, n long, shards long, bytes binary")
+    resolved = _resolve(segments, length, shard_bytes, partitions)
+    if shared:
+        resolved = common.checkpoint(resolved)
+    ends = resolved.where("string IS NULL").select("doc", "version", "first", "end")
+    if shared:
+        ends = ends.unionByName(_merged(resolved, length, partitions))
+    ranges = met.where("repeat").select("doc", "version", F.col("start").alias("first"), (F.col("start") + F.col("n") + (length - 1)).alias("end")).unionByName(ends)
     gathered = ranges.groupBy("doc", "version").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
     return texts.join(gathered, ["doc", "version"], "left")
 
 
-def remove(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20) -> DataFrame:
+def remove(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20, key_bytes: int = 128 << 10) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (what is left) and its SHA-256."""
     from pyspark.sql import Window
 
-    found = find(docs, length, shard_bytes)
+    found = find(docs, length, shard_bytes, key_bytes)
     # rows alike in doc_id and text: the later ones repeat the first
     found = found.withColumn("copy", F.when(F.col("version") == 0, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("doc", "version").orderBy(F.lit(0)))))
 
