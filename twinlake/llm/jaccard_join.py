@@ -12,7 +12,7 @@ Sets equal to each other are one node.  Sets give a tenth more segments than the
 signatures more, and pairs that share fewer are dropped.  Signatures meet by a shuffle.  A small bucket gives its pairs, a large one
 those with its hub.  Each node is verified against its likeliest partner first; pairs within a component are settled by then, the
 others are verified in a second round.  Large buckets that still hold several components are compared in blocks, all sets of two
-blocks at once.  Verification is exact on the hashed shingles of whole texts, so links are lost nowhere, and pairs within a group of
+blocks at once, from one file a block.  Verification is exact on the hashed shingles of whole texts, so links are lost nowhere, and pairs within a group of
 copies aren't written out.
 
 Cases: text without words (or null) has an empty set and its own doc_id as component; null doc_id rows take part, and a component
@@ -26,9 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from . import common
 from .components import components
 from .shingles import identity, sets
@@ -39,7 +41,8 @@ _FREQUENT = 3  # documents of the sample that share a frequent signature
 _BLOCK = 256  # nodes
 _NO_NEED = 0x7FFF
 _MOST_FREQUENT = 200_000
-_BROADCAST_ROWS = 2_000_000
+_BROADCAST_ROWS = 200_000  # of some 100 bytes at most
+_STRIP = 16  # blocks
 _K1, _K2 = np.uint64(0x94D049BB133111EB), np.uint64(0xBF58476D1CE4E5B9)
 INDEX, PROBE = 1, 2
 
@@ -302,24 +305,33 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, num:
                             links[1].append(node[i])
             yield pa.record_batch([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
 
-    dealt = texts.repartition(common.shuffle_partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "second", "node")
+    dealt = texts.repartition(common.partitions_for(docs), "a", "salt").sortWithinPartitions("a", "salt", "second", "node")
     return common.checkpoint(dealt.mapInArrow(run, "a long, b long"))
 
 
+def _with_ids(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """Rows without an id get one below all others, by their text, to find it by; and the least real id if there are such rows."""
+    seen = docs.agg(F.min(F.col("doc_id").cast("long")).alias("least"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("without")).first()
+    if not seen.without:
+        return docs, None
+    below = (seen.least if seen.least is not None else 0) - 1
+    named = F.coalesce(F.col("doc_id").cast("long"), F.lit(below) - F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 40)))
+    return docs.withColumn("doc_id", named), seen.least if seen.least is not None else 1 << 62
+
+
 def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links of similarity num / den or more) of each document."""
+    named, least = _with_ids(docs)
+    ids = _named(*_found(named, width, num, den))
+    return ids if least is None else _renamed(ids.withColumn("doc_id", F.when(F.col("doc_id") >= least, F.col("doc_id"))))
+
+
+def _found(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``measure`` gives, (node, doc_id) with the least document of each, and (node, label) of those in links."""
     common.small_batches(docs.sparkSession)
     bands = Bands(num, den)
     measured = common.checkpoint(measure(docs, width))
     nodes = common.checkpoint(measured.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    if measured.where("node IS NOT NULL AND doc_id IS NULL").limit(1).count():
-        # documents without an id get one below all others, to find their texts by; it goes again at the end
-        least = measured.agg(F.min("doc_id")).first()[0]
-        raise_by = (least if least is not None else 0) - 1
-        named = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(raise_by) - F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 40))))
-        ids = link(named, width, num, den)
-        real = F.when(F.col("doc_id") >= (least if least is not None else 1 << 62), F.col("doc_id"))
-        return _renamed(ids.withColumn("doc_id", real))
     hot = _find_frequent(docs, width, bands, measured.count())
     met = common.checkpoint(_buckets(_signature_rows(docs, width, bands, hot)))
     stars = common.checkpoint(_stars(met.where("signature IS NOT NULL").select("signature", F.col("a").alias("node"), "need").distinct()))
@@ -343,7 +355,7 @@ def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
     more = _blocks(docs, nodes, stars, found, width, num, den)
     if more is not None:
         found = components(links.unionByName(more))
-    return _named(measured, nodes, found)
+    return measured, nodes, found
 
 
 def _pair_need(a: str, b: str):
@@ -363,46 +375,82 @@ def _blocks(docs: DataFrame, nodes: DataFrame, stars: DataFrame, found: DataFram
     as its least need; other pairs are verified before).
 
     Buckets that hold several components and share nodes form a cluster.  Its nodes, in the order of their components, are cut into
-    blocks, and every two blocks meet in one group, where all sets are compared at once by counting their common elements; no pairs
-    are written out but the links that join components.  Two blocks of one and the same component don't meet."""
+    blocks; each text moves once, to the file of its block's sets in the shared folder.  Every two blocks are then compared by a task
+    that reads both files, one against a strip of others, by counting common elements of all sets at once; nothing is shuffled for it
+    but the blocks' numbers, and no pairs are written out but the links that join components."""
     several = stars.where(F.col("degree") >= F.col("need").bitwiseAND(F.lit(0xFFFF)))
     labelled = several.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("signature").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("signature")
-    open_ = labelled.join(mixed, "signature", "left_semi").withColumn("lead", F.min("node").over(Window.partitionBy("signature")))
-    open_ = common.checkpoint(open_.select("node", "lead", "label").distinct())
+    mixed = labelled.groupBy("signature").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("node").alias("lead")).where("least <> most").select("signature", "lead")
+    open_ = common.checkpoint(labelled.join(mixed, "signature").select("node", "lead", "label").distinct())
     if not open_.limit(1).count():
         return None
     cluster = components(open_.select(F.col("lead").alias("a"), F.col("node").alias("b"))).withColumnRenamed("label", "cluster")
-    each = open_.select("node", "label").distinct().join(cluster, "node")
-    nth = F.row_number().over(Window.partitionBy("cluster").orderBy("label", "node")) - 1
-    placed = common.checkpoint(each.withColumn("block", F.floor(nth / _BLOCK).cast("int")))
-    ends = placed.groupBy("cluster", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-    first, second = (ends.toDF("cluster", side, f"least_{side}", f"most_{side}") for side in ("i", "j"))
-    meet = first.join(second, "cluster").where("i <= j AND NOT (least_i = most_i AND least_j = most_j AND least_i = least_j)").select("cluster", "i", "j")
-    meet = common.checkpoint(meet)
-    sides = meet.select("cluster", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
-    orders = placed.join(sides, ["cluster", "block"]).join(nodes, "node").groupBy("doc_id", "node", "label").agg(F.collect_list(F.struct("cluster", "i", "j", "block")).alias("orders"))
-    orders = common.checkpoint(orders)
-    if placed.count() <= _BROADCAST_ROWS and meet.count() * 2 * _BLOCK <= _BROADCAST_ROWS:
+    each = numbered(common.checkpoint(open_.select("node", "label").distinct().join(cluster, "node")), [F.col("cluster"), F.col("label"), F.col("node")], "nth")
+    each = common.checkpoint(each)
+    first = each.groupBy("cluster").agg(F.min("nth").alias("first"))
+    placed = common.checkpoint(each.join(first, "cluster").select("node", "label", "cluster", F.floor((F.col("nth") - F.col("first")) / _BLOCK).cast("int").alias("block")))
+    orders = placed.join(nodes, "node")
+    if placed.count() <= _BROADCAST_ROWS:
         orders = F.broadcast(orders)
-    texts = _texts(docs).where("doc_id IS NOT NULL").join(orders, "doc_id").select("node", "label", "text", F.explode("orders").alias("o")).select("o.cluster", "o.i", "o.j", "o.block", "node", "label", "text")
+    texts = _texts(docs).where("doc_id IS NOT NULL").join(orders, "doc_id").select("cluster", "block", "node", "label", "text")
+    spark = docs.sparkSession
+    folder = common.new_folder(spark, "blocks")
+    fs, at = common.file_system(folder)
+    fs.create_dir(at, recursive=True)
+    schema = pa.schema([("node", pa.int64()), ("label", pa.int64()), ("elements", pa.list_(pa.uint64()))])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = common.file_system(folder)
+        key, sink, out, last, count = None, None, None, None, 0
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            sink.close()
+            name = f"{at}/{key[0]}_{key[1]}"
+            fs.move(f"{name}.{TaskContext.get().taskAttemptId()}", name)  # a repeated task leaves one whole file
+            return pa.record_batch([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([count], pa.int32())], names=["cluster", "block", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
         for batch in batches:
-            cluster, i, j, block, node, label = (batch.column(c).to_numpy() for c in range(6))
-            for at, some in _slices(batch, 6, width):
-                for r, x in enumerate(some, at):
+            clusters, blocks, node, label = (batch.column(c).to_numpy() for c in range(4))
+            for start, some in _slices(batch, 4, width):
+                for r, x in enumerate(some, start):
                     if identity(x) != node[r]:
                         continue  # another text of the same doc_id
-                    if key != (now := (cluster[r], i[r], j[r])):
-                        yield _compared(held, num, den)
-                        key, held = now, []
-                    held.append((block[r], node[r], label[r], x))
-        yield _compared(held, num, den)
+                    if key != (now := (int(clusters[r]), int(blocks[r]))):
+                        if key is not None:
+                            yield close()
+                        key, last, count = now, None, 0
+                        sink = fs.open_output_stream(f"{at}/{key[0]}_{key[1]}.{TaskContext.get().taskAttemptId()}")
+                        out = pa.ipc.new_file(sink, schema)
+                    if last != node[r]:
+                        last, count = node[r], count + 1
+                        out.write_batch(pa.record_batch([pa.array([node[r]], pa.int64()), pa.array([label[r]], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.uint64()))], schema=schema))
+        if key is not None:
+            yield close()
+
+    partitions = common.partitions_for(docs)
+    dealt = texts.repartition(partitions, "cluster", "block").sortWithinPartitions("cluster", "block", "node")
+    written = common.checkpoint(dealt.mapInArrow(write, "cluster long, block int, n int"))
+    ends = written.groupBy("cluster").agg(F.max("block").alias("last"))
+    strips = written.join(ends, "cluster").select("cluster", "block", "last", F.explode(F.sequence(F.floor(F.col("block") / _STRIP), F.floor(F.col("last") / _STRIP))).alias("strip"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = common.file_system(folder)
+
+        def read(cluster: int, block: int) -> list[tuple]:
+            with fs.open_input_file(f"{at}/{cluster}_{block}") as source:
+                t = pa.ipc.open_file(source).read_all()
+            return [(block, int(n), int(l), e.values.to_numpy()) for n, l, e in zip(t["node"].to_numpy(), t["label"].to_numpy(), t["elements"], strict=True)]
 
-    dealt = texts.repartition(common.shuffle_partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block", "node")
-    return common.checkpoint(dealt.mapInArrow(run, "a long, b long"))
+        for batch in batches:
+            for cluster, i, last, strip in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = read(cluster, i)
+                for j in range(max(i, strip * _STRIP), min(last, (strip + 1) * _STRIP - 1) + 1):
+                    other = read(cluster, j) if j > i else []
+                    if len({h[2] for h in mine} | {h[2] for h in other}) > 1:
+                        yield _compared(mine + other, num, den)
+
+    return common.checkpoint(strips.repartition(4 * partitions).mapInArrow(compare, "a long, b long"))
 
 
 def _compared(held: list[tuple], num: int, den: int) -> pa.RecordBatch:
@@ -458,15 +506,31 @@ def _renamed(ids: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The document of least doc_id of each component, with all its columns; rows of one doc_id count as one document, of which the
-    least text stays.  Documents without words all stay."""
-    linked = common.checkpoint(link(docs, width, num, den))
-    gone = linked.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    if gone.count() <= _BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    many = linked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if many:
-        first = Window.partitionBy("doc_id").orderBy("text")
-        kept = kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1 OR doc_id IS NULL").drop("_nth")
-    return kept
+    """One row of each component, that of least doc_id (rows without one come last), with all its columns; rows without words all stay.
+
+    Where doc_ids are unique, the others go by doc_id.  Else a row is told by doc_id and set: of the rows that are alike in both one
+    stays, and a different text under the same doc_id stands for itself."""
+    ids = docs.agg(F.count("*").alias("n"), F.count_distinct(F.col("doc_id").cast("long")).alias("d")).first()
+    if ids.n == ids.d:
+        gone = common.checkpoint(link(docs, width, num, den).where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
+        gone = F.broadcast(gone) if gone.count() <= _BROADCAST_ROWS else gone
+        return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti").select(*docs.columns)
+    node = next(c for c in (f"_node{i}" for i in range(len(docs.columns) + 1)) if c not in {x.lower() for x in docs.columns})
+    named, least = _with_ids(docs)
+    measured, _, found = _found(named, width, num, den)
+    each = measured.where("node IS NOT NULL").select("doc_id", "node").distinct().join(found, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
+    real = F.col("doc_id") >= F.lit(least if least is not None else -(1 << 63))
+    first = each.groupBy("label").agg(F.min(F.struct((~real).alias("without"), "doc_id", "node")).alias("m")).select(F.col("m.node").alias(node), F.col("m.without").alias("_without"), F.col("m.doc_id").alias("_id"))
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, some in _slices(batch, text, width):
+                part = batch.slice(a, len(some))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([identity(x) if len(x) else None for x in some], pa.int64())], [*part.schema.names, node])
+
+    schema = docs.select(*docs.columns, F.lit(None).cast("long").alias(node)).schema
+    rows = docs.select(*(F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in docs.columns)).mapInArrow(run, schema)
+    same = F.col("_without") & F.col("doc_id").isNull() | ~F.col("_without") & (F.col("doc_id").cast("long") == F.col("_id"))
+    kept = rows.join(first, node).where(F.coalesce(same, F.lit(False))).dropDuplicates([node])
+    return kept.select(*docs.columns).unionByName(rows.where(F.col(node).isNull()).select(*docs.columns))
