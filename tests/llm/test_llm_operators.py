@@ -482,6 +482,21 @@ def test_jaccard_join_large_groups(spark):
     assert got == brute.links(texts)
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Rows are told by doc_id and set where ids repeat or are missing; a user's columns keep their names and values."""
+    a, b, c = ("one two three four five six seven " * k for k in (1, 1, 1))
+    a, b, c = a + "alpha beta gamma", b.replace("one", "uno").replace("six", "sei"), "nothing like the others at all here now"
+    rows = [(5, a, 1), (5, a, 1), (5, c, 2), (3, a, 3), (None, b, 4), (None, b, 4), (7, b, 5), (None, c + " x y z", 6), (None, None, 7), (8, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _nth int").withColumn("_node0", F.col("_nth") * 10)
+    got = sorted(tuple(r) for r in jaccard_join.keep_one(df).collect() if r.doc_id is not None)
+    assert got == [(3, a, 3, 30), (5, c, 2, 20), (7, b, 5, 50), (8, "", 8, 80)]
+    rest = sorted((r for r in jaccard_join.keep_one(df).collect() if r.doc_id is None), key=lambda r: r._nth)
+    assert [r._nth for r in rest] == [6, 7] or [r._nth for r in rest] == [7]  # (c and c with three words more share 3 of 7 shingles at most)
+    assert jaccard_join.keep_one(df).columns == df.columns
+    plain = df.where("doc_id IN (3, 7, 8)").dropDuplicates(["doc_id"])
+    assert sorted(r._nth for r in jaccard_join.keep_one(plain).collect()) == [3, 5, 8]
+
+
 def test_jaccard_edges(odd, none):
     assert jaccard_join.link(none).count() == jaccard_join.keep_one(none).count() == 0
     r = jaccard_join.link(odd).collect()

@@ -305,7 +305,7 @@ def _merged(found: DataFrame, length: int, partitions: int) -> DataFrame:
     return rows.repartition(partitions, "key", "bucket").sortWithinPartitions("key", "bucket", "shard", "string").mapInArrow(run, "doc long, version long, first long, end long")
 
 
-def find(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20, key_bytes: int = 128 << 10) -> DataFrame:
+def find(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20, key_bytes: int = 2 << 20) -> DataFrame:
     """doc, version, text, and ranges: the byte ranges that repeat, in any order and perhaps overlapping; a row for each document.
 
     shard_bytes: what a suffix array is built over; key_bytes: what one key may bring to a task, beyond which it is dealt to several."""
@@ -322,7 +322,6 @@ def find(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20, key_byt
     shared = hot.count()
     edges = edges.join(F.broadcast(hot) if shared <= _BROADCAST_KEYS else hot, "key", "left").withColumn("shards", F.coalesce("shards", F.lit(1).cast("long")))
     salt = F.pmod(F.xxhash64("doc", "version", F.col("start").bitwiseAND(F.lit(-4096).cast("long"))), F.col("shards"))
-    wanted = edges.withColumn("salt", salt).groupBy("doc", "version").agg(F.collect_list(F.struct("key", "start", "n", "salt", "shards")).alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,19 +334,21 @@ def find(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20, key_byt
                 part = slice(i, i + 5000)
                 yield pa.record_batch([pa.array(key[part]), pa.array(salt[part]), doc.take(pa.array(of[part])), version.take(pa.array(of[part])), pa.array(start[part]), pa.array(n[part]), pa.array(shards[part]), pa.array([data[x:y].tobytes() for x, y in zip(a[part], (a + n + length - 1)[part], strict=True)], pa.binary())], names=["key", "salt", "doc", "version", "start", "n", "shards", "bytes"])
 
-    segments = texts.select("doc", "version", "text").join(wanted, ["doc", "version"]).mapInArrow(cut, "key long, salt long, doc long, version long, start long, n long, shards long, bytes binary")
-    resolved = _resolve(segments, length, shard_bytes, partitions)
-    if shared:
-        resolved = common.checkpoint(resolved)
-    ends = resolved.where("string IS NULL").select("doc", "version", "first", "end")
+    def resolved(some: DataFrame) -> DataFrame:
+        wanted = some.withColumn("salt", salt).groupBy("doc", "version").agg(F.collect_list(F.struct("key", "start", "n", "salt", "shards")).alias("cuts"))
+        segments = texts.select("doc", "version", "text").join(wanted, ["doc", "version"]).mapInArrow(cut, "key long, salt long, doc long, version long, start long, n long, shards long, bytes binary")
+        return _resolve(segments, length, shard_bytes, partitions)
+
+    ends = resolved(edges.where("shards = 1")).select("doc", "version", "first", "end")
     if shared:
-        ends = ends.unionByName(_merged(resolved, length, partitions))
+        parts = resolved(edges.where("shards > 1"))  # computed for either use from one exchange, as its strings are too many to keep
+        ends = ends.unionByName(parts.where("string IS NULL").select("doc", "version", "first", "end")).unionByName(_merged(parts, length, partitions))
     ranges = met.where("repeat").select("doc", "version", F.col("start").alias("first"), (F.col("start") + F.col("n") + (length - 1)).alias("end")).unionByName(ends)
     gathered = ranges.groupBy("doc", "version").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
     return texts.join(gathered, ["doc", "version"], "left")
 
 
-def remove(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20, key_bytes: int = 128 << 10) -> DataFrame:
+def remove(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20, key_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (what is left) and its SHA-256."""
     from pyspark.sql import Window
 
