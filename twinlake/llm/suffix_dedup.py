@@ -227,15 +227,15 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return np.concatenate([np.zeros((0, 3), np.int64), *late])
 
 
-_FOUND = "doc long, version long, first long, end long, key long, bucket long, shard long, string binary"
+_FOUND = "doc long, version long, first long, end long, key long, bucket long, shard long, strings binary, places binary"
 
 
 def _resolve(segments: DataFrame, length: int, shard_bytes: int, partitions: int) -> DataFrame:
     """Byte ranges that repeat within a shard (doc, version, first, end), from (key, salt, doc, version, start, n, shards, bytes); and
-    for keys of several shards each shard's distinct strings, with the place where each is first, for ``_merged``.
+    for keys of several shards each shard's distinct strings by bucket, with the place where each is first, for ``_merged``.
 
     A task holds a shard's bytes at a time, whatever the key: only keys of one shard are sure to be held whole."""
-    schema = pa.schema([*((c, pa.int64()) for c in ("doc", "version", "first", "end", "key", "bucket", "shard")), ("string", pa.binary())])
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc", "version", "first", "end", "key", "bucket", "shard")), ("strings", pa.binary()), ("places", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -251,15 +251,16 @@ def _resolve(segments: DataFrame, length: int, shard_bytes: int, partitions: int
             begin = number[s, 4]
             ranges = [number[s[head], 2], number[s[head], 3], (w + begin)[head], (w + begin)[last] + length]
             none = pa.nulls(int(head.sum()), pa.int64())
-            yield pa.record_batch([*map(pa.array, ranges), none, none, none, pa.nulls(len(none), pa.binary())], schema=schema)
+            yield pa.record_batch([*map(pa.array, ranges), none, none, none, *(pa.nulls(len(none), pa.binary()),) * 2], schema=schema)
             shared = number[segment[first], 6] > 1
-            of, place = segment[first[shared]], where[first[shared]]
-            for i in range(0, len(of), 10_000):
-                part, at = of[i : i + 10_000], place[i : i + 10_000] + number[of[i : i + 10_000], 4]
-                text = [x.ljust(length, b"\0") for x in strings[shared][i : i + 10_000].tolist()]  # numpy drops zeros at the end
-                bucket = [zlib.crc32(x) % (64 * int(k)) for x, k in zip(text, number[part, 6], strict=True)]
-                columns = [number[part, 2], number[part, 3], at, at + length, number[part, 0], np.array(bucket, np.int64), np.full(len(part), task + nth)]
-                yield pa.record_batch([*map(pa.array, columns), pa.array(text, pa.binary())], schema=schema)
+            of, text = segment[first[shared]], strings[shared]
+            bucket = np.array([zlib.crc32(x) for x in text.tolist()], np.int64) % (16 * number[of, 6]) if len(of) else of
+            places = np.stack([number[of, 2], number[of, 3], where[first[shared]] + number[of, 4]], 1)
+            order = np.lexsort((bucket, number[of, 0]))  # strings stay sorted within a bucket
+            cut = np.flatnonzero(np.append(True, np.diff(number[of[order], 0]) != 0) | np.append(True, np.diff(bucket[order]) != 0)) if len(of) else of
+            for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True):
+                x = order[i:j]
+                yield pa.RecordBatch.from_pylist([{"key": int(number[of[x[0]], 0]), "bucket": int(bucket[x[0]]), "shard": task + nth, "strings": text[x].tobytes(), "places": places[x].tobytes()}], schema=schema)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -284,25 +285,19 @@ def _merged(found: DataFrame, length: int, partitions: int) -> DataFrame:
         key, shards = None, []
 
         def out() -> pa.RecordBatch:
-            late = merge([(np.array([x for part in texts for x in part], f"S{length}"), np.concatenate(places)) for _, texts, places in shards]) if shards else np.zeros((0, 3), np.int64)
+            late = merge(shards) if shards else np.zeros((0, 3), np.int64)
             return pa.record_batch([pa.array(late[:, 0]), pa.array(late[:, 1]), pa.array(late[:, 2]), pa.array(late[:, 2] + length)], names=["doc", "version", "first", "end"])
 
         for batch in batches:
-            keys, buckets, numbers = (batch.column(i).to_numpy() for i in range(3))
-            places = np.stack([batch.column(i).to_numpy() for i in (3, 4, 5)], 1)
-            head = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (buckets[1:] != buckets[:-1]) | (numbers[1:] != numbers[:-1])))
-            for a, b in zip(head, np.append(head[1:], len(keys)), strict=True):
-                if key != (now := (keys[a], buckets[a])):
+            for *now, strings, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now[:2]:
                     yield out()
-                    key, shards = now, []
-                if not shards or shards[-1][0] != numbers[a]:
-                    shards.append((numbers[a], [], []))
-                shards[-1][1].append(batch.column(6).slice(a, b - a).to_pylist())
-                shards[-1][2].append(places[a:b])
+                    key, shards = now[:2], []
+                shards.append((np.frombuffer(strings, f"S{length}"), np.frombuffer(places, np.int64).reshape(-1, 3)))
         yield out()
 
-    rows = found.where("string IS NOT NULL").select("key", "bucket", "shard", "doc", "version", "first", "string")
-    return rows.repartition(partitions, "key", "bucket").sortWithinPartitions("key", "bucket", "shard", "string").mapInArrow(run, "doc long, version long, first long, end long")
+    rows = found.where("strings IS NOT NULL").select("key", "bucket", "shard", "strings", "places")
+    return rows.repartition(partitions, "key", "bucket").sortWithinPartitions("key", "bucket", "shard").mapInArrow(run, "doc long, version long, first long, end long")
 
 
 def find(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20, key_bytes: int = 2 << 20) -> DataFrame:
@@ -342,7 +337,7 @@ def find(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20, key_byt
     ends = resolved(edges.where("shards = 1")).select("doc", "version", "first", "end")
     if shared:
         parts = resolved(edges.where("shards > 1"))  # computed for either use from one exchange, as its strings are too many to keep
-        ends = ends.unionByName(parts.where("string IS NULL").select("doc", "version", "first", "end")).unionByName(_merged(parts, length, partitions))
+        ends = ends.unionByName(parts.where("strings IS NULL").select("doc", "version", "first", "end")).unionByName(_merged(parts, length, partitions))
     ranges = met.where("repeat").select("doc", "version", F.col("start").alias("first"), (F.col("start") + F.col("n") + (length - 1)).alias("end")).unionByName(ends)
     gathered = ranges.groupBy("doc", "version").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
     return texts.join(gathered, ["doc", "version"], "left")
