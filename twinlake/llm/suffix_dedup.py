@@ -254,10 +254,12 @@ def _resolve(segments: DataFrame, length: int, shard_bytes: int, partitions: int
             yield pa.record_batch([*map(pa.array, ranges), none, none, none, *(pa.nulls(len(none), pa.binary()),) * 2], schema=schema)
             shared = number[segment[first], 6] > 1
             of, text = segment[first[shared]], strings[shared]
-            bucket = np.array([zlib.crc32(x) for x in text.tolist()], np.int64) % (16 * number[of, 6]) if len(of) else of
+            if not len(of):
+                return
+            bucket = np.array([zlib.crc32(x) for x in text.tolist()], np.int64) % (16 * number[of, 6])
             places = np.stack([number[of, 2], number[of, 3], where[first[shared]] + number[of, 4]], 1)
             order = np.lexsort((bucket, number[of, 0]))  # strings stay sorted within a bucket
-            cut = np.flatnonzero(np.append(True, np.diff(number[of[order], 0]) != 0) | np.append(True, np.diff(bucket[order]) != 0)) if len(of) else of
+            cut = np.flatnonzero(np.append(True, np.diff(number[of[order], 0]) != 0) | np.append(True, np.diff(bucket[order]) != 0))
             for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True):
                 x = order[i:j]
                 yield pa.RecordBatch.from_pylist([{"key": int(number[of[x[0]], 0]), "bucket": int(bucket[x[0]]), "shard": task + nth, "strings": text[x].tobytes(), "places": places[x].tobytes()}], schema=schema)
