@@ -22,12 +22,24 @@ from pyspark.sql import functions as F
 MEMBERS = "group_id long, node long, rep long, difference double, flags int, joined long, blocked long, skipped boolean"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the folder that all executors share; a folder of this machine only where the session names none."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share.  Where the session names none, a local session gets a folder of this machine; on a
+    cluster that would lose data, so it raises."""
     sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="twinlake-"))
+    if named := sc.getConf().get("spark.checkpoint.dir"):
+        return named.rstrip("/")
+    if (current := sc._jsc.sc().getCheckpointDir()).isDefined():
+        return current.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = "file://" + tempfile.mkdtemp(prefix="twinlake-")
+    sc.setCheckpointDir(own)
+    return own
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Written to the folder that all executors share, and the lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(True)
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import kernels, text
-from ..operators import catalog, scope
+from ..operators import catalog, grouping, scope
 from ..sources import readers, sinks
 from ..streaming import rescan
 from .adapters import ENTRIES_SQL, entries, table
@@ -215,7 +215,7 @@ def synthetic(spark, sf):
 @query("t01_streaming_rescan", "SELECT user_id, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY user_id")
 def streaming_rescan(spark, sf):
     """Events as a file stream, merged batch by batch into a table by user: the answer of a whole run."""
-    store, work = (tempfile.mkdtemp(prefix="twinlake-stream-") if not (shared := spark.sparkContext.getConf().get("spark.checkpoint.dir")) else f"{shared}/stream-{spark.sparkContext.applicationId}-{id(sf)}-{n}" for n in ("store", "work"))
+    store, work = (f"{grouping.shared_folder(spark)}/stream-{uuid.uuid4().hex}-{n}" for n in ("store", "work"))
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf)
     seen: list[int] = []

@@ -124,13 +124,40 @@ def gray_verdict(spark, sf):
     return verdict.judged(_pairs_for_verdict(spark, sf), _M).select(F.col("idx_a").alias("idx"), "similar", "difference", "flags")
 
 
-@query("p09_combined_verdict")
+_PAIRS = f"""WITH h AS ({_HASH}), v AS (SELECT q.idx, q.q, h.bits FROM ({_Q}) q JOIN h USING (idx)), x AS (SELECT a.idx, a.q AS qa, b.q AS qb, a.bits AS ha, b.bits AS hb FROM v a JOIN v b ON b.idx = a.idx + 1),
+y AS (SELECT idx, list_transform([0, 16, 32, 48], lambda k: CAST(list_sum(list_transform(range(1, 17), lambda i: abs(qa[k + i] - qb[k + i]))) AS BIGINT) / 16 / 256.0::DOUBLE) AS d,
+list_transform([0, 16, 32, 48], lambda k: CAST(list_sum(list_transform(range(0, 16), lambda i: abs(qa[k + i // 4 * 4 + 3 - i % 4 + 1] - qb[k + i + 1]))) AS BIGINT) / 16 / 256.0::DOUBLE) AS f,
+list_transform([0, 16, 32, 48], lambda k: len(list_filter(range(1, 17), lambda i: ha[k + i] <> hb[k + i]))) AS n,
+list_transform([0, 16, 32, 48], lambda k: CAST(list_sum(list_transform(range(1, 17), lambda i: qa[k + i] * qb[k + i])) AS BIGINT)) AS c FROM x),
+z AS (SELECT idx, (0.0::DOUBLE + d[1] + d[2] + d[3] + d[4]) / 4 AS g, (0.0::DOUBLE + f[1] + f[2] + f[3] + f[4]) / 4 AS gf, CAST(list_sum(n) AS BIGINT) / 256.0::DOUBLE AS h, len(list_filter(n, lambda b: b <= BITS)) >= 3 AS ph, CAST(list_sum(c) AS BIGINT) / 4.0::DOUBLE / 16129.0::DOUBLE AS m FROM y)"""
+
+
+def _either(g: str) -> tuple[str, str, str]:
+    """similar, difference and flags of grey frames or hashes."""
+    return f"({g} <= LIMIT OR ph)", f"CASE WHEN {g} <= LIMIT AND ph THEN least({g}, h) WHEN {g} <= LIMIT THEN {g} ELSE h END", f"CASE WHEN {g} <= LIMIT THEN 8 ELSE 0 END + CASE WHEN ph THEN 16 ELSE 0 END"
+
+
+def _combined() -> str:
+    (plain, d, f), (flip, fd, ff) = _either("g"), _either("gf")
+    rows = f"w AS (SELECT idx, {plain} OR m >= 0.1::DOUBLE AS ok, CASE WHEN {plain} THEN {d} WHEN m >= 0.1::DOUBLE THEN 1 - m END AS d, CASE WHEN {plain} THEN {f} WHEN m >= 0.1::DOUBLE THEN 4 ELSE 0 END AS f, {flip} AS ok2, {fd} AS d2, ({ff}) | 1 AS f2 FROM z)"
+    use = "ok2 AND (NOT ok OR d2 < d)"
+    m = verdict.Matching(percent=92)
+    return f"{_PAIRS}, {rows} SELECT idx, ok OR ok2 AS similar, CASE WHEN {use} THEN d2 ELSE d END AS difference, CASE WHEN {use} THEN f2 ELSE f END AS flags FROM w".replace("LIMIT", f"{m.limit!r}::DOUBLE").replace("BITS", str(m.max_bits))
+
+
+@query("p09_combined_verdict", _combined())
 def combined_verdict(spark, sf):
     m = verdict.Matching(percent=92, positions=4, side=4, combine=True, flipped=True, use_ai=True, ai_percent=10)
     return verdict.judged(_pairs_for_verdict(spark, sf), m).select(F.col("idx_a").alias("idx"), "similar", "difference", "flags")
 
 
-@query("d01_explain_pairs")
+_GATES = f"""WITH v AS ({_Q}), d AS (SELECT a.idx, {_MEAN} <= 0.1 AS content FROM v a JOIN v b ON b.idx = a.idx + 1),
+e AS (SELECT idx, (idx % 3 = 0) = ((idx + 1) % 3 = 0) AS kind, idx % 4 * 2 AS fa, (idx + 1) % 4 * 2 AS fb, idx % 3 = 0 OR abs((idx % 50) - ((idx + 1) % 50)) <= least(((idx % 50) + 10) * 0.2::DOUBLE, (((idx + 1) % 50) + 10) * 0.2::DOUBLE) AS duration, content FROM d),
+w AS (SELECT idx, kind, ((fa | fb) & ERRORS) = 0 AS errors, duration, content FROM e)
+SELECT idx, CASE WHEN kind AND errors AND duration AND content THEN 'match' ELSE 'no match' END AS verdict, CASE WHEN NOT kind THEN 'images never match videos' WHEN NOT errors THEN 'an entry has errors; clear its flags and scan again' WHEN NOT duration THEN 'raise the duration tolerance' WHEN NOT content THEN 'lower the similarity percentage' END AS hint, 5 AS n_gates FROM w""".replace("ERRORS", str(scope.ALL_ERRORS))
+
+
+@query("d01_explain_pairs", _GATES)
 def explain_pairs(spark, sf):
     df = _pairs_for_verdict(spark, sf)
     for side in ("a", "b"):
@@ -200,6 +227,18 @@ def sliding_window(spark, sf):
     return partial.audio_matches(s.join(c, F.col("clip") == F.col("source") + 1), num=2, den=5).select("source", "clip", "sim", "offset_s")
 
 
+@query("p16_sign_prefilter", f"""WITH v AS (SELECT idx // 20 AS path, (idx % 20) * 5 AS t, q, list_transform(q, lambda x: x < 0) AS s FROM ({_Q})),
+h AS (SELECT s.path AS source, c.path AS clip, CAST(list_dot_product(s.q::DOUBLE[], c.q::DOUBLE[]) AS BIGINT) / 16129::DOUBLE AS cosine, s.t - c.t AS off FROM v s JOIN v c ON c.path <> s.path AND len(list_filter(range(1, 65), lambda i: s.s[i] <> c.s[i])) <= {kernels.signature_bound(64, 0.3)} AND CAST(list_dot_product(s.q::DOUBLE[], c.q::DOUBLE[]) AS BIGINT) / 16129::DOUBLE >= 0.1::DOUBLE),
+r AS (SELECT *, count(*) OVER (PARTITION BY source, clip) AS n, row_number() OVER (PARTITION BY source, clip ORDER BY off) AS r FROM h), m AS (SELECT *, max(CASE WHEN r = n // 2 + 1 THEN off END) OVER (PARTITION BY source, clip) AS median FROM r WHERE n >= 4)
+SELECT source, clip, count(*) AS hits, avg(cosine) AS sim, greatest(0, max(median))::DOUBLE AS offset_s FROM m WHERE abs(off - median) <= 30 GROUP BY source, clip HAVING count(*) >= 4""")
+def sign_prefilter(spark, sf):
+    """Timelines against all others, with the sign bits of vectors as a filter before their products."""
+    v = vectors(spark, sf).select(F.floor(F.col("idx") / 20).cast("long").alias("path"), (F.col("idx") % 20 * 5).cast("double").alias("t_sec"), F.col("q").alias("emb"), kernels.sign_bits(F.col("q")).alias("sign"))
+    paths = v.select("path").distinct()
+    met = paths.toDF("source").join(paths.withColumn("clip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v.agg(F.max("path")).first()[0] or 0)))).select("path", "clip").toDF("source", "clip"), "source").where("source <> clip")
+    return partial.timeline_matches(met, v, hit=0.1, bits=kernels.signature_bound(64, 0.3))
+
+
 @query("p20_timeline_matches", f"""WITH v AS (SELECT idx // 20 AS path, (idx % 20) * 5 AS t, q FROM ({_Q})), h AS (SELECT s.path AS source, c.path AS clip, CAST(list_dot_product(s.q::DOUBLE[], c.q::DOUBLE[]) AS BIGINT) / 16129::DOUBLE AS cosine, s.t - c.t AS off FROM v s JOIN v c ON c.path = s.path + 1 AND CAST(list_dot_product(s.q::DOUBLE[], c.q::DOUBLE[]) AS BIGINT) / 16129::DOUBLE >= 0.1::DOUBLE),
 r AS (SELECT *, count(*) OVER (PARTITION BY source, clip) AS n, row_number() OVER (PARTITION BY source, clip ORDER BY off) AS r FROM h), m AS (SELECT *, max(CASE WHEN r = n // 2 + 1 THEN off END) OVER (PARTITION BY source, clip) AS median FROM r WHERE n >= 4)
 SELECT source, clip, count(*) AS hits, avg(cosine) AS sim, greatest(0, max(median))::DOUBLE AS offset_s FROM m WHERE abs(off - median) <= 30 GROUP BY source, clip HAVING count(*) >= 4""")
@@ -209,7 +248,10 @@ def timeline_matches(spark, sf):
     return partial.timeline_matches(paths.withColumn("clip", F.col("source") + 1), v, hit=0.1)
 
 
-@query("flagship_embedding_groups")
+@query("flagship_embedding_groups", f"""WITH RECURSIVE v AS ({_Q}), p AS (SELECT a.idx AS a, b.idx AS b, CAST(list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[]) AS BIGINT) / 16129::DOUBLE AS cosine FROM v a JOIN v b ON a.idx < b.idx AND CAST(list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[]) AS BIGINT) / 16129::DOUBLE >= 0.3::DOUBLE),
+e AS (SELECT a, b, cosine FROM p UNION ALL SELECT b, a, cosine FROM p), reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+g AS (SELECT a AS idx, least(a, min(b)) AS group_id FROM reach GROUP BY a), t AS (SELECT a AS idx, max(cosine) AS similarity, count(*) AS partners FROM e GROUP BY a)
+SELECT group_id, idx, similarity, partners, row_number() OVER (PARTITION BY group_id ORDER BY partners DESC, similarity DESC, idx) = 1 AS is_best FROM g JOIN t USING (idx)""")
 def flagship(spark, sf):
     """Quantise, compare, group, and flag the best of each group."""
     pairs = grouping.checkpoint(candidates.vector_pairs(vectors(spark, sf), 0.3).withColumn("cosine", F.col("dot") / F.lit(16129.0)))
@@ -278,7 +320,7 @@ def hourly(spark, sf):
     return table(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-@query("t11_smoothed_rate")
+@query("t11_smoothed_rate", "WITH l AS (SELECT user_id, list(value ORDER BY ts, value) AS v FROM events GROUP BY user_id) SELECT user_id, list_reduce(v, lambda s, x: s * 0.5::DOUBLE + x * 0.5::DOUBLE) AS rate FROM l")
 def smoothed_rate(spark, sf):
     per = table(spark, sf, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "value"))), lambda x: x["value"]).alias("v"))
     return per.select("user_id", rescan.smoothed_rate(F.col("v")).alias("rate"))
