@@ -566,6 +566,52 @@ def test_chat(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_chat_places_follow_replies(spark):
+    """A tree of replies, one chain of 40 and one message with 30 replies: places are those of a plain depth-first walk."""
+    rng = random.Random(5)
+    parents = {0: None, 1: None} | {t: rng.randrange(t) for t in range(2, 60)}
+    parents |= {100: None} | {t: t - 1 for t in range(101, 141)} | {200: None} | {t: 200 for t in range(201, 231)}
+    rows = [(c, t, "user", f"message {t}" if p is None else f"> message {p}\nmessage {t}") for c in (1, None) for t, p in parents.items()]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_chat(df)
+    got = {(r.conv_id, r.turn): (r.reply_to, r.root, r.place) for r in out.collect()}
+
+    def walk(turn, root, n):
+        want[turn] = (parents[turn], root, n)
+        n += 1
+        for t in sorted(t for t, p in parents.items() if p == turn):
+            n = walk(t, root, n)
+        return n
+
+    want = {}
+    for t in [t for t, p in parents.items() if p is None]:
+        walk(t, t, 0)
+    assert got == {(c, t): w for c in (1, None) for t, w in want.items()}
+    parts = chat.chats(out, 60).collect()
+    read = {}
+    for r in sorted(parts, key=lambda r: r.part):
+        assert len(r.chat) < 60 + 40
+        read[r.conv_id, r.root] = read.get((r.conv_id, r.root), "") + r.chat
+    order = sorted((t for t, w in want.items() if w[1] == 100), key=lambda t: want[t][2])
+    assert read[1, 100] == "".join(f"<|user|>\nmessage {t}\n" for t in order) and sum(r.n_messages for r in parts) == len(rows)
+
+
+def test_chat_paragraphs_depth_and_length(spark):
+    """Two of three paragraphs with other line breaks are linked; marks thousands deep and texts of megabytes are taken whole."""
+    long = " ".join(f"word{i}" for i in range(300_000))
+    rows = [
+        (1, 0, "user", "One two\nthree four.\n\nFive six\nseven.\n\nLast."),
+        (1, 1, "user", "> One two three\n> four.\n>\n> Five\n> six seven.\nReply"),
+        (2, 0, "user", "deep"),
+        (2, 1, "user", ">" * 5000 + " deep\nanswer"),
+        (3, 0, "user", long),
+        (3, 1, "user", f"> {long}\nshort"),
+    ]
+    out = {(r.conv_id, r.turn): r for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [out[c, 1].reply_to for c in (1, 2, 3)] == [0, 0, 0] and [out[c, 1].own for c in (1, 2, 3)] == ["Reply", "answer", "short"]
+    assert out[1, 1].n_linked == 2 and out[3, 0].own == long
+
+
 # the registry
 
 

@@ -26,7 +26,7 @@ def test_matches_sql(spark, sf, name):
 
 def test_quotes_match_sql(spark):
     """The tables have no quotes, so planted ones are compared as well."""
-    rows = [(c, t, "user", text) for c in (1, 2, None) for t, text in enumerate(["One line.\n\nTwo  lines\nhere", "> one LINE.\nno", ">> One line.\n> no\n> no more\nyes", "Ann wrote:\n> two lines\n> here\n\n\n\nso\r\n", "> yes\n >> no\n>\n> so\nend", ""])]
+    rows = [(c, t, "user", text) for c in (1, 2, None) for t, text in enumerate(["One line.\n\nTwo  lines\nhere", "> one LINE.\nno", ">> One line.\n> no\n> no more\nyes", "Ann wrote:\n> two lines\n> here\n\n\n\nso\r\n", "> yes\n >> no\n>\n> so\nend", "", "> two\n> lines here\n> \n> one line.\nboth"])]
     df = spark.createDataFrame([*rows, (1, None, None, None), (1, 2, "user", "> no\nagain")], "conv_id long, turn long, role string, text string")
     con = duckdb.connect()
     conversations = df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"})  # noqa: F841  read by name

@@ -84,15 +84,20 @@ l AS (SELECT *, string_split(t, chr(10)) AS lines, len(list_filter(string_split(
 o AS (SELECT *, CASE WHEN quotes THEN regexp_replace(regexp_replace(array_to_string(list_filter(lines, lambda x, i: NOT regexp_matches(x, {_MARKS}) AND NOT (regexp_matches(x, '(?i)\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$') AND coalesce(regexp_matches(lines[i + 1], {_MARKS}), false))), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') ELSE t END AS own FROM l),
 q AS (SELECT r, conv_id, turn, unnest(range(1, len(lines) + 1)) AS p, unnest(lines) AS x FROM o WHERE quotes AND turn IS NOT NULL),
 v AS (SELECT *, length(regexp_replace(regexp_extract(x, {_MARKS}), '[^>]', '', 'g')) AS level, substr(x, length(regexp_extract(x, {_MARKS})) + 1) AS body FROM q),
-w AS (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY r ORDER BY p) THEN 1 ELSE 0 END AS fresh FROM v)),
-u AS (SELECT r, conv_id, turn, level, string_agg(body, chr(10) ORDER BY p) AS unit FROM w WHERE level > 0 GROUP BY r, conv_id, turn, level, run UNION ALL SELECT r, conv_id, turn, level, body FROM w WHERE level > 0),
+w AS (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS run, sum(CASE WHEN regexp_matches(body, '\S') THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY r ORDER BY p) THEN 1 ELSE 0 END AS fresh FROM v)),
+u AS (SELECT r, conv_id, turn, level, string_agg(body, chr(10) ORDER BY p) AS unit FROM w WHERE level > 0 GROUP BY r, conv_id, turn, level, run UNION ALL SELECT r, conv_id, turn, level, string_agg(body, chr(10) ORDER BY p) AS unit FROM w WHERE level > 0 AND regexp_matches(body, '\S') GROUP BY r, conv_id, turn, level, run, part UNION ALL SELECT r, conv_id, turn, level, body FROM w WHERE level > 0),
 passage AS (SELECT DISTINCT r, conv_id, turn, level, unit FROM (SELECT r, conv_id, turn, level, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS unit FROM u) WHERE unit <> ''),
 source AS (SELECT DISTINCT conv_id, turn, unit FROM (SELECT conv_id, turn, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS unit FROM (SELECT conv_id, turn, unnest([own] || regexp_split_to_array(own, '\n\s*\n') || string_split(own, chr(10))) AS unit FROM o WHERE turn IS NOT NULL)) WHERE unit <> ''),
 linked AS (SELECT p.r, p.conv_id, p.turn, p.level, max(s.turn) AS source FROM passage p LEFT JOIN source s ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.unit = s.unit AND s.turn < p.turn GROUP BY p.r, p.conv_id, p.turn, p.level, p.unit),
 link AS (SELECT r, conv_id, turn, max(CASE WHEN source IS NOT NULL THEN {{'near': -level, 'source': source}} END).source AS reply_to, count(*) AS n_quotes, count(source) AS n_linked FROM linked GROUP BY r, conv_id, turn),
 up AS (SELECT conv_id, turn, max(reply_to) AS parent FROM link WHERE reply_to IS NOT NULL GROUP BY conv_id, turn),
-way(conv_id, turn, root, depth) AS (SELECT conv_id, turn, parent, 1 FROM up UNION ALL SELECT way.conv_id, way.turn, up.parent, depth + 1 FROM way JOIN up ON way.conv_id IS NOT DISTINCT FROM up.conv_id AND way.root = up.turn),
-top AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM way GROUP BY conv_id, turn)
-SELECT o.conv_id, o.turn, o.role, link.reply_to, coalesce(top.root, o.turn) AS root, CAST(coalesce(top.depth, 0) AS BIGINT) AS depth, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, own, concat('<|', coalesce(role, ''), '|>', chr(10), own, chr(10)) AS chat
+way(conv_id, turn, root, depth, path) AS (SELECT conv_id, turn, parent, 1, [turn] FROM up UNION ALL SELECT way.conv_id, way.turn, up.parent, depth + 1, [way.root] || path FROM way JOIN up ON way.conv_id IS NOT DISTINCT FROM up.conv_id AND way.root = up.turn),
+top AS (SELECT *, row_number() OVER (PARTITION BY conv_id, root ORDER BY path) AS place FROM (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth, arg_max(path, depth) AS path FROM way GROUP BY conv_id, turn))
+SELECT o.conv_id, o.turn, o.role, link.reply_to, coalesce(top.root, o.turn) AS root, CAST(coalesce(top.depth, 0) AS BIGINT) AS depth, CAST(coalesce(top.place, 0) AS BIGINT) AS place, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, own, concat('<|', coalesce(role, ''), '|>', chr(10), own, chr(10)) AS chat
 FROM o LEFT JOIN link USING (r) LEFT JOIN top ON o.conv_id IS NOT DISTINCT FROM top.conv_id AND o.turn = top.turn AND link.reply_to IS NOT NULL
 """
+
+#: Every message but a conversation's first quotes the one two turns before it, if there is one, else the one before it.
+QUOTED = """(SELECT c.conv_id, c.turn, c.role, CASE WHEN s.text IS NULL THEN c.text ELSE concat('> ', replace(s.text, chr(10), chr(10) || '> '), chr(10), coalesce(c.text, '')) END AS text
+FROM conversations c LEFT JOIN (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn) s ON c.conv_id = s.conv_id AND s.turn = CASE WHEN c.turn >= 2 THEN c.turn - 2 WHEN c.turn = 1 THEN 0 END)"""
+OP10_QUOTED = OP10.replace("FROM conversations)", f"FROM {QUOTED} planted)")

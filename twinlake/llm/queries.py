@@ -62,6 +62,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chat(common.table(spark, sf_dir, "conversations"))
 
 
+def chat_planted_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op10_chat_format`` on conversations in which messages quote earlier ones, as the tables hold no quotes."""
+    said = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    source = said.groupBy(F.col("conv_id").alias("c"), F.col("turn").alias("t")).agg(F.min("text").alias("said"))
+    before = F.when(F.col("turn") >= 2, F.col("turn") - 2).when(F.col("turn") == 1, 0)
+    quoted = F.concat(F.lit("> "), F.replace("said", F.lit("\n"), F.lit("\n> ")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return chat.format_chat(said.join(source, (F.col("conv_id") == F.col("c")) & (F.col("t") == before), "left").select("conv_id", "turn", "role", F.when(F.col("said").isNull(), F.col("text")).otherwise(quoted).alias("text")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
     "pipeline": pipeline,
+    "chat_planted_quotes": chat_planted_quotes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -88,4 +98,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_suffix_dedup": oracle.OP8,
     "op9_jaccard_join": oracle.OP9,
     "op10_chat_format": oracle.OP10,
+    "chat_planted_quotes": oracle.OP10_QUOTED,
 }
