@@ -242,7 +242,7 @@ proprietary | tous droits réservés
 proprietary | todos los derechos reservados
 proprietary | this (?:software|document|work) is (?:confidential and )?proprietary
 proprietary | may not be reproduced in whole or in part without (?:the )?(?:prior )?written permission
-proprietary | may not be (?:copied|reproduced|redistributed|published|broadcast)(?: (?:copied|reproduced|published|broadcast|rewritten|or))* redistributed without permission
+proprietary | may not be (?:copied|reproduced|redistributed|published|broadcast)(?: (?:copied|reproduced|published|broadcast|rewritten|or))*+ redistributed without permission
 proprietary | unauthori[sz]ed (?:copying|reproduction|use|distribution)(?: [^ ]+){0,8} is (?:strictly )?prohibited
 proprietary | no part of this (?:publication|book|document|work) may be reproduced
 proprietary | contains trade secrets and (?:confidential|proprietary) information
