@@ -206,10 +206,13 @@ def personal_spans(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """A row for each document: base spans by kind, their digest, and all spans that stay."""
+    """A row for each document: base spans by kind, their digest, all spans that stay, their number (n_spans) and that of each kind which
+    the method adds."""
     kinds = F.array(*map(F.lit, KINDS))
     listed = lambda c: F.sort_array(F.collect_list(F.when(c, F.struct("kind", "start", "end"))))
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [F.count_if(F.col("base") & (F.col("kind") == i)).alias(f"n_{k}") for i, k in enumerate(BASE)]
+    counts += [F.count_if(F.col("kept") & ~F.col("base") & (F.col("kind") == i)).alias(f"n_{k}") for i, k in enumerate(KINDS) if k not in BASE]
+    counts.append(F.count_if("kept").alias("n_spans"))
     each = judged(docs).groupBy("row").agg(F.first("doc_id").alias("doc_id"), *counts, listed(F.col("base")).alias("of_base"), listed(F.col("kept")).alias("of_all"))
-    return each.select("doc_id", *(f"n_{k}" for k in BASE), F.sha2(written("of_base").cast("binary"), 256).alias("base_sha256"), written("of_all").alias("spans"))
+    return each.select("doc_id", *(f"n_{k}" for k in BASE), F.sha2(written("of_base").cast("binary"), 256).alias("base_sha256"), written("of_all").alias("spans"), "n_spans", *(f"n_{k}" for k in KINDS if k not in BASE))
