@@ -192,7 +192,8 @@ def judged(docs: DataFrame) -> DataFrame:
     """``spans`` with probability and kept; the spans are written once to the shared folder, texts are read once."""
     found = classify(common.checkpoint(spans(docs)))
     order = Window.partitionBy("row").orderBy("start", F.desc("end"), "kind")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    backwards = Window.partitionBy("row").orderBy(F.desc("start"), "end", F.desc("kind"))  # a frame up to the end would be scanned anew for each row
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (order, backwards))
     loose = (F.col("kind") >= len(BASE)) & (F.col("probability") >= 0.5)
     taken = F.col("base") | loose
     free = ~F.coalesce(F.max(F.when(taken, F.col("end"))).over(before) > F.col("start"), F.lit(False)) & ~F.coalesce(F.min(F.when(F.col("base"), F.col("start"))).over(after) < F.col("end"), F.lit(False))
