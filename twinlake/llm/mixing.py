@@ -55,12 +55,12 @@ def _weight(name: str, weights: dict[str, int]) -> Column:
 def _share(nodes: DataFrame, parents: list[str], name: str, weights: dict[str, int]) -> DataFrame:
     """Splits each parent's budget among its children (cap: what a child can give, 0 if its weight is 0) and adds got."""
     order = Window.partitionBy(*parents, "budget").orderBy("ratio", name)
-    before, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parents, "budget")
     df = nodes.withColumn("weight", _weight(name, weights))
     df = df.withColumn("ratio", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(F.lit(0.0)))
     zero = F.lit(0).cast("long")
-    df = df.withColumns({"caps": F.coalesce(F.sum("cap").over(before), zero), "rest": F.sum("weight").over(on)})
+    df = df.withColumns({"caps": F.coalesce(F.sum("cap").over(before), zero), "rest": F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), zero)})
     df = df.withColumn("full", F.col("cap") * F.col("rest") <= F.col("weight") * (F.col("budget") - F.col("caps")))
     df = df.withColumns({"given": F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(whole), zero), "open": F.coalesce(F.sum(F.when(~F.col("full"), F.col("weight"))).over(whole), zero)})
     got = F.when(F.col("full") | (F.col("open") == 0), F.col("cap")).otherwise(F.expr("weight * (budget - given) div open"))
