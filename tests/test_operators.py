@@ -406,3 +406,19 @@ def test_streamed_rescan_equals_batch(spark, tmp_path):
     stream = rescan.stream_table(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 1)
     rescan.rescan(stream, store, str(tmp_path / "work"), read).awaitTermination()
     assert {r.path for r in read(3).collect()} == {f"/f{j}" for j in range(6)}
+
+
+def test_export_files(spark, tmp_path):
+    row = (1, 2, 'a "b", c', 10, 90061.25, 640, 360, 29.97, 800.0, None, 44100, 99.0, datetime(2024, 1, 2, 3, 4, 5), False, True)
+    df = spark.createDataFrame([row], "group_id long, seq long, path string, size long, duration_s double, width int, height int, fps double, bitrate_kbs double, audio_format string, sample_rate int, similarity double, date_created timestamp, is_image boolean, checked boolean")
+    sinks.write_export(df, str(tmp_path / "all"))
+    text_ = next((tmp_path / "all").glob("*.csv")).read_bytes()
+    assert text_.startswith(b"\xef\xbb\xbfGroupId,Path,SizeBytes,")
+    assert text_.decode("utf-8-sig").splitlines()[1] == '1,"a ""b"", c",10,1.01:01:01.2500000,640x360,29.97,800,,44100,99,2024-01-02 03:04:05,False,True'
+    assert sinks.export_rows(df, marks=False).columns[-1] == "IsImage" and len(sinks.export_rows(df, marks=False).columns) == 12
+    assert sinks.export_rows(df.limit(0)).count() == 0
+
+
+def test_too_dark_needs_every_new_frame(spark):
+    df = spark.createDataFrame([("a", [0] * 9 + [200]), ("a", [0] * 10), ("b", [0] * 10), ("b", [200] * 10), ("c", None)], "path string, gray array<int>")
+    assert {r.path: r.too_dark for r in scope.too_dark(df).collect()} == {"a": True, "b": False}

@@ -40,13 +40,13 @@ def test_runs(spark, sf, name):
 
 def test_queries_without_sql_are_few():
     """Each of these is held against a plain model in test_operators.py or test_engine.py."""
-    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) <= {"j03_merged_catalog", "s19_synthetic", "a01_greedy_groups", "a02_daisy_split", "w02_keeper_cascade", "w06_auto_lowestquality", "w07_select_lowest_quality"}
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) <= {"s19_synthetic", "a01_greedy_groups", "a02_daisy_split"}
 
 
 def test_text_functions_take_all_items(spark, sf):
-    got = registry.QUERIES["sc_text_functions_all"](spark, sf)
+    got = registry.QUERIES["sc_text_functions"](spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
-    assert got.where("moved LIKE '/new/%'").count() == registry.QUERIES["sc_text_functions"](spark, sf).count() < got.where("moved LIKE '/lib%'").count()
+    assert 0 < got.where("moved LIKE '/new/%'").count() < got.where("moved LIKE '/lib%'").count()
 
 
 def test_driver_contract(spark):

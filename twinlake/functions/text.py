@@ -172,3 +172,19 @@ def remaining_seconds(elapsed: Column, done: Column, total: Column) -> Column:
 
 def near_in_time(a: Column, b: Column, seconds: float) -> Column:
     return F.abs(F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) <= int(seconds * 1_000_000)
+
+
+def span_text(seconds: Column) -> Column:
+    """[d.]hh:mm:ss[.fffffff], days and parts of a second only where there are any."""
+    ticks = F.round(F.abs(seconds) * 10_000_000).cast("long")
+    whole, part = F.floor(ticks / 10_000_000).cast("long"), ticks % 10_000_000
+    days = F.floor(whole / 86_400).cast("long")
+    clock = F.format_string("%02d:%02d:%02d", F.floor(whole % 86_400 / 3600).cast("long"), F.floor(whole % 3600 / 60).cast("long"), whole % 60)
+    before = F.when(days > 0, F.concat(days.cast("string"), F.lit("."))).otherwise("")
+    after = F.when(part > 0, F.format_string(".%07d", part)).otherwise("")
+    return F.concat(F.when((seconds < 0) & (ticks > 0), "-").otherwise(""), before, clock, after)
+
+
+def number_text(number: Column) -> Column:
+    """A number without a fraction of 0."""
+    return F.regexp_replace(number.cast("string"), r"\.0$", "")

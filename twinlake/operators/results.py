@@ -166,9 +166,11 @@ def action_plan(items: DataFrame, action: str, target_folder: str = "") -> DataF
     return plan.where("target IS NOT NULL") if action in ("symlink", "hardlink") else plan
 
 
-def log_rows(log: DataFrame, key: Column | None = None) -> DataFrame:
+def log_rows(log: DataFrame, key: Column | None = None, severity: str | None = None, search: str | None = None) -> DataFrame:
     """Collapses repeats: a row for each session, severity and message shape with its count, first place and first message.
 
+    ``severity`` leaves entries of that severity only; ``search`` leaves rows of which some entry's message holds it, in any case.
+
     Sessions are numbered by a running sum over the log's order, taken over ranges so that no task reads the whole log."""
     ranged = log.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("_part", F.spark_partition_id())
     starts = ranged.groupBy("_part").agg(F.count_if("is_session_start").alias("_starts"))
@@ -176,4 +178,8 @@ def log_rows(log: DataFrame, key: Column | None = None) -> DataFrame:
     session = F.sum(F.col("is_session_start").cast("long")).over(Window.partitionBy("_part").orderBy("seq"))
     df = ranged.withColumn("_local", session).join(F.broadcast(before), "_part").withColumn("session", F.col("_before") + F.col("_local"))
     key = text.message_key(F.col("message")) if key is None else key
-    return df.groupBy("session", "severity", key.alias("key")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.min_by("message", "seq").alias("message"))
+    if severity:
+        df = df.where(F.col("severity") == severity)
+    found = F.bool_or(F.lower("message").contains(search.lower())) if search and search.strip() else F.lit(True)
+    each = df.groupBy("session", "severity", key.alias("key")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.min_by("message", "seq").alias("message"), found.alias("_found"))
+    return each.where("_found").drop("_found")

@@ -148,3 +148,10 @@ def longest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
     each = paths.select("path", F.explode(prefixes).alias("root")).join(roots.select("root"), "root")
     best = each.groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
     return paths.join(best, "path", "left")
+
+
+def too_dark(sampled: DataFrame, percent: int = 80) -> DataFrame:
+    """path and too_dark of each file with newly sampled frames (path, gray as an array of levels): all of them are dark.
+
+    A file without new frames has no row, so its flag stays as it is."""
+    return sampled.where("gray IS NOT NULL").groupBy("path").agg(F.bool_and(kernels.is_dark(F.col("gray"), percent)).alias("too_dark"))

@@ -110,7 +110,12 @@ def relink(spark, sf):
     return catalog.relink(new.join(state.where("status = 'new'"), "path", "left_semi"), old.join(state.where("status = 'missing'"), "path", "left_semi"))
 
 
-@query("j03_merged_catalog")
+@query("j03_merged_catalog", f"""WITH {_OLD}, {_NEW}, {_STATE}, m AS (SELECT old.* FROM old JOIN state USING (path) WHERE status = 'missing'), lone AS (SELECT size, os_hash, min(path) AS old_path FROM m GROUP BY 1, 2 HAVING count(*) = 1),
+links AS (SELECT path, old_path FROM (SELECT size, os_hash, min(new.path) AS path FROM new JOIN state USING (path) WHERE status = 'new' GROUP BY 1, 2) JOIN lone USING (size, os_hash)),
+merged AS (SELECT new.path, size, old_path AS source, true AS file_exists FROM new JOIN state USING (path) LEFT JOIN links USING (path) WHERE status IN ('new', 'changed')
+UNION ALL SELECT new.path, size, new.path, true FROM new JOIN state USING (path) WHERE status IN ('unchanged', 'touched')
+UNION ALL SELECT m.path, size, m.path, false FROM m WHERE path NOT IN (SELECT old_path FROM links))
+SELECT path, CAST(size AS BIGINT) AS size, CAST(substr(source, 4) AS BIGINT) AS feature, file_exists FROM merged""")
 def merged_catalog(spark, sf):
     old, new = _sides(spark, sf)
     return catalog.merge(old, new).select("path", "size", "feature", "file_exists")

@@ -63,6 +63,12 @@ def dark(spark, sf):
     return vectors(spark, sf).select("idx", kernels.dark_percent(F.transform("q", lambda x: x + 128 - 88)).alias("percent"))
 
 
+@query("f10_too_dark", f"SELECT idx % 300 AS path, bool_and(len(list_filter(q, lambda x: x + 128 <= 120)) * 100 / 64::DOUBLE >= 30) AS too_dark FROM ({_Q}) GROUP BY 1")
+def too_dark(spark, sf):
+    # the vectors are the new frames of 300 files; the level is moved up as above, and the percentage to where files differ
+    return scope.too_dark(vectors(spark, sf).select((F.col("idx") % 300).alias("path"), F.transform("q", lambda x: x + 128 - 88).alias("gray")), 30)
+
+
 @query("p04_median_hash", f"SELECT idx, CAST(list_sum(list_transform(range(1, 33), lambda i: bits[i]::BIGINT << (i - 1))) AS BIGINT) AS low, CAST(list_sum(list_transform(range(33, 65), lambda i: bits[i]::BIGINT << (i - 33))) AS BIGINT) AS high FROM ({_HASH})")
 def median_hash(spark, sf):
     h = vectors(spark, sf).select("idx", kernels.median_hash(F.col("q")).alias("h"))

@@ -20,7 +20,40 @@ def best_flags(spark, sf):
     return rank.best_flags(items(spark, sf)).select("group_id", "seq", *rank.BEST)
 
 
-@query("w02_keeper_cascade")
+def _cascade_sql(rows: str, steps: list[tuple[str, str, bool, bool, str]]) -> str:
+    """CTEs that run the keeper cascade over the rows of a relation, a step (name, value, video only, less is better, tie of a and b)
+    each; the last is ``cascade`` with is_keeper and decided_by."""
+    out, at = [f"k0 AS (SELECT *, true AS alive, min(seq) {_W} AS keep, CAST(NULL AS VARCHAR) AS decided_by FROM {rows})"], "k0"
+    for i, (name, value, videos, least, ties) in enumerate(steps):
+        sign = "-" if least else ""
+        runs = "n > 1 AND NOT image" if videos else "n > 1"
+        out.append(f"v{i} AS (SELECT * EXCLUDE (value), value AS b_own, count(*) FILTER (WHERE alive) {_W} AS n, bool_or(is_image AND seq = keep) {_W} AS image, first_value(seq) OVER o AS best_seq, first_value(value) OVER o AS b FROM (SELECT *, {value} AS value FROM {at}) WINDOW o AS (PARTITION BY group_id ORDER BY alive DESC, {sign}value DESC, seq))")
+        out.append(f"t{i} AS (SELECT *, alive AND ({ties.replace('$a', 'b_own').replace('$b', 'b')}) AS tied FROM v{i})")
+        out.append(f"l{i} AS (SELECT *, count(*) FILTER (WHERE tied) {_W} AS still, {runs} AS runs FROM t{i})")
+        out.append(f"k{i + 1} AS (SELECT * EXCLUDE (alive, keep, decided_by, b_own, n, image, best_seq, b, tied, still, runs), CASE WHEN runs THEN tied OR (still <= 1 AND seq = best_seq) ELSE alive END AS alive, CASE WHEN runs THEN best_seq ELSE keep END AS keep, coalesce(decided_by, CASE WHEN runs AND still <= 1 THEN '{name}' END) AS decided_by FROM l{i})")
+        at = f"k{i + 1}"
+    return ", ".join([*out, f"cascade AS (SELECT *, seq = keep AS is_keeper FROM {at})"])
+
+
+def _near(share: float) -> str:
+    return f"abs($a - $b) <= greatest($a, $b) * CAST({share} AS DOUBLE)"
+
+
+_EQUAL = "$a = $b"
+_PIXELS = "(CAST(width AS DOUBLE) * height * fps)"
+_STEPS = [
+    ("Duration", "duration_s", True, False, f"abs($a - $b) <= 1 OR {_near(0.01)}"),
+    ("Resolution", "frame_size_int", False, False, _EQUAL),
+    ("Bitrate", "bitrate_kbs", True, False, _near(0.05)),
+    ("FPS", "fps", True, False, "abs($a - $b) <= CAST(0.5 AS DOUBLE)"),
+    ("Bits per pixel", f"CASE WHEN bitrate_kbs > 0 AND {_PIXELS} > 0 THEN bitrate_kbs * 1000 / {_PIXELS} ELSE CAST(0 AS DOUBLE) END", True, False, _near(0.05)),
+    ("Audio Bitrate", "audio_bitrate_kbs", True, False, _near(0.05)),
+    ("Size", "size", False, True, _EQUAL),
+]
+_WEB_STEPS = [("Duration", "duration_s", True, False, _EQUAL), ("Resolution", "frame_size_int", False, False, _EQUAL), ("Bitrate", "bitrate_kbs", True, False, _EQUAL), ("FPS", "fps", True, False, _EQUAL), ("Audio Bitrate", "sample_rate", True, False, _EQUAL), ("Size", "size", False, True, _EQUAL)]
+
+
+@query("w02_keeper_cascade", f"{ITEMS_SQL}, {_cascade_sql('items', _STEPS)} SELECT group_id, seq, is_keeper, decided_by FROM cascade")
 def keeper_cascade(spark, sf):
     return rank.keepers(items(spark, sf), list(rank.criteria().values())).select("group_id", "seq", "is_keeper", "decided_by")
 
@@ -57,7 +90,7 @@ for _mode, _order, _more in (("SmallestFile", "size DESC", ""), ("Oldest", "date
         return rank.auto_select(items(spark, sf), mode).select("group_id", "seq")
 
 
-@query("w06_auto_lowestquality")
+@query("w06_auto_lowestquality", f"{ITEMS_SQL}, {_cascade_sql('items', _WEB_STEPS)} SELECT group_id, seq FROM (SELECT *, count(*) {_W} AS members FROM cascade) WHERE NOT is_keeper AND members >= 2")
 def auto_lowest(spark, sf):
     return rank.auto_select(items(spark, sf), "LowestQuality").select("group_id", "seq")
 
@@ -78,7 +111,9 @@ for _cmd, _kind, _order in (("identical", "full", "seq"), ("identical-but-size",
         return rank.selection(items(spark, sf), cmd).select("group_id", "seq", "checked_after")
 
 
-@query("w07_select_lowest_quality")
+@query("w07_select_lowest_quality", f"""{ITEMS_SQL}, c AS (SELECT *, min(seq) OVER (PARTITION BY {_CLASS["but_size"]}) AS class_seq, count(*) OVER (PARTITION BY {_CLASS["but_size"]}) AS class_size, min(seq) {_W} AS first_seq FROM items),
+inside AS (SELECT * FROM c WHERE class_seq = first_seq AND class_size > 1), {_cascade_sql("inside", _STEPS)}
+SELECT c.group_id, c.seq, CASE WHEN k.is_keeper IS NULL THEN c.checked ELSE NOT k.is_keeper END AS checked_after FROM c LEFT JOIN cascade k USING (group_id, seq)""")
 def select_lowest(spark, sf):
     return rank.selection(items(spark, sf), "lowest-quality").select("group_id", "seq", "checked_after")
 
@@ -260,6 +295,12 @@ def result_rows(spark, sf):
     return sinks.result_rows(items(spark, sf))
 
 
+@query("k05_export_rows", f"""{ITEMS_SQL} SELECT CAST(group_id AS VARCHAR) AS "GroupId", path AS "Path", CAST(size AS VARCHAR) AS "SizeBytes", printf('%02d:%02d:%02d', CAST(duration_s AS BIGINT) // 3600, CAST(duration_s AS BIGINT) % 3600 // 60, CAST(duration_s AS BIGINT) % 60) AS "Duration", concat(width, 'x', height) AS "Resolution",
+CAST(CAST(fps AS BIGINT) AS VARCHAR) AS "Fps", CAST(bitrate_kbs AS VARCHAR) AS "BitrateKbs", CASE WHEN is_image THEN '' ELSE 'aac' END AS "AudioFormat", CAST(sample_rate AS VARCHAR) AS "AudioSampleRate", CAST(CAST(similarity AS BIGINT) AS VARCHAR) AS "Similarity", strftime(date_created, '%Y-%m-%d %H:%M:%S') AS "DateCreated", CASE WHEN is_image THEN 'True' ELSE 'False' END AS "IsImage", CASE WHEN checked THEN 'True' ELSE 'False' END AS "Checked" FROM items""")
+def export_rows(spark, sf):
+    return sinks.export_rows(items(spark, sf).withColumn("audio_format", F.when(~F.col("is_image"), "aac")))
+
+
 @query("k04_result_groups", f"{ITEMS_SQL} SELECT group_id, count(*) AS n, arg_min(path, {{'a': 100 - similarity, 'b': seq}}) AS first_path FROM items GROUP BY group_id")
 def result_groups(spark, sf):
     return sinks.result_groups(items(spark, sf)).select("group_id", F.size("items").cast("long").alias("n"), F.col("items")[0]["path"].alias("first_path"))
@@ -279,25 +320,25 @@ def except_checked(spark, sf):
 
 
 @query("sc_text_functions", f"""{ITEMS_SQL} SELECT group_id, seq, CASE WHEN size >= 1073741824 THEN printf('%.1f GB', round(size / 1073741824.0, 1)) WHEN size >= 1048576 THEN printf('%.1f MB', round(size / 1048576.0, 1)) WHEN size >= 1024 THEN printf('%.1f KB', round(size / 1024.0, 1)) ELSE printf('%.1f B', CAST(size AS DOUBLE)) END AS size_text,
-size // 1048576 AS mb, length(path) - length(replace(path, '/', '')) AS depth, '.mp4' AS extension, concat('o', group_id) AS last_segment, CASE WHEN similarity >= 99 THEN 'high' WHEN similarity >= 90 THEN 'mid' ELSE 'low' END AS band, concat('/new', substr(path, 6)) AS moved FROM items WHERE folder LIKE '/lib4/%'""")
+size // 1048576 AS mb, length(path) - length(replace(path, '/', '')) AS depth, '.mp4' AS extension, concat('o', group_id) AS last_segment, CASE WHEN similarity >= 99 THEN 'high' WHEN similarity >= 90 THEN 'mid' ELSE 'low' END AS band, CASE WHEN starts_with(path, '/lib4/') THEN concat('/new', substr(path, 6)) ELSE path END AS moved FROM items""")
 def text_functions(spark, sf):
-    return _text_functions(items(spark, sf).where("folder LIKE '/lib4/%'"))
-
-
-def _text_functions(df):
-    path = F.col("path")
+    df, path = items(spark, sf), F.col("path")
     return df.select("group_id", "seq", text.size_text(F.col("size")).alias("size_text"), text.megabytes(F.col("size")).alias("mb"), text.depth(path).alias("depth"), text.extension(path).alias("extension"), text.last_segments(F.col("folder"), 1).alias("last_segment"), text.similarity_band(F.col("similarity")).alias("band"), text.moved(path, "/lib4", "/new").alias("moved"))
 
 
-@query("sc_text_functions_all", f"""{ITEMS_SQL} SELECT group_id, seq, CASE WHEN size >= 1073741824 THEN printf('%.1f GB', round(size / 1073741824.0, 1)) WHEN size >= 1048576 THEN printf('%.1f MB', round(size / 1048576.0, 1)) WHEN size >= 1024 THEN printf('%.1f KB', round(size / 1024.0, 1)) ELSE printf('%.1f B', CAST(size AS DOUBLE)) END AS size_text,
-size // 1048576 AS mb, length(path) - length(replace(path, '/', '')) AS depth, '.mp4' AS extension, concat('o', group_id) AS last_segment, CASE WHEN similarity >= 99 THEN 'high' WHEN similarity >= 90 THEN 'mid' ELSE 'low' END AS band, CASE WHEN starts_with(path, '/lib4/') THEN concat('/new', substr(path, 6)) ELSE path END AS moved FROM items""")
-def text_functions_all(spark, sf):
-    return _text_functions(items(spark, sf))
-
-
 @query("a19_log_sessions", """WITH e AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity, concat('user ', user_id, ' did "', event_type, '" ', CAST(floor(value) AS BIGINT)) AS message, event_type = 'signup' AS s FROM events),
 n AS (SELECT *, sum(CAST(s AS INT)) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS session FROM e)
 SELECT CAST(session AS BIGINT) AS session, severity, regexp_replace(regexp_replace(message, '"[^"]*"', '"*"', 'g'), '[0-9]+', '#', 'g') AS key, count(*) AS n, min(seq) AS first_seq, arg_min(message, seq) AS message FROM n GROUP BY 1, 2, 3""")
 def log_sessions(spark, sf):
-    e = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "error").otherwise("info").alias("severity"), F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(' did "'), "event_type", F.lit('" '), F.floor("value").cast("long").cast("string")).alias("message"), (F.col("event_type") == "signup").alias("is_session_start"))
-    return results.log_rows(e)
+    return results.log_rows(_log(spark, sf))
+
+
+def _log(spark, sf):
+    return table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "error").otherwise("info").alias("severity"), F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(' did "'), "event_type", F.lit('" '), F.floor("value").cast("long").cast("string")).alias("message"), (F.col("event_type") == "signup").alias("is_session_start"))
+
+
+@query("f20_log_filter", """WITH e AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity, concat('user ', user_id, ' did "', event_type, '" ', CAST(floor(value) AS BIGINT)) AS message, event_type = 'signup' AS s FROM events),
+n AS (SELECT *, sum(CAST(s AS INT)) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT CAST(session AS BIGINT) AS session, severity, regexp_replace(regexp_replace(message, '"[^"]*"', '"*"', 'g'), '[0-9]+', '#', 'g') AS key, count(*) AS n, min(seq) AS first_seq, arg_min(message, seq) AS message FROM n WHERE severity = 'error' GROUP BY 1, 2, 3 HAVING bool_or(contains(lower(message), 'user 7'))""")
+def log_filter(spark, sf):
+    return results.log_rows(_log(spark, sf), severity="error", search="User 7")

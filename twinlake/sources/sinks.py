@@ -36,6 +36,32 @@ def result_rows(items: DataFrame) -> DataFrame:
     return ordered.select(F.col("group_id").cast("string").alias("group_id"), "path", F.col("size").cast("string").alias("size"), F.format_string("%.2f", F.col("similarity")).alias("similarity"), text.clock_text(F.col("duration_s")).alias("duration"), F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string")).alias("frame_size"), F.format_string("%.2f", F.col("fps")).alias("fps"), F.col("bitrate_kbs").cast("string").alias("bitrate_kbs"), F.date_format("date_created", "yyyy-MM-dd HH:mm:ss").alias("date_created"), F.col("checked").cast("string").alias("checked"))
 
 
+def export_rows(items: DataFrame, marks: bool = True) -> DataFrame:
+    """Rows of the exported list, as text, a group's on adjacent rows in their order: 13 columns, or 12 without the marks."""
+    flag = lambda c: F.initcap(F.col(c).cast("string"))
+    columns = {
+        "GroupId": F.col("group_id").cast("string"),
+        "Path": F.col("path"),
+        "SizeBytes": F.col("size").cast("string"),
+        "Duration": text.span_text(F.col("duration_s")),
+        "Resolution": F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string")),
+        "Fps": text.number_text(F.col("fps")),
+        "BitrateKbs": text.number_text(F.col("bitrate_kbs")),
+        "AudioFormat": F.col("audio_format"),
+        "AudioSampleRate": F.col("sample_rate").cast("string"),
+        "Similarity": text.number_text(F.col("similarity")),
+        "DateCreated": F.date_format("date_created", "yyyy-MM-dd HH:mm:ss"),
+        "IsImage": flag("is_image"),
+    } | ({"Checked": flag("checked")} if marks else {})
+    return items.orderBy("group_id", "seq").select(*(F.coalesce(c, F.lit("")).alias(n) for n, c in columns.items()))
+
+
+def write_export(items: DataFrame, path: str, marks: bool = True) -> None:
+    """``export_rows`` as CSV whose files begin with a byte order mark."""
+    rows = export_rows(items, marks)
+    rows.withColumnRenamed("GroupId", "\ufeffGroupId").write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+
+
 def write_csv(items: DataFrame, path: str) -> None:
     result_rows(items).write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"').csv(path)
 
