@@ -17,6 +17,7 @@ documents pass through ``clean`` untouched and are not read by ``find``.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -110,29 +111,31 @@ def merged(owner: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 
 def write_blocks(benchmark: DataFrame, window: int, block_bytes: int = 16 << 20) -> list[str]:
-    """Benchmark items in files of bounded size; the driver holds one block at a time."""
+    """Distinct benchmark items as ready-made blocks, each built and written by a task from texts of bounded size; the driver sees only
+    their paths.  A file has a name of its own, so what a lost attempt wrote is never read."""
     spark = benchmark.sparkSession
     common.small_batches(spark)
     folder = common.new_folder(spark, "benchmark")
     fs, at = common.file_system(folder)
     fs.create_dir(at, recursive=True)
-    paths, items, size = [], [], 0
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    number = size // block_bytes + 1
 
-    def close() -> None:
-        nonlocal items, size
-        if items:
-            paths.append(f"{folder}/{len(paths):06d}")
-            with fs.open_output_stream(f"{at}/{len(paths) - 1:06d}") as sink:
-                sink.write(pickle.dumps((items, window)))
-        items, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = common.file_system(folder)
+        for batch in common.gathered(batches, size=block_bytes):
+            data, offsets = common.text_bytes(batch.column(1))
+            for a, b in common.slices(offsets, block_bytes):
+                texts = (data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b))
+                block, name = _Block(list(zip(batch.column(0).slice(a, b - a).to_pylist(), texts, strict=True)), window), uuid.uuid4().hex
+                if block.windows:
+                    with fs.open_output_stream(f"{at}/{name}") as sink:
+                        sink.write(pickle.dumps(block))
+                    yield pa.record_batch([pa.array([f"{folder}/{name}"])], names=["path"])
 
-    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.encode(F.coalesce("text", F.lit("")), "UTF-8")).toLocalIterator():
-        items.append((row[0], bytes(row[1])))
-        size += len(row[1])
-        if size >= block_bytes:
-            close()
-    close()
-    return paths
+    bucket = F.pmod(F.xxhash64("item", "text"), F.lit(number))
+    return sorted(r.path for r in items.repartition(number, bucket).mapInArrow(run, "path string").collect())
 
 
 def _block(path: str) -> _Block:
@@ -140,35 +143,40 @@ def _block(path: str) -> _Block:
         _blocks.clear()  # one at a time
         fs, at = common.file_system(path)
         with fs.open_input_stream(at) as source:
-            _blocks[path] = _Block(*pickle.loads(source.read()))
+            _blocks[path] = pickle.loads(source.read())
     return _blocks[path]
 
 
-def _shard(texts: list[bytes], paths: list[str]) -> tuple[np.ndarray, tuple, list[list[str]]]:
-    """Words, merged spans and sorted item ids of each of a shard's documents.  Words live as numbers; a text's own go at once."""
-    n = np.zeros(len(texts), np.int64)
-    spans, items = [], [set() for _ in texts]
+def _shards(batch: pa.RecordBatch, column: int, paths: list[str], shard_bytes: int) -> Iterator[tuple]:
+    """Rows a to b of each shard, and for its documents words, merged spans and sorted item ids.
+
+    A block is read once for all shards of the batch.  Words live as numbers; a text's own go at once."""
+    data, offsets = common.text_bytes(batch.column(column))
+    cuts = list(common.slices(offsets, shard_bytes))
+    n = np.zeros(len(batch), np.int64)
+    spans, items = [[] for _ in cuts], [set() for _ in range(len(batch))]
     for path in paths or [None]:
         block = _block(path) if path else None
-        symbols = []
-        for i, text in enumerate(texts):
-            words = words_of(text)
-            n[i] = len(words)
+        for shard, (a, b) in enumerate(cuts):
+            symbols = []
+            for i in range(a, b):
+                words = words_of(data[offsets[i] : offsets[i + 1]].tobytes())
+                n[i] = len(words)
+                if block:
+                    symbols.append(np.fromiter(map(block.vocabulary.get, words, repeat(0)), np.int32, len(words)))
             if block:
-                symbols.append(np.fromiter(map(block.vocabulary.get, words, repeat(0)), np.int32, len(words)))
-        if block:
-            owner, first, end, who, which = block.occurrences(symbols)
-            spans.append((owner, first, end))
-            for d, i in zip(who.tolist(), which.tolist(), strict=True):
-                items[d].add(block.ids[i])
-    whole = merged(*(np.concatenate([x[i] for x in spans]) for i in range(3))) if spans else (np.zeros(0, np.int64),) * 3
-    return n, whole, [sorted(x) for x in items]
+                owner, first, end, who, which = block.occurrences(symbols)
+                spans[shard].append((owner, first, end))
+                for d, i in zip(who.tolist(), which.tolist(), strict=True):
+                    items[a + d].add(block.ids[i])
+    for (a, b), found in zip(cuts, spans, strict=True):
+        whole = merged(*(np.concatenate([x[i] for x in found]) for i in range(3))) if found else (np.zeros(0, np.int64),) * 3
+        yield a, b, n[a:b], whole, [sorted(x) for x in items[a:b]]
 
 
-def _shards(batch: pa.RecordBatch, column: int, paths: list[str], shard_bytes: int) -> Iterator[tuple]:
-    data, offsets = common.text_bytes(batch.column(column))
-    for a, b in common.slices(offsets, shard_bytes):
-        yield (a, b, *_shard([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)], paths))
+def _held(paths: list[str], shard_bytes: int) -> int:
+    """Bytes of text that a task holds: one shard, or four where more than one block is read again for every batch."""
+    return shard_bytes * (4 if len(paths) > 1 else 1)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 8 << 20) -> DataFrame:
@@ -177,7 +185,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("first", pa.int64()), ("last", pa.int64())])
-        for batch in common.gathered(batches, size=shard_bytes):
+        for batch in common.gathered(batches, size=_held(paths, shard_bytes)):
             for a, b, n, (owner, first, end), items in _shards(batch, 1, paths, shard_bytes):
                 offsets = pa.array(np.searchsorted(owner, np.arange(b - a + 1)), pa.int32())
                 spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(first), pa.array(end - 1)], fields=list(span)))
@@ -201,7 +209,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int =
     paths, column = write_blocks(benchmark, window), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.gathered(batches, size=shard_bytes):
+        for batch in common.gathered(batches, size=_held(paths, shard_bytes)):
             for a, b, n, (owner, first, end), _ in _shards(batch, column, paths, shard_bytes):
                 hit = np.bincount(owner, end - first, b - a).astype(np.int64)
                 yield batch.slice(a, b - a).filter(pa.array(~((hit > 0) & (one_in * hit >= n))))
