@@ -422,3 +422,105 @@ def test_export_files(spark, tmp_path):
 def test_too_dark_needs_every_new_frame(spark):
     df = spark.createDataFrame([("a", [0] * 9 + [200]), ("a", [0] * 10), ("b", [0] * 10), ("b", [200] * 10), ("c", None)], "path string, gray array<int>")
     assert {r.path: r.too_dark for r in scope.too_dark(df).collect()} == {"a": True, "b": False}
+
+
+def test_frames_at_any_time(spark):
+    df = spark.createDataFrame([("/a", [9.0, 0.5]), ("/bad", [1.0]), ("/none", None), ("/empty", [])], "path string, seconds array<double>")
+
+    def decoder(path, times):
+        if "bad" in path:
+            raise OSError("broken")
+        return [str(t).encode() for t in times]
+
+    got = {(r.path, r.pos_idx, r.t_sec): r.gray and bytes(r.gray) for r in readers.frames_at(df, decoder).collect()}
+    assert got == {("/a", 0, 9.0): b"9.0", ("/a", 1, 0.5): b"0.5", ("/bad", 0, 1.0): None}
+
+
+@pytest.mark.parametrize("one_file", [True, False])
+def test_envelope_round_trip(spark, tmp_path, one_file):
+    rows = [(g, f'/a "{g}"/{i},\n', 10 * i, 100.0 - i, i % 2 == 0, i) for g in range(40) for i in range(3)]
+    df = spark.createDataFrame(rows, "group_id long, path string, size long, similarity double, is_image boolean, flags int")
+    at = str(tmp_path / "envelope")
+    sinks.write_envelope(df.repartition(5), at, one_file)
+    got = {(int(r.groupId), r.path, r.sizeLong, r.similarity, r.isImage, r.flags) for r in readers.read_results(spark, at).collect()}
+    assert got == set(rows)
+    assert not one_file or len(list((tmp_path / "envelope").glob("part-*"))) == 1
+    sinks.write_envelope(df.limit(0), at, one_file)
+    assert readers.read_results(spark, at).count() == 0
+
+
+def test_culling_against_walk(spark):
+    rng = random.Random(3)
+    rows = [(g, s, rng.random() < 0.5, rng.choice(["left", "right", None])) for g in range(200) for s in range(1 + g % 7)]
+    df = spark.createDataFrame(rows, "group_id long, seq long, checked boolean, decision string")
+    got = {(r.group_id, r.seq): (r.left_seq, r.checked_after) for r in rank.culled(df.repartition(7)).collect()}
+    for g in range(200):
+        mine = [r for r in rows if r[0] == g]
+        marks, left, met = {r[1]: r[2] for r in mine}, 0, {0: None}
+        for right in range(1, len(mine)):
+            met[right] = left
+            if mine[right][3] == "left":
+                marks[right], marks[left] = True, False
+            elif mine[right][3] == "right":
+                marks[left], marks[right], left = True, False, right
+        assert {r[1]: got[g, r[1]] for r in mine} == {s: (met[s], marks[s]) for s in marks}
+
+
+def test_projection_of_images_and_entries_without_streams(spark):
+    kind = "group_id long, path string, folder string, size long, is_image boolean, duration_s double, streams array<struct<codec_name:string,codec_type:string,width:int,height:int,sample_rate:int,channel_layout:string,bit_rate:bigint,frame_rate:float,channels:int,hdr_format:string>>, date_created timestamp, difference double, match_flags int"
+    video = lambda w, h, name: (name, "VIDEO", w, h, None, None, 1500, 25.0, None, None)
+    rows = [
+        (1, "/a/x.PNG", "/a", 1, True, 5.0, [video(30, 20, "png")], None, 0.0, 0),
+        (1, "/a/noending", "/a", 1, True, 5.0, [], None, 0.0, 0),
+        (2, "/a/b.mp4", "/a", 1, False, 5.0, None, None, 0.5, 8),
+        (3, "/a/c.mp4", "/a", 1, False, 5.0, [video(None, 9, "first"), video(4, 4, "second"), video(2, 8, "third")], None, 0.5, 8),
+        (4, "/a/d.mp4", "/a", 1, None, 5.0, [("aac", "audio", None, None, None, None, None, None, None, None)], None, 0.5, 8),
+    ]
+    got = {r.path: r for r in results.projected(spark.createDataFrame(rows, kind)).collect()}
+    assert (got["/a/x.PNG"].format, got["/a/x.PNG"].frame_size, got["/a/x.PNG"].duration_s, got["/a/x.PNG"].similarity) == ("PNG", "30x20", 0.0, 100.0)
+    assert (got["/a/noending"].format, got["/a/noending"].frame_size, got["/a/noending"].frame_size_int) == (None, None, 0)
+    assert (got["/a/b.mp4"].format, got["/a/b.mp4"].fps, got["/a/b.mp4"].duration_s) == (None, 0.0, 0.0)
+    assert (got["/a/c.mp4"].format, got["/a/c.mp4"].frame_size_int, int(got["/a/c.mp4"].bitrate_kbs)) == ("second", 8, 2)
+    assert (got["/a/d.mp4"].audio_format, got["/a/d.mp4"].audio_channel, got["/a/d.mp4"].sample_rate, got["/a/d.mp4"].format) == ("aac", "<Unknown>", 0, None)
+
+
+def test_sign_words_and_cache_key(spark):
+    values = [(-1) ** (i * i // 3) * (i + 1) for i in range(130)]
+    words = one(spark, kernels.sign_words(F.lit(values), 130))[0]
+    assert [w % (1 << 64) for w in words] == [sum(1 << i for i, x in enumerate(values[k : k + 64]) if x < 0) for k in (0, 64, 128)]
+    assert one(spark, kernels.words_hamming(F.array(F.lit(-1).cast("long"), F.lit(3).cast("long")), F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))) == (65,)
+    a, b, none = one(spark, text.cache_key(F.lit("/a/ä")), text.cache_key(F.lit("/a/b")), text.cache_key(F.lit(None).cast("string")))
+    assert len(a) == len(b) == 16 and a != b and int(a, 16) >= 0 and none is None
+
+
+def test_cleared_entries_keep_their_identity(spark):
+    df = spark.createDataFrame([("/a", 5, 1023, 9.0, [(0, b"x", 1)], [1, 2])], "path string, size long, flags int, duration_s double, frames array<struct<pos_idx:int,gray:binary,phash:bigint>>, audio_fp array<bigint>")
+    r = catalog.clear_hashes(df).first()
+    assert (r.path, r.size, r.duration_s, r.frames, r.audio_fp) == ("/a", 5, None, [], None)
+    assert r.flags == scope.IS_IMAGE | scope.EXCLUDED | scope.REPARSE | scope.REPARSE_CHECKED
+
+
+def test_damaged_catalog_is_an_error(spark, tmp_path):
+    at = str(tmp_path / "catalog")
+    sinks.write_catalog(spark.createDataFrame([], readers.schema.MEDIA_ENTRY), at, 1)
+    sinks.write_catalog(spark.createDataFrame([("/a",)], "path string"), at, 2)
+    for part in (tmp_path / "catalog" / "v=2").glob("*.parquet"):
+        part.write_bytes(b"damaged")
+        (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="(?i)parquet"):
+        readers.read_catalog(spark, at).collect()
+    assert readers.read_catalog(spark, at, 1).count() == readers.read_catalog(spark, at, 7).count() == 0
+
+
+def test_snapshot_fills_hashes_and_leaves_out_dark_vectors(spark):
+    rng = random.Random(5)
+    frame, dark = [rng.randrange(256) for _ in range(1024)], [0] * 1024
+    kind = "path string, is_image boolean, frames array<array<int>>, hashes array<bigint>, vectors array<array<int>>"
+    rows = [("video", False, [frame, dark], [5, None], [[1], [2]]), ("image", True, [frame], None, [[1]]), ("short", False, [frame], None, None), ("bare", False, [frame, frame], None, None)]
+    m = verdict.Matching(positions=2, combine=True, flipped=True, use_ai=True)
+    got = {r.path: r for r in verdict.snapshot(spark.createDataFrame(rows, kind), m).collect()}
+    assert set(got) == {"video", "image", "bare"}
+    assert got["video"].hashes == [5, vectorized.frame_hash(bytes(dark))] and got["video"].vectors == [[1], None]
+    assert got["image"].hashes == [vectorized.frame_hash(bytes(frame))] and got["bare"].vectors is None
+    mirrored = bytes(np.array(frame, np.uint8).reshape(32, 32)[:, ::-1].tobytes())
+    assert got["bare"].hashes_flip == [vectorized.frame_hash(mirrored)] * 2

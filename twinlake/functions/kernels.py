@@ -56,6 +56,17 @@ def sign_bits(values: Column) -> Column:
     return F.aggregate(values, F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("i")), lambda s, x: F.struct(s["h"].bitwiseOR(F.call_function("shiftleft", F.when(x < 0, F.lit(1)).otherwise(F.lit(0)).cast("long"), s["i"])).alias("h"), (s["i"] + 1).alias("i")))["h"]
 
 
+def sign_words(values: Column, dimensions: int = 384) -> Column:
+    """The sign bits of the first ``dimensions`` components, 64 to a word; components that aren't there set no bit."""
+    starts = F.array(*(F.lit(k) for k in range(0, dimensions, 64)))
+    return F.transform(starts, lambda k: sign_bits(F.slice(values, k + 1, F.least(F.lit(64), F.lit(dimensions) - k))))
+
+
+def words_hamming(a: Column, b: Column) -> Column:
+    """Differing bits of two signatures of as many words."""
+    return _sum(F.zip_with(a, b, lambda x, y: hamming(x, y).cast("long")))
+
+
 def signature_bound(dimensions: int, threshold: float) -> int:
     """Differing sign bits that pairs of that cosine or more stay below, but for some in a million."""
     p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi

@@ -157,6 +157,12 @@ def hdr_rank(name: Column) -> Column:
     return out
 
 
+def cache_key(name: Column) -> Column:
+    """16 hex digits by which a cache names a path: a 64-bit hash of its UTF-16 bytes (Spark's seed, so no other program's keys);
+    null for null."""
+    return F.when(name.isNotNull(), F.lpad(F.lower(F.hex(F.xxhash64(F.encode(name, "UTF-16LE")))), 16, "0"))
+
+
 def similarity_band(percent: Column) -> Column:
     return F.when(percent >= 99, "high").when(percent >= 90, "mid").otherwise("low")
 

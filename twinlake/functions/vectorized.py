@@ -30,6 +30,17 @@ def phash(gray: pd.Series) -> pd.Series:
     return pd.Series([frame_hash(g) if g is not None and len(g) == SIDE * SIDE else None for g in gray], dtype="Int64")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def filled_hashes(frames: pd.Series, hashes: pd.Series) -> pd.Series:
+    """The hash of each 32x32 frame: the known one, else that of the frame's numbers."""
+    def one(numbers, known):
+        known = [] if known is None else list(known)
+        known += [None] * (len(numbers) - len(known))
+        return [int(h) if h is not None and h == h else frame_hash(np.asarray(f, np.uint8).tobytes()) for f, h in zip(numbers, known, strict=False)]
+
+    return pd.Series([None if f is None else one(f, h) for f, h in zip(frames, hashes, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.DoubleType())
 def difference(a: pd.Series, b: pd.Series) -> pd.Series:
     """Mean absolute difference of two frames over 256; null if sizes differ."""

@@ -99,15 +99,38 @@ def prune_ghosts(entries: DataFrame) -> DataFrame:
     return entries.where(~scope.is_ghost((F.size("frames") > 0) | (F.size("audio_fp") > 0)))
 
 
+def _emptied(frames: str) -> Column:
+    return F.filter(frames, lambda f: F.lit(False))
+
+
 def clear_hashes(entries: DataFrame) -> DataFrame:
-    return entries.withColumn("frames", F.transform("frames", lambda f: f.withField("phash", F.lit(None).cast("long"))))
+    """Entries as if never read: no facts, frames or fingerprint and none of the flags that reading sets; identity stays."""
+    flags = scope.THUMBNAIL_ERROR | scope.METADATA_ERROR | scope.TOO_DARK | scope.NO_AUDIO | scope.AUDIO_ERROR | scope.SILENT
+    kinds = {f.name: f.dataType for f in entries.schema.fields}
+    out = {c: F.lit(None).cast(kinds[c]) for c in ("streams", "duration_s", "audio_fp") if c in kinds}
+    return entries.withColumns(out | {"frames": _emptied("frames"), "flags": F.col("flags").bitwiseAND(F.lit(~flags))})
+
+
+def _healed(entries: DataFrame) -> DataFrame:
+    """Each fingerprint error gets one retry: its flag goes, and an empty fingerprint that no other flag explains is forgotten."""
+    poisoned = kernels.has_any(F.col("flags"), scope.AUDIO_ERROR) & (F.size("audio_fp") == 0) & ~kernels.has_any(F.col("flags"), scope.NO_AUDIO | scope.SILENT)
+    kept = F.when(~F.coalesce(poisoned, F.lit(False)), F.col("audio_fp"))
+    return entries.withColumns({"audio_fp": kept, "flags": F.col("flags").bitwiseAND(F.lit(~scope.AUDIO_ERROR))})
+
+
+def _images_reset(entries: DataFrame) -> DataFrame:
+    """Frames and hashes of images go, with the darkness that they told; videos stay."""
+    image = F.coalesce("is_image", F.lit(False))
+    frames = F.when(image, _emptied("frames")).otherwise(F.col("frames"))
+    return entries.withColumns({"frames": frames, "flags": F.when(image, F.col("flags").bitwiseAND(F.lit(~scope.TOO_DARK))).otherwise(F.col("flags"))})
 
 
-#: version -> what brings a catalog of the version before to it; each may run again without effect.
+#: version -> what brings a catalog of the version before to it; each may run again without effect, but for the images' reset, which
+#: forgets what was read since.
 MIGRATIONS = {
-    1: lambda df: df.withColumn("flags", kernels.set_flag(F.col("flags"), scope.AUDIO_ERROR, kernels.has_any(F.col("flags"), scope.AUDIO_ERROR) & F.col("audio_fp").isNotNull())),
+    1: _healed,
     2: lambda df: df.withColumn("frames", F.filter("frames", lambda f: F.length(f["gray"]) == 1024)),
-    3: lambda df: clear_hashes(df) if "is_image" not in df.columns else df.withColumn("frames", F.when(F.col("is_image"), F.transform("frames", lambda f: f.withField("phash", F.lit(None).cast("long")))).otherwise(F.col("frames"))),
+    3: _images_reset,
 }
 
 

@@ -206,6 +206,26 @@ def chips(items: DataFrame, columns: dict[str, bool]) -> DataFrame:
     return items.withColumns(out)
 
 
+def culled(items: DataFrame) -> DataFrame:
+    """The pairwise walk over a group in order of seq: from the second row on each meets the row that stands, and its ``decision`` keeps
+    the left (standing) or the right (new) one; null passes on without a mark.
+
+    Adds left_seq (the row that it meets, null for the first) and checked_after: a loser is checked, a row that won last is not, others
+    stay.  Whoever stands is the last row that won, so no group is gathered."""
+    order = group().orderBy("seq")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    df = items.withColumn("_nth", F.row_number().over(order)).withColumn("_d", F.when(F.col("_nth") > 1, F.col("decision")))
+    won = F.coalesce(F.col("_d") == "right", F.lit(False))
+    stands = won | (F.col("_nth") == 1)
+    df = df.withColumn("left_seq", F.last(F.when(stands, F.col("seq")), ignorenulls=True).over(before))
+    df = df.withColumn("_beaten", F.coalesce(F.max(won).over(after), F.lit(False)))
+    # only the decisions until the next winner concern the row that stands; after that it is beaten anyway
+    df = df.withColumn("_kept", F.coalesce(F.max(F.col("_d") == "left").over(after), F.lit(False)))
+    lost = F.coalesce(F.col("_d") == "left", F.lit(False)) | (stands & F.col("_beaten"))
+    out = F.when(lost, True).when(won | (stands & F.col("_kept")), False).otherwise(F.col("checked"))
+    return df.withColumn("checked_after", out).drop("_nth", "_d", "_beaten", "_kept")
+
+
 def toggles(items: DataFrame, visible: Column, action: str) -> DataFrame:
     """Bulk marks on visible rows: missing, clear or invert."""
     new = {"missing": F.col("checked") | ~F.col("file_exists"), "clear": F.lit(False), "invert": ~F.col("checked")}[action]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -18,6 +20,50 @@ def group() -> WindowSpec:
 FLIPPED, PARTIAL, AI, GRAY, PHASH = 1, 2, 4, 8, 16
 
 
+def _chosen(streams: Column, kind: str, size: Callable[[Column], Column]) -> Column:
+    """The stream of a kind with the largest size, the first of equal ones; an unknown size counts as 0."""
+    sized = F.transform(streams, lambda s, i: F.struct(F.when(F.lower(s["codec_type"]) == kind, F.coalesce(size(s), F.lit(0).cast("long"))).alias("size"), (-i).alias("place"), s.alias("stream")))
+    return F.array_max(F.filter(sized, lambda x: x["size"] >= 0))["stream"]
+
+
+def projected(members: DataFrame) -> DataFrame:
+    """Result rows of entries that belong to groups: the facts of the video stream with most pixels and of the audio stream with most
+    channels, of an image the size of its first stream and its file's ending as format.
+
+    members: the columns of an entry, with group_id, difference and match_flags.  Without streams, texts are null and numbers are 0."""
+    image = F.coalesce("is_image", F.lit(False))
+    film = ~image & F.coalesce(F.size("streams") > 0, F.lit(False))
+    area = lambda s: s["width"].cast("long") * s["height"]
+    df = members.withColumn("_video", F.when(film, _chosen(F.col("streams"), "video", area))).withColumn("_audio", F.when(film, _chosen(F.col("streams"), "audio", lambda s: s["channels"].cast("long"))))
+    df = df.withColumn("_shown", F.when(image, F.get("streams", F.lit(0))).otherwise(F.col("_video")))
+    number = lambda c, kind: F.coalesce(F.col(c), F.lit(0).cast(kind))
+    name = lambda c, of: F.when(F.col(of).isNotNull(), F.coalesce(F.col(c), F.lit("<Unknown>")))
+    ending = F.nullif(F.regexp_extract("path", r"\.([^./\\]*)$", 1), F.lit(""))
+    hdr = F.when(F.col("_video").isNotNull(), F.coalesce("_video.hdr_format", F.lit("")))
+    return df.select(
+        "group_id",
+        "path",
+        "folder",
+        "size",
+        ((1 - F.col("difference")) * 100).alias("similarity"),
+        F.when(film, F.col("duration_s")).otherwise(0.0).alias("duration_s"),
+        F.when(F.col("_shown").isNotNull(), F.concat_ws("x", number("_shown.width", "int"), number("_shown.height", "int"))).alias("frame_size"),
+        (number("_shown.width", "int") + number("_shown.height", "int")).alias("frame_size_int"),
+        F.when(image, ending).otherwise(name("_video.codec_name", "_video")).alias("format"),
+        number("_video.frame_rate", "float").cast("double").alias("fps"),
+        text.kilobits(number("_video.bit_rate", "bigint")).alias("bitrate_kbs"),
+        name("_audio.codec_name", "_audio").alias("audio_format"),
+        name("_audio.channel_layout", "_audio").alias("audio_channel"),
+        number("_audio.sample_rate", "int").alias("sample_rate"),
+        text.kilobits(number("_audio.bit_rate", "bigint")).alias("audio_bitrate_kbs"),
+        hdr.alias("hdr_format"),
+        text.hdr_rank(hdr).alias("hdr_rank"),
+        "date_created",
+        image.alias("is_image"),
+        F.col("match_flags").alias("flags"),
+    )
+
+
 def headers(items: DataFrame) -> DataFrame:
     """One row for each group: sizes (negative ones as 0), similarity range, and what it has."""
     size = F.greatest("size", F.lit(0).cast("long"))

@@ -254,3 +254,17 @@ def distinct_segments(spark, sf):
     return entries(spark, sf).groupBy("folder").agg(F.count_distinct("segment").alias("segments"))
 
 
+_AUDIO = "CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 3 END"
+_HELD = f"SELECT path, is_image, flags, {_AUDIO} AS blocks, 1 + c % 3 AS n_frames, c % 5 = 0 AS small FROM (SELECT *, idx AS c, idx AS c_custkey FROM entries)"
+
+
+@query("d09_migrations", f"""{ENTRIES_SQL}, h AS ({_HELD}) SELECT path, (flags & ~{scope.AUDIO_ERROR}) & CASE WHEN is_image THEN ~{scope.TOO_DARK} ELSE -1 END AS flags,
+CASE WHEN blocks = 0 AND flags & {scope.AUDIO_ERROR} > 0 AND flags & {scope.NO_AUDIO | scope.SILENT} = 0 THEN NULL ELSE blocks END AS blocks, CASE WHEN is_image THEN 0 WHEN small THEN n_frames - 1 ELSE n_frames END AS n_frames FROM h""")
+def migrations(spark, sf):
+    """Every migration on entries whose first frame may have the old size, with fingerprints of all three kinds."""
+    e = entries(spark, sf).withColumns({"c_custkey": F.col("idx"), "c": F.col("idx")})
+    blocks = F.expr(_AUDIO)
+    frame = lambda i: F.struct(i.cast("int").alias("pos_idx"), F.lit(0.0).alias("t_sec"), F.repeat(F.lit("x"), F.when((F.col("c") % 5 == 0) & (i == 1), 256).otherwise(1024)).cast("binary").alias("gray"), F.lit(7).cast("long").alias("phash"))
+    fp = F.when(blocks.isNotNull(), F.slice(F.array(*(F.lit(k).cast("long") for k in range(3))), F.lit(1), F.coalesce(blocks, F.lit(0))))
+    held = e.withColumns({"audio_fp": fp, "frames": F.transform(F.sequence(F.lit(1).cast("long"), 1 + F.col("c") % 3), frame)})
+    return catalog.migrate(held, 0).select("path", "flags", F.when(F.col("audio_fp").isNotNull(), F.size("audio_fp")).alias("blocks"), F.size("frames").cast("long").alias("n_frames"))

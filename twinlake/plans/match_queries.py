@@ -94,6 +94,20 @@ def sign_distance(spark, sf):
     return df.select(F.col("idx_a").alias("idx"), kernels.hamming(F.col("s_a"), F.col("s_b")).cast("long").alias("distance"))
 
 
+#: 384 components in six words: the vector, mirrored, negated, and each moved by one.
+_WIDE = "list_concat(list_concat(list_concat(q, list_reverse(q)), list_concat(list_transform(q, lambda x: -x), list_transform(q, lambda x: x - 1))), list_concat(list_transform(q, lambda x: x + 1), list_transform(list_reverse(q), lambda x: 1 - x)))"
+
+
+@query("p15_signature_words", f"WITH v AS (SELECT idx, {_WIDE} AS w FROM ({_Q})) SELECT a.idx, len(a.w) // 64 AS words, CAST(len(list_filter(range(1, 385), lambda i: (a.w[i] < 0) <> (b.w[i] < 0))) AS BIGINT) AS distance, array_to_string(list_transform(range(0, 6), lambda k: CAST(len(list_filter(range(1, 65), lambda i: a.w[64 * k + i] < 0)) AS VARCHAR)), ' ') AS bits FROM v a JOIN v b ON b.idx = a.idx + 1")
+def signature_words(spark, sf):
+    moved = lambda c, f: F.transform(c, f)
+    q, back = F.col("q"), F.reverse("q")
+    wide = F.concat(q, back, moved(q, lambda x: -x), moved(q, lambda x: x - 1), moved(q, lambda x: x + 1), moved(back, lambda x: 1 - x))
+    df = _next(vectors(spark, sf).select("idx", kernels.sign_words(wide).alias("s")))
+    bits = F.array_join(F.transform("s_a", lambda w: F.bit_count(w).cast("string")), " ")
+    return df.select(F.col("idx_a").alias("idx"), F.size("s_a").cast("long").alias("words"), kernels.words_hamming(F.col("s_a"), F.col("s_b")).alias("distance"), bits.alias("bits"))
+
+
 _FOUR = "list_transform([0, 16, 32, 48], lambda k: CAST(list_sum(list_transform(range(1, 17), lambda i: a.q[k + i] * b.q[k + i])) AS BIGINT))"
 
 

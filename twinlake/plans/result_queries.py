@@ -167,6 +167,50 @@ def chips(spark, sf):
     return rank.chips(items(spark, sf), {"size": True, "fps": False}).select("group_id", "seq", "size_chip", "fps_chip")
 
 
+_DECISION = "CASE CAST(floor(size / 7) AS BIGINT) % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END"
+
+
+@query("w14_culling", f"""{ITEMS_SQL}, n AS (SELECT group_id, seq, checked, row_number() OVER o AS nth, CASE WHEN row_number() OVER o > 1 THEN {_DECISION} END AS d FROM items WINDOW o AS (PARTITION BY group_id ORDER BY seq)),
+m AS (SELECT r.group_id, r.nth, r.seq, r.d, max(l.nth) AS standing FROM n r JOIN n l ON l.group_id = r.group_id AND l.nth < r.nth AND (l.nth = 1 OR l.d = 'right') GROUP BY ALL),
+e AS (SELECT group_id, nth, nth AS step, d = 'left' AS mark FROM m WHERE d IS NOT NULL UNION ALL SELECT group_id, standing, nth, d = 'right' FROM m WHERE d IS NOT NULL),
+f AS (SELECT group_id, nth, arg_max(mark, step) AS mark FROM e GROUP BY ALL)
+SELECT n.group_id, n.seq, l.seq AS left_seq, coalesce(f.mark, n.checked) AS checked_after FROM n LEFT JOIN f USING (group_id, nth) LEFT JOIN m USING (group_id, nth) LEFT JOIN n l ON l.group_id = m.group_id AND l.nth = m.standing""")
+def culling(spark, sf):
+    return rank.culled(items(spark, sf).withColumn("decision", F.expr(_DECISION))).select("group_id", "seq", "left_seq", "checked_after")
+
+
+#: An order's lines as the streams of a file.
+_STREAM = {
+    "codec_name": "CASE WHEN l_partkey % 10 > 0 THEN concat('c', l_suppkey % 9) END",
+    "codec_type": "CASE l_partkey % 3 WHEN 0 THEN 'Video' WHEN 1 THEN 'audio' ELSE 'subtitle' END",
+    "width": "CAST(640 + 320 * (l_partkey % 4) AS INT)",
+    "height": "CAST(360 + 180 * (l_suppkey % 3) AS INT)",
+    "sample_rate": "CAST(44100 + l_partkey % 2 * 3900 AS INT)",
+    "channel_layout": "CASE WHEN l_suppkey % 4 > 0 THEN 'stereo' END",
+    "bit_rate": "l_partkey * 137 + l_suppkey * 500",
+    "frame_rate": "CAST(24 + l_linenumber % 7 AS FLOAT)",
+    "channels": "CAST(l_suppkey % 3 AS INT)",
+    "hdr_format": "CASE l_suppkey % 3 WHEN 0 THEN 'HDR10' WHEN 1 THEN '' END",
+}
+
+
+@query("f19_projection", f"""WITH s AS (SELECT l_orderkey AS k, {', '.join(f'{e} AS {c}' for c, e in _STREAM.items())}, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nth FROM lineitem),
+v AS (SELECT * FROM s WHERE lower(codec_type) = 'video' AND k % 7 > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY width * height DESC, nth) = 1),
+a AS (SELECT * FROM s WHERE lower(codec_type) = 'audio' AND k % 7 > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY channels DESC, nth) = 1),
+w AS (SELECT k, width, height FROM v UNION ALL SELECT k, width, height FROM s WHERE nth = 1 AND k % 7 = 0), e AS (SELECT DISTINCT k FROM s)
+SELECT e.k AS group_id, concat(w.width, 'x', w.height) AS frame_size, coalesce(w.width + w.height, 0) AS frame_size_int, CASE WHEN e.k % 7 = 0 THEN 'Jpg' WHEN v.k IS NOT NULL THEN coalesce(v.codec_name, '<Unknown>') END AS format, coalesce(v.frame_rate, 0)::DOUBLE AS fps, coalesce(CAST(round_even(v.bit_rate / 1000::DOUBLE, 0) AS BIGINT), 0) AS bitrate_kbs,
+CASE WHEN a.k IS NOT NULL THEN coalesce(a.codec_name, '<Unknown>') END AS audio_format, CASE WHEN a.k IS NOT NULL THEN coalesce(a.channel_layout, '<Unknown>') END AS audio_channel, coalesce(a.sample_rate, 0) AS sample_rate, coalesce(CAST(round_even(a.bit_rate / 1000::DOUBLE, 0) AS BIGINT), 0) AS audio_bitrate_kbs, CASE WHEN v.k IS NOT NULL THEN coalesce(v.hdr_format, '') END AS hdr_format, CASE WHEN v.hdr_format = 'HDR10' THEN 2 ELSE 0 END AS hdr_rank, CASE WHEN e.k % 7 > 0 THEN 90.5 ELSE 0 END::DOUBLE AS duration_s, 75::DOUBLE AS similarity
+FROM e LEFT JOIN v USING (k) LEFT JOIN a USING (k) LEFT JOIN w USING (k)""".replace("concat(w.width, 'x', w.height)", "CASE WHEN w.k IS NOT NULL THEN concat(w.width, 'x', w.height) END"))
+def projection(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.struct(*(F.expr(e).alias(c) for c, e in _STREAM.items())).alias("stream"))
+    files = lines.groupBy(F.col("l_orderkey").alias("group_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "stream"))), lambda x: x["stream"]).alias("streams"))
+    image = F.col("group_id") % 7 == 0
+    path = F.concat(F.lit("/f.d/"), F.col("group_id").cast("string"), F.when(image, ".Jpg").otherwise(".mkv"))
+    members = files.withColumns({"path": path, "folder": F.lit("/f.d"), "size": F.lit(1).cast("long"), "is_image": image, "duration_s": F.lit(90.5), "date_created": F.lit(None).cast("timestamp"), "difference": F.lit(0.25), "match_flags": F.lit(8)})
+    rows = results.projected(members).withColumns({c: F.col(c).cast("long") for c in ("bitrate_kbs", "audio_bitrate_kbs")})
+    return rows.select("group_id", "frame_size", "frame_size_int", "format", "fps", "bitrate_kbs", "audio_format", "audio_channel", "sample_rate", "audio_bitrate_kbs", "hdr_format", "hdr_rank", "duration_s", "similarity")
+
+
 @query("w18_invert_visible", f"{ITEMS_SQL} SELECT group_id, seq, CASE WHEN size > 2000000 THEN NOT checked ELSE checked END AS checked_after FROM items")
 def invert_visible(spark, sf):
     return rank.toggles(items(spark, sf), F.col("size") > 2000000, "invert").select("group_id", "seq", "checked_after")

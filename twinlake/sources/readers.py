@@ -26,15 +26,19 @@ def list_files(spark: SparkSession, folder: str, images: bool = True, recursive:
     return df.where(~text.matches_any(text.folder(F.col("path")), exclude)) if exclude else df
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """The newest whole version: a version counts once its commit marker is written."""
+def read_catalog(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest whole version, or the one asked for: a version counts once its commit marker is written.
+
+    A damaged file ends the read with an error, as rows that are left out in silence would be taken for deleted files; the version
+    before it can then be asked for.  A path without versions, or a version that isn't there, gives no rows."""
     jvm = spark.sparkContext._jvm
     marker = jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
     found = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marker) or []
-    newest = max((int(f.getPath().getParent().getName().removeprefix("v=")) for f in found), default=None)
-    if newest is None:
+    there = {int(f.getPath().getParent().getName().removeprefix("v=")) for f in found}
+    wanted = max(there, default=None) if version is None else version
+    if wanted not in there:
         return spark.createDataFrame([], schema.MEDIA_ENTRY)
-    return spark.read.schema(schema.MEDIA_ENTRY).option("ignoreCorruptFiles", "true").parquet(f"{path}/v={newest}")
+    return spark.read.schema(schema.MEDIA_ENTRY).option("ignoreCorruptFiles", "false").parquet(f"{path}/v={wanted}")
 
 
 def read_catalog_json(spark: SparkSession, path: str) -> DataFrame:
@@ -103,23 +107,30 @@ def probe(entries: DataFrame, tool: Callable[[str], str | None]) -> DataFrame:
     return entries.mapInPandas(run, out).withColumn("info", text.probed(F.col("probe_json"))).drop("probe_json")
 
 
-def sample_frames(entries: DataFrame, decoder: Callable[[str, list[float]], list[bytes | None]], positions: int = 1, longest: float = 0) -> DataFrame:
-    """path, pos_idx, t_sec, gray at evenly spread positions; a frame that can't be read is null and remembered as such."""
-    share = [(i + 1) / (positions + 1) for i in range(positions)]
+def frames_at(entries: DataFrame, decoder: Callable[[str, list[float]], list[bytes | None]]) -> DataFrame:
+    """path, pos_idx, t_sec, gray at the times of each row's ``seconds`` (an array, any order); a frame that can't be read is null, a null
+    or empty array gives no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for path, seconds in zip(pdf.path, pdf.duration_s, strict=True):
-                times = [min(seconds, longest or seconds) * s for s in share]
+            for path, times in zip(pdf.path, pdf.seconds, strict=True):
+                times = [] if times is None else [float(t) for t in times]
                 try:
-                    frames = decoder(path, times)
+                    frames = decoder(path, times) if times else []
                 except Exception:  # as for probes
-                    frames = [None] * positions
+                    frames = [None] * len(times)
                 rows += [(path, i, t, f) for i, (t, f) in enumerate(zip(times, frames, strict=True))]
             yield pd.DataFrame(rows, columns=["path", "pos_idx", "t_sec", "gray"])
 
-    return entries.select("path", "duration_s").mapInPandas(run, "path string, pos_idx int, t_sec double, gray binary")
+    return entries.select("path", "seconds").mapInPandas(run, "path string, pos_idx int, t_sec double, gray binary")
+
+
+def sample_frames(entries: DataFrame, decoder: Callable[[str, list[float]], list[bytes | None]], positions: int = 1, longest: float = 0) -> DataFrame:
+    """``frames_at`` evenly spread positions of each file, or of its first ``longest`` seconds; frames that can't be read are remembered
+    as such."""
+    span = F.least("duration_s", F.lit(float(longest))) if longest else F.col("duration_s")
+    return frames_at(entries.select("path", F.array(*(span * ((i + 1) / (positions + 1)) for i in range(positions))).alias("seconds")), decoder)
 
 
 def dense_frames(entries: DataFrame, decoder: Callable[[str, list[float]], list[bytes | None]], embed: Callable[[list[bytes]], list[list[float]]], batch: int = 16) -> DataFrame:

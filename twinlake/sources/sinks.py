@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +65,27 @@ def write_export(items: DataFrame, path: str, marks: bool = True) -> None:
     rows.withColumnRenamed("GroupId", "\ufeffGroupId").write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
+def write_envelope(items: DataFrame, path: str, one_file: bool = False) -> None:
+    """Results as a backup that ``readers.read_results`` takes: each file is {"version": 1, "items": [...]} by itself, with the rows of
+    whole groups; ``one_file`` writes a single one, for a list that one task can hold open.  No rows give no items."""
+    item = F.struct(F.col("group_id").cast("string").alias("groupId"), "path", F.col("size").alias("sizeLong"), "similarity", F.col("is_image").alias("isImage"), "flags")
+    rows = items.coalesce(1) if one_file else items.repartitionByRange(F.col("group_id"))
+    rows = rows.sortWithinPartitions("group_id", F.desc("similarity"), "path").select(F.to_json(item).alias("value"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = '{"version":1,"items":['
+        for pdf in batches:
+            if len(pdf):
+                lines = pdf.value.radd(",")
+                lines.iloc[0] = head + pdf.value.iloc[0]
+                head = ","
+                yield pd.DataFrame({"value": lines})
+        if head == ",":
+            yield pd.DataFrame({"value": ["]}"]})
+
+    rows.mapInPandas(run, "value string").write.mode("overwrite").text(path)
+
+
 def write_csv(items: DataFrame, path: str) -> None:
     result_rows(items).write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"').csv(path)
 
