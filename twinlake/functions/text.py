@@ -180,7 +180,7 @@ def near_in_time(a: Column, b: Column, seconds: float) -> Column:
     return F.abs(F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) <= int(seconds * 1_000_000)
 
 
-def span_text(seconds: Column) -> Column:
+def invariant_span_text(seconds: Column) -> Column:
     """[d.]hh:mm:ss[.fffffff], days and parts of a second only where there are any."""
     ticks = F.round(F.abs(seconds) * 10_000_000).cast("long")
     whole, part = F.floor(ticks / 10_000_000).cast("long"), ticks % 10_000_000

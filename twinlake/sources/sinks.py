@@ -46,7 +46,7 @@ def export_rows(items: DataFrame, marks: bool = True) -> DataFrame:
         "GroupId": F.col("group_id").cast("string"),
         "Path": F.col("path"),
         "SizeBytes": F.col("size").cast("string"),
-        "Duration": text.span_text(F.col("duration_s")),
+        "Duration": text.invariant_span_text(F.col("duration_s")),
         "Resolution": F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string")),
         "Fps": text.number_text(F.col("fps")),
         "BitrateKbs": text.number_text(F.col("bitrate_kbs")),
