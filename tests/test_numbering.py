@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from twinlake.operators import candidates, numbering
+from twinlake.operators import candidates, grouping, numbering
 
 ROWS = 40_000
 
@@ -28,3 +28,8 @@ def _vectors(spark, rows: int):
 def test_blocks_keep_every_vector(uneven):
     got = candidates.vector_pairs(_vectors(uneven, 8192), 1.9)
     assert {(a, b) for a, b, _ in got.collect()} >= {(a, a + 4096) for a in range(4096) if a // 64 != a % 64}
+
+
+def test_degrees_count_every_vector(uneven):
+    pairs = candidates.vector_pairs(_vectors(uneven, 8192), 1.9).select(F.col("idx_a").alias("a"), F.col("idx_b").alias("b"))
+    assert grouping.degrees(pairs).where("degree > 0").count() >= 2 * (4096 - 64)
