@@ -24,7 +24,8 @@ def write_json(df: DataFrame, path: str) -> None:
 def diagnostic(entries: DataFrame) -> DataFrame:
     """Entries without their paths: a running id by path, facts, flags, and frames in order of position as base64."""
     frames = F.transform(F.array_sort(F.transform("frames", lambda f: F.struct(f["pos_idx"].alias("pos"), f["gray"].alias("gray")))), lambda f: F.base64(f["gray"]))
-    return numbering.numbered(entries, [F.col("path")], "id").select("id", "is_image", "flags", "size", "duration_s", frames.alias("frames"), F.transform("frames", lambda f: f["phash"]).alias("hashes"))
+    needed = entries.select("path", "is_image", "flags", "size", "duration_s", "frames")  # what is numbered is written
+    return numbering.numbered(needed, [F.col("path")], "id").select("id", "is_image", "flags", "size", "duration_s", frames.alias("frames"), F.transform("frames", lambda f: f["phash"]).alias("hashes"))
 
 
 def result_groups(items: DataFrame) -> DataFrame:
