@@ -218,11 +218,10 @@ def log_rows(log: DataFrame, key: Column | None = None, severity: str | None = N
     ``severity`` leaves entries of that severity only; ``search`` leaves rows of which some entry's message holds it, in any case.
 
     Sessions are numbered by a running sum over the log's order, taken over ranges so that no task reads the whole log."""
-    ranged = log.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("_part", F.spark_partition_id())
-    starts = ranged.groupBy("_part").agg(F.count_if("is_session_start").alias("_starts"))
-    before = starts.withColumn("_before", F.coalesce(F.sum("_starts").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("_starts")
-    session = F.sum(F.col("is_session_start").cast("long")).over(Window.partitionBy("_part").orderBy("seq"))
-    df = ranged.withColumn("_local", session).join(F.broadcast(before), "_part").withColumn("session", F.col("_before") + F.col("_local"))
+    df = numbering.ranged(log, [F.col("seq")])
+    before = numbering.before(df, F.count_if("is_session_start"), "_before")
+    session = F.count_if("is_session_start").over(Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("_local", session).join(F.broadcast(before), "_part").withColumn("session", F.col("_before") + F.col("_local"))
     key = text.message_key(F.col("message")) if key is None else key
     if severity:
         df = df.where(F.col("severity") == severity)
