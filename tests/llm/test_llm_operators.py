@@ -661,3 +661,13 @@ def test_chat_paragraphs_depth_and_length(spark):
 
 def test_every_operator_is_registered():
     assert {n for n in range(1, 11)} == {int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES if k.startswith("op")} and "pipeline" in QUERIES
+
+
+def test_chat_links_of_rows_from_a_join(uneven):
+    """Rows that come from a join take other places in each run of a plan; every message keeps its own links."""
+    each = uneven.range(2_400, numPartitions=6).selectExpr("id div 4 AS conv_id", "id % 4 AS turn", "concat('said ', sha2(CAST(id AS STRING), 512)) AS text", "concat(sha2(CAST(-id AS STRING), 512), sha2(CAST(id - 7 AS STRING), 512), sha2(CAST(id + 7 AS STRING), 512)) AS role")
+    source = each.selectExpr("conv_id AS c", "turn + 1 AS t", "text AS said").hint("shuffle_merge")
+    joined = each.join(source, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left")
+    df = joined.select("conv_id", "turn", "role", F.when(F.col("said").isNull(), F.col("text")).otherwise(F.concat(F.lit("> "), "said", F.lit("\n"), "text")).alias("text"))
+    rows = chat.format_chat(df).select("conv_id", "turn", "reply_to", "root", "depth", "place", "n_quotes", F.length("own"), F.length("role")).collect()
+    assert sorted(map(tuple, rows), key=lambda r: r[:2]) == [(c, t, t - 1 if t else None, 0, t, t, min(t, 1), 133, 384) for c in range(600) for t in range(4)]

@@ -23,6 +23,10 @@ from . import common
 
 _MARKS = r"^(?:[ \t]{0,3}+>)++"  # possessive: matched in a loop, where a group that may be given back takes stack by mark
 
+#: What tells a message with quotes, key being its text's digest.  Repeated rows share their links.  Row numbers wouldn't do: rows that
+#: come from a join or a shuffle get others each time that a plan is run.
+_MESSAGE = ["conv_id", "turn", "key"]
+
 
 def _normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
@@ -32,24 +36,25 @@ def _messages(conversations: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "\r\n?", "\n")
     lines = F.split(text, "\n", -1)
     quoted = lambda x: x.rlike(_MARKS)
-    df = conversations.select(F.monotonically_increasing_id().alias("row"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"), lines.alias("lines"))
+    df = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"), lines.alias("lines"))
     df = df.withColumn("quotes", F.exists("lines", quoted))
     introduces = lambda x, i: x.rlike(r"(?i)\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$") & F.coalesce(quoted(F.get("lines", i + 1)), F.lit(False))
     own = F.array_join(F.filter("lines", lambda x, i: ~quoted(x) & ~introduces(x, i)), "\n")
+    df = df.withColumn("key", F.when(F.col("quotes"), F.unhex(F.md5(F.col("text").cast("binary")))))
     return df.withColumn("own", F.when(F.col("quotes"), F.btrim(F.regexp_replace(own, r"\n{3,}", "\n\n"), F.lit(" \t\n\x0b\f\r"))).otherwise(F.col("text"))).drop("text")
 
 
 def _passages(messages: DataFrame) -> DataFrame:
-    """row, conv_id, turn, level, hash of each quoted passage, and of each of its paragraphs and lines."""
-    each = messages.where("quotes AND turn IS NOT NULL").select("row", "conv_id", "turn", F.posexplode("lines").alias("at", "line"))
+    """conv_id, turn, key, level, hash of each quoted passage, and of each of its paragraphs and lines."""
+    each = messages.where("quotes AND turn IS NOT NULL").dropDuplicates(_MESSAGE).select(*_MESSAGE, F.posexplode("lines").alias("at", "line"))
     marks = F.regexp_extract("line", _MARKS, 0)
-    each = each.select("row", "conv_id", "turn", "at", F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), F.substr("line", F.length(marks) + 1).alias("line"))
-    order = Window.partitionBy("row").orderBy("at")
+    each = each.select(*_MESSAGE, "at", F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), F.substr("line", F.length(marks) + 1).alias("line"))
+    order = Window.partitionBy(*_MESSAGE).orderBy("at")
     blank = ~F.col("line").rlike(r"\S")
     each = each.withColumn("new", (F.col("level") != F.coalesce(F.lag("level").over(order), F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(order)).withColumn("part", F.sum(blank.cast("int")).over(order)).where("level > 0")
-    joined = lambda df, *by: df.groupBy("row", "conv_id", "turn", "level", "run", *by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("unit")).select("row", "conv_id", "turn", "level", "unit")
-    units = joined(each).unionByName(joined(each.where(~blank), "part")).unionByName(each.select("row", "conv_id", "turn", "level", F.col("line").alias("unit")))
-    return units.withColumn("unit", _normal(F.col("unit"))).where("unit <> ''").select("row", "conv_id", "turn", "level", F.md5(F.col("unit").cast("binary")).alias("hash")).distinct()
+    joined = lambda df, *by: df.groupBy(*_MESSAGE, "level", "run", *by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("unit")).select(*_MESSAGE, "level", "unit")
+    units = joined(each).unionByName(joined(each.where(~blank), "part")).unionByName(each.select(*_MESSAGE, "level", F.col("line").alias("unit")))
+    return units.withColumn("unit", _normal(F.col("unit"))).where("unit <> ''").select(*_MESSAGE, "level", F.md5(F.col("unit").cast("binary")).alias("hash")).distinct()
 
 
 def _units(messages: DataFrame) -> DataFrame:
@@ -60,16 +65,16 @@ def _units(messages: DataFrame) -> DataFrame:
 
 
 def replies(messages: DataFrame) -> DataFrame:
-    """row, conv_id, turn, reply_to, n_quotes, n_linked of the messages with quotes."""
+    """conv_id, turn, key, reply_to, n_quotes, n_linked of the messages with quotes."""
     passages = common.checkpoint(_passages(messages))
     some = passages.select("conv_id").distinct()
     units = _units(messages.join(some, messages.conv_id.eqNullSafe(some.conv_id), "left_semi"))
-    both = units.select("conv_id", "turn", "hash", F.lit(1).alias("original"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("level"))
-    both = both.unionByName(passages.select("conv_id", "turn", "hash", F.lit(0).alias("original"), "row", "level"))
+    both = units.select("conv_id", "turn", "hash", F.lit(1).alias("original"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("int").alias("level"))
+    both = both.unionByName(passages.select("conv_id", "turn", "hash", F.lit(0).alias("original"), "key", "level"))
     so_far = Window.partitionBy("conv_id", "hash").orderBy("turn", "original").rowsBetween(Window.unboundedPreceding, -1)
     linked = both.withColumn("source", F.max(F.when(F.col("original") == 1, F.col("turn"))).over(so_far)).where("original = 0")
     best = F.max(F.when(F.col("source").isNotNull(), F.struct((-F.col("level")).alias("near"), "source")))
-    return linked.groupBy("row", "conv_id", "turn").agg(best["source"].alias("reply_to"), F.count("*").alias("n_quotes"), F.count("source").alias("n_linked"))
+    return linked.groupBy(*_MESSAGE).agg(best["source"].alias("reply_to"), F.count("*").alias("n_quotes"), F.count("source").alias("n_linked"))
 
 
 def threads(links: DataFrame) -> DataFrame:
@@ -117,9 +122,10 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     at = places(ways).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("place").alias("way_place"))
     ways = ways.select("conv_id", "turn", F.col("root").alias("way_root"), F.col("depth").alias("way_depth"))
     ways = ways.join(at, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t"))).select("c", "t", "way_root", "way_depth", "way_place")
-    found = links.select("row", "reply_to", "n_quotes", "n_linked", "conv_id", "turn").join(ways, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")), "left").select("row", "reply_to", "n_quotes", "n_linked", "way_root", "way_depth", "way_place")
+    found = links.join(ways, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")), "left").select("reply_to", "n_quotes", "n_linked", F.col("key").alias("way_key"), F.col("conv_id").alias("way_conv"), F.col("turn").alias("way_turn"), "way_root", "way_depth", "way_place")
     zero = F.lit(0).cast("long")
-    joined = messages.drop("lines").join(found, "row", "left")
+    mine = F.col("conv_id").eqNullSafe(F.col("way_conv")) & (F.col("turn") == F.col("way_turn")) & (F.col("key") == F.col("way_key"))
+    joined = messages.drop("lines").join(found, mine, "left")
     own = F.col("own")
     numbers = (F.coalesce(c, zero).alias(n) for c, n in (("way_depth", "depth"), ("way_place", "place"), ("n_quotes", "n_quotes"), ("n_linked", "n_linked")))
     return joined.select("conv_id", "turn", "role", "reply_to", F.coalesce("way_root", "turn").alias("root"), *numbers, own.alias("own"), F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), own, F.lit("\n")).alias("chat"))
