@@ -445,6 +445,37 @@ def test_suffix_dedup_repeated_rows(spark, odd, none):
     assert nulls[0].n_removed == 0 and [r for r in got if r.doc_id == 6][0].n_removed == nulls[0].n_bytes
 
 
+@pytest.mark.parametrize("ids", ["distinct", "repeated"])
+def test_suffix_dedup_moves_texts_once(docs, odd, ids, spark):
+    """No exchange reads another: what is dealt by the columns that tell rows apart needn't be dealt again for a join."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = suffix_dedup.find(docs if ids == "distinct" else odd)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    nodes = [line.lstrip(" :+-") for line in plan.splitlines()]
+    assert any(x.startswith("SortMergeJoin") for x in nodes)
+    assert not [x for x, below in zip(nodes, nodes[1:], strict=False) if x.startswith("Exchange") and below.startswith("Exchange")]
+
+
+def test_runs_of_any_length_fit_one_number():
+    """A run has less than ``length`` positions, so its start and size are told from start * length + size."""
+    rng = random.Random(23)
+    for text in (bytes(rng.choice(b"ab") for _ in range(3000)), b"a" * 700, bytes(rng.choice(b"abcdefgh") for _ in range(3000))):
+        for length in (32, 33, 100, 260):
+            _, _, n, _, _ = suffix_dedup.runs(np.frombuffer(text, np.uint8), np.array([len(text)]), length)
+            assert n.min() > 0 and n.max() < length and n.sum() == len(text) - length + 1
+
+
+def test_suffix_dedup_of_other_lengths(docs, texts):
+    order = sorted(texts)
+    for length in (32, 47):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove(docs, length).collect()}
+        assert got == dict(zip(order, brute.removal([(d, texts[d]) for d in order], length), strict=True))
+
+
 @pytest.mark.parametrize("per_shard", [1, 7, 100])
 def test_shards_merge(per_shard):
     rng = random.Random(6)

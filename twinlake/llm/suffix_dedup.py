@@ -41,7 +41,9 @@ _SLICE = 1 << 19
 _PIECE = 4 << 20
 _FIRST = -(1 << 63)
 _BROADCAST_KEYS = 100_000
-_RUNS = "repeat boolean, key long, digest long, doc long, version long, start long, n long"
+#: place: start * length + positions, in one number as fewer columns make fewer bytes in a shuffle; a run has less than length positions
+_RUNS = "repeat boolean, key long, digest long, doc long, version long, place long"
+_MET = "repeat boolean, key long, doc long, version long, place long"
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
 
@@ -92,23 +94,27 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, .
     return text, first, n, key[first], common.mix(digest + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _sources(docs: DataFrame) -> DataFrame:
-    """doc (doc_id, or the least number for null), version (tells rows of one doc_id apart, 0 if none have the same), text."""
+def _sources(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """doc (doc_id, or the least number for null), version (tells rows of one doc_id apart, 0 if none have the same), text; and the
+    columns that tell rows apart.  A version of 0 is a constant, which Spark takes out of a join's keys but not out of a repartition's,
+    so texts dealt by it would move again for each join."""
     ids = docs.select("doc_id").agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))).alias("d")).first()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), (F.xxhash64(text) if ids.n != ids.d else F.lit(0).cast("long")).alias("version"), text.alias("text"))
+    sources = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), (F.xxhash64(text) if ids.n != ids.d else F.lit(0).cast("long")).alias("version"), text.alias("text"))
+    return sources, ["doc", "version"] if ids.n != ids.d else ["doc"]
 
 
 def _find_runs(sources: DataFrame, length: int) -> DataFrame:
     def rows(doc, version, start, n, key, digest) -> pa.RecordBatch:
         """repeat: a run of the same bytes stands earlier in this slice; such rows move by a key of their own."""
-        order = np.lexsort((start, version, doc, digest, key))
-        doc, version, start, n, key, digest = (x[order] for x in (doc, version, start, n, key, digest))
+        place = start * length + n
+        order = np.lexsort((place, version, doc, digest, key))
+        doc, version, place, key, digest = (x[order] for x in (doc, version, place, key, digest))
         same = np.append(False, (key[1:] == key[:-1]) & (digest[1:] == digest[:-1]))
-        twin = same & np.append(False, (doc[1:] == doc[:-1]) & (version[1:] == version[:-1]) & (start[1:] == start[:-1]))
-        key = np.where(same, common.mix(key ^ common.mix(doc.view(np.uint64) + start.view(np.uint64))), key)
+        twin = same & np.append(False, (doc[1:] == doc[:-1]) & (version[1:] == version[:-1]) & (place[1:] == place[:-1]))
+        key = np.where(same, common.mix(key ^ common.mix(doc.view(np.uint64) + place.view(np.uint64))), key)
         keep = ~twin
-        return pa.record_batch([pa.array(same[keep]), *(pa.array(x[keep].view(np.int64)) for x in (key, digest, doc, version, start, n))], names=["repeat", "key", "digest", "doc", "version", "start", "n"])
+        return pa.record_batch([pa.array(same[keep]), *(pa.array(x[keep].view(np.int64)) for x in (key, digest, doc, version, place))], names=["repeat", "key", "digest", "doc", "version", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,15 +144,15 @@ def _meet(found: DataFrame, partitions: int) -> DataFrame:
         for batch in common.gathered(batches, rows=20_000):
             if not len(batch):
                 continue
-            repeat, key, digest, doc, version, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            repeat, key, digest, doc, version, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             was = [repeat[:1], *(np.zeros(1, np.int64),) * 5] if last is None else last
-            now = [repeat, key, digest, doc, version, start]
+            now = [repeat, key, digest, doc, version, place]
             before = [np.concatenate([w, x[:-1]]) for w, x in zip(was, now, strict=True)]
             same_key = (key == before[1]) & ~repeat & ~before[0]
             if last is None:
                 same_key[0] = False
             same = same_key & (digest == before[2])
-            twin = same & (doc == before[3]) & (version == before[4]) & (start == before[5])
+            twin = same & (doc == before[3]) & (version == before[4]) & (place == before[5])
             other = same_key & ~same  # another digest under the key of the row before
             group = np.cumsum(~same_key)
             varied = np.bincount(group, other, group[-1] + 1) > 0
@@ -163,13 +169,14 @@ def _meet(found: DataFrame, partitions: int) -> DataFrame:
             if not varied[group[-1]] and not (group[-1] == 0 and same_key[0]):
                 head = int(np.flatnonzero(group == group[-1])[0])
                 if not repeat[head]:
-                    pending = pa.record_batch([pa.array([False]), *(batch.column(i).slice(head, 1) for i in range(1, 7))], names=batch.schema.names)
+                    pending = pa.record_batch([pa.array([False]), *(batch.column(i).slice(head, 1) for i in (1, 3, 4, 5))], names=["repeat", "key", "doc", "version", "place"])
             last = [x[-1:] for x in now]
+            batch = batch.drop_columns("digest")
             if out.any():
                 kept = batch.filter(pa.array(out))
                 yield pa.record_batch([pa.array((repeat | same)[out]), *kept.columns[1:]], names=batch.schema.names)
 
-    return found.repartition(partitions, "key").sortWithinPartitions("repeat", "key", "digest", "doc", "version", "start").mapInArrow(run, _RUNS)
+    return found.repartition(partitions, "key").sortWithinPartitions("repeat", "key", "digest", "doc", "version", "place").mapInArrow(run, _MET)
 
 
 def _shard(segments: list[bytes], n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -309,10 +316,11 @@ def find(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20, key_byt
     if length < _GRAM:
         raise ValueError(f"strings of {_GRAM} bytes at least")
     common.small_batches(docs.sparkSession)
-    sources = _sources(docs)
+    sources, by = _sources(docs)
     partitions = common.partitions_for(docs)
     met = common.checkpoint(_meet(_find_runs(sources, length), partitions))
-    texts = sources.repartition(partitions, "doc", "version")
+    met = met.select("repeat", "key", "doc", "version", F.expr(f"place div {length}").alias("start"), (F.col("place") % length).alias("n"))
+    texts = sources.repartition(partitions, *by)
     edges = met.where("NOT repeat").select("doc", "version", "key", "start", "n")
     hot = edges.groupBy("key").agg(F.sum(F.col("n") + (length - 1)).alias("bytes")).where(F.col("bytes") > key_bytes)
     hot = common.checkpoint(hot.select("key", F.ceil(F.col("bytes") / key_bytes).cast("long").alias("shards")))
@@ -332,8 +340,8 @@ def find(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20, key_byt
                 yield pa.record_batch([pa.array(key[part]), pa.array(salt[part]), doc.take(pa.array(of[part])), version.take(pa.array(of[part])), pa.array(start[part]), pa.array(n[part]), pa.array(shards[part]), pa.array([data[x:y].tobytes() for x, y in zip(a[part], (a + n + length - 1)[part], strict=True)], pa.binary())], names=["key", "salt", "doc", "version", "start", "n", "shards", "bytes"])
 
     def resolved(some: DataFrame) -> DataFrame:
-        wanted = some.withColumn("salt", salt).groupBy("doc", "version").agg(F.collect_list(F.struct("key", "start", "n", "salt", "shards")).alias("cuts"))
-        segments = texts.select("doc", "version", "text").join(wanted, ["doc", "version"]).mapInArrow(cut, "key long, salt long, doc long, version long, start long, n long, shards long, bytes binary")
+        wanted = some.withColumn("salt", salt).groupBy(*by).agg(F.collect_list(F.struct("key", "start", "n", "salt", "shards")).alias("cuts"))
+        segments = texts.select("doc", "version", "text").join(wanted, by).mapInArrow(cut, "key long, salt long, doc long, version long, start long, n long, shards long, bytes binary")
         return _resolve(segments, length, shard_bytes, partitions)
 
     ends = resolved(edges.where("shards = 1")).select("doc", "version", "first", "end")
@@ -341,8 +349,8 @@ def find(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20, key_byt
         parts = resolved(edges.where("shards > 1"))  # computed for either use from one exchange, as its strings are too many to keep
         ends = ends.unionByName(parts.where("strings IS NULL").select("doc", "version", "first", "end")).unionByName(_merged(parts, length, partitions))
     ranges = met.where("repeat").select("doc", "version", F.col("start").alias("first"), (F.col("start") + F.col("n") + (length - 1)).alias("end")).unionByName(ends)
-    gathered = ranges.groupBy("doc", "version").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
-    return texts.join(gathered, ["doc", "version"], "left")
+    gathered = ranges.groupBy(*by).agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
+    return texts.join(gathered, by, "left")
 
 
 def remove(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20, key_bytes: int = 2 << 20) -> DataFrame:
